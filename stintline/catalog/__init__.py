@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("strategy",)
+MODULES = ("strategy", "season")
 
 
 def load():

@@ -55,6 +55,18 @@ VIEWS: dict[str, str] = {
               UNION ALL
               SELECT session_id, driver_id, 'sprint', count(*), round(sum(time_s), 6)
               FROM laps_v WHERE lap <= 20 AND session_id % 2 = 0 GROUP BY session_id, driver_id) t""",
+    "calendar_v": """
+        SELECT DISTINCT season, round, session_id, CAST(session_id % 1000 AS INT) AS circuit_id,
+               make_date(season, 1, 1) + CAST(round * 7 AS INT) AS date, session_id % 2 = 0 AS sprint
+        FROM results_v WHERE kind = 'race'""",
+    "editions_v": """
+        SELECT CAST(session_id % 1000 AS INT) AS circuit_id, season AS year, driver_id, position, grid,
+               CASE WHEN status <> 'Retired' THEN CAST(position AS VARCHAR(9)) WHEN driver_id % 5 = 0 THEN 'W'
+                    ELSE 'R' END AS position_text
+        FROM results_v WHERE kind = 'race'""",
+    "edition_stops_v": """
+        SELECT CAST(session_id % 1000 AS INT) AS circuit_id, CAST(floor(session_id / 1000) AS INT) AS year, driver_id
+        FROM stops_v WHERE CAST(floor(session_id / 1000) AS INT) % 3 <> 0""",
     "qualifying_v": """
         SELECT session_id, driver_id, CAST(floor(driver_id / 2) AS INT) AS constructor_id,
                CAST(row_number() OVER (PARTITION BY session_id ORDER BY q1_s, driver_id) AS INT) AS position,
