@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("strategy", "season")
+MODULES = ("strategy", "season", "record", "weekend")
 
 
 def load():

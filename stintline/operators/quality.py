@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintline.functions.figures import same_number, true_median
+from stintline.operators import record as rec
 from stintline.operators import season as sn
+from stintline.operators import weekend as wk
 
 
 def _errors(df: DataFrame, keys: list[str], checks: dict) -> DataFrame:
@@ -29,10 +31,90 @@ def check_brief(brief: DataFrame, editions: DataFrame, keys: list[str]) -> DataF
     """The brief's arithmetic against its own per-edition rows."""
     own = editions.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.sum("classified").alias("_c"), F.sum("starters").alias("_s"),
-        F.count_if("classified > starters").alias("_bad"))
+        F.count_if(F.col("classified") > F.col("starters")).alias("_bad"))
     return _errors(brief.join(own, keys), keys, {
         "edition count": F.col("editions") != F.col("_n"),
         "finish rate does not sum": (F.col("classified") != F.col("_c")) | (F.col("starters") != F.col("_s")),
         "more finishers than starters": F.col("_bad") > 0,
         "sample exceeds classified finishes": F.col("places_n") > F.col("_c"),
     })
+
+
+def check_sprint(document: DataFrame, weekend: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Every figure of the sprint document recomputed from its own driver rows."""
+    keys = ["season", "round"]
+    flags = wk.classified("sprint_status"), wk.classified("race_status")
+    wrong_flags = weekend.groupBy(*keys).agg(F.count_if(
+        (F.col("sprint_classified") != flags[0]) | (F.col("race_classified") != flags[1])).alias("_flags"))
+    own = wk.sprint_round(weekend).select(*keys, *[F.col(c).alias(f"_{c}") for c in (
+        "sprint_mean_places", "race_mean_places", "sprint_sample", "race_sample", "rho", "n")])
+    listed = calendar.select(*keys, F.col("sprint").alias("_sprint"))
+    joined = document.join(own, keys, "left").join(wrong_flags, keys, "left").join(listed, keys, "left")
+    rounds = _errors(joined, keys, {
+        "round is not on the calendar": F.col("_sprint").isNull(),
+        "calendar does not flag a sprint": ~F.col("_sprint"),
+        "classification disagrees with the status": F.col("_flags") > 0,
+        "sprint movement": ~same_number("sprint_mean_places", "_sprint_mean_places"),
+        "race movement": ~same_number("race_mean_places", "_race_mean_places"),
+        "sprint sample": F.col("sprint_sample") != F.col("_sprint_sample"),
+        "race sample": F.col("race_sample") != F.col("_race_sample"),
+        "rank agreement": ~same_number("rho", "_rho"),
+        "rank agreement sample": F.col("n") != F.col("_n"),
+        "withheld without a reason": F.col("_rho").isNull() & F.col("withheld_reason").isNull(),
+    })
+    statuses = weekend.select("season", F.explode(F.array("sprint_status", "race_status")).alias("status"))
+    unseen = wk.unrecognised_statuses(statuses).select(
+        "season", F.lit(None).cast("int").alias("round"), F.concat(F.lit("unseen status "), F.col("status")).alias("error"))
+    return rounds.unionByName(unseen)
+
+
+def check_sprint_season(published: DataFrame, rounds: DataFrame) -> DataFrame:
+    figures = ["median_rho", "sprint_mean_places", "race_mean_places"]
+    own = wk.sprint_season(rounds).select("season", *[F.col(c).alias(f"_{c}") for c in figures])
+    return _errors(published.join(own, "season"), ["season"],
+                   {f"season {c}": ~same_number(c, f"_{c}") for c in figures})
+
+
+def check_sprint_points(points: DataFrame, table: DataFrame) -> DataFrame:
+    """Points from sprint weekends must fit inside the season's total."""
+    joined = points.join(table.select("season", "driver_id", F.col("points").alias("_total")),
+                         ["season", "driver_id"], "left")
+    return _errors(joined, ["season", "driver_id"], {
+        "not in the standings": F.col("_total").isNull(),
+        "more points than the season": F.col("weekend_points") > F.col("_total") + 1e-9,
+    })
+
+
+def check_conditions(conditions: DataFrame, tolerance_c: float = rec.MAX_AIR_DISAGREEMENT_C) -> DataFrame:
+    """Published conditions against the check their own summaries give."""
+    delta = F.abs(F.col("air_c") - F.col("archive_air_c"))
+    return _errors(conditions, ["session_id"], {
+        "withheld without a reason": ~F.col("published") & F.col("withheld_reason").isNull(),
+        "compared flag": F.col("published") & (F.col("compared") != delta.isNotNull()),
+        "gap between the sources": F.col("published") & F.col("compared") & ~same_number("delta_c", delta),
+        "published although the sources disagree": F.col("published") & (delta > tolerance_c + 1e-9),
+    })
+
+
+def check_changes(net: DataFrame, residuals: DataFrame) -> DataFrame:
+    """Changes made equal changes suffered; every net and residual adds up."""
+    balance = _errors(
+        net.groupBy("session_id").agg(F.sum("made").alias("m"), F.sum("suffered").alias("s")),
+        ["session_id"], {"made and suffered differ": F.col("m") != F.col("s")})
+    rows = _errors(net, ["session_id", "driver_id"], {
+        "net is not made minus suffered": F.col("net") != F.col("made") - F.col("suffered")})
+    checks = _errors(residuals, ["session_id", "driver_id"], {
+        "residual is not recorded minus official": F.col("residual") != F.col("recorded_net") - F.col("official_net")})
+    return balance.withColumn("driver_id", F.lit(None).cast("int")).unionByName(rows).unionByName(checks)
+
+
+# Columns that would mean audio had been turned into text.
+FORBIDDEN_RADIO_FIELDS = ["transcript", "text", "message", "content", "summary", "sentiment", "tone", "audio", "clip"]
+
+
+def check_radio(timeline: DataFrame) -> DataFrame:
+    """No text-bearing column, and a link for every clip."""
+    carried = [c for c in FORBIDDEN_RADIO_FIELDS if c in timeline.columns]
+    checks = {"clip without a link": F.coalesce("link", F.lit("")) == ""}
+    checks.update({f"carries a '{c}' column": F.lit(True) for c in carried})
+    return _errors(timeline, ["session_id", "clip_id"], checks)

@@ -190,7 +190,7 @@ def finishing_order(laps: DataFrame) -> DataFrame:
 def site_counts(index: DataFrame, entries: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rounds, sessions, lines, drivers, counterfactuals and withheld figures, per season."""
     lines = index.groupBy("season").agg(
-        F.count_distinct("round").alias("rounds"), F.count_if("n_drivers > 0").alias("sessions"),
+        F.count_distinct("round").alias("rounds"), F.count_if(F.col("n_drivers") > 0).alias("sessions"),
         F.sum("n_drivers").alias("lines"))
     drivers = entries.groupBy("season").agg(F.count_distinct("driver_id").alias("drivers"))
     refused = ledger.groupBy("season").agg(
