@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("strategy", "season", "record", "weekend")
+MODULES = ("strategy", "season", "record", "weekend", "telemetry")
 
 
 def load():

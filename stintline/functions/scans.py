@@ -22,7 +22,7 @@ def int_block(order: str, size: int = BLOCK) -> Column:
 
 
 def time_block(ts: str, seconds: int = 3600) -> Column:
-    return F.floor(F.unix_micros(F.col(ts)) / (seconds * 1_000_000))
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
 
 
 def running_total(
@@ -44,37 +44,66 @@ def running_total(
     return cut.join(carry, [*keys, "_block"]).withColumn(out, total).drop("_block", "_v", "_carry")
 
 
-def last_known(
-    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], block: Column,
-    forward: bool = False, inclusive: bool = True,
+def known_around(
+    df: DataFrame, keys: list[str], order: list[str], block: Column,
+    back: dict[str, Column] | None = None, ahead: dict[str, Column] | None = None, inclusive: bool = True,
 ) -> DataFrame:
-    """Per output name, the latest non-null expression at or before each row.
+    """Nearest non-null values before and after each row.
 
-    ``forward=True`` looks the other way: the next non-null at or after the row.
-    ``inclusive=False`` leaves the row itself out.
+    ``back`` names the latest non-null expression at or before the row, ``ahead``
+    the first one at or after it. ``inclusive=False`` leaves the row itself out.
     """
+    back, ahead = back or {}, ahead or {}
     cut = df.withColumn("_block", block)
-    for name, e in values.items():
+    for name, e in {**back, **ahead}.items():
         cut = cut.withColumn(f"_m_{name}", e)
     position = F.struct(*order)
-    pick = F.min if forward else F.max
-    per_block = cut.groupBy(*keys, "_block").agg(*[
-        pick(F.when(F.col(f"_m_{n}").isNotNull(), F.struct(position.alias("p"), F.col(f"_m_{n}").alias("v"))))
-        .alias(f"_b_{n}") for n in values
-    ])
-    if forward:
-        fill, outer_frame = F.first, (1, Window.unboundedFollowing)
-        inner_frame = (0 if inclusive else 1, Window.unboundedFollowing)
-    else:
-        fill, outer_frame = F.last, (Window.unboundedPreceding, -1)
-        inner_frame = (Window.unboundedPreceding, 0 if inclusive else -1)
-    outer = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*outer_frame)
-    carry = per_block.select(*keys, "_block", *[
-        fill(F.col(f"_b_{n}")["v"], ignorenulls=True).over(outer).alias(f"_c_{n}") for n in values
-    ])
-    inner = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(*inner_frame)
+
+    def edge(name: str) -> Column:
+        present = F.when(F.col(f"_m_{name}").isNotNull(),
+                         F.struct(position.alias("p"), F.col(f"_m_{name}").alias("v")))
+        return (F.max if name in back else F.min)(present).alias(f"_b_{name}")
+
+    per_block = cut.groupBy(*keys, "_block").agg(*[edge(n) for n in (*back, *ahead)])
+    blocks = Window.partitionBy(*keys).orderBy("_block")
+    rows = Window.partitionBy(*keys, "_block").orderBy(*order)
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    later = blocks.rowsBetween(1, Window.unboundedFollowing)
+    upto = rows.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    onward = rows.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
+
+    def carried(name: str) -> Column:
+        best = F.col(f"_b_{name}")
+        found = F.last(best, True).over(earlier) if name in back else F.first(best, True).over(later)
+        return found["v"].alias(f"_c_{name}")
+
+    carry = per_block.select(*keys, "_block", *[carried(n) for n in (*back, *ahead)])
     out = cut.join(carry, [*keys, "_block"])
-    for n in values:
-        found = fill(F.col(f"_m_{n}"), ignorenulls=True).over(inner)
-        out = out.withColumn(n, F.coalesce(found, F.col(f"_c_{n}")))
-    return out.drop("_block", *[f"_m_{n}" for n in values], *[f"_c_{n}" for n in values])
+    for name in (*back, *ahead):
+        value = F.col(f"_m_{name}")
+        near = F.last(value, True).over(upto) if name in back else F.first(value, True).over(onward)
+        out = out.withColumn(name, F.coalesce(near, F.col(f"_c_{name}")))
+    return out.drop("_block", *[f"_{p}_{n}" for n in (*back, *ahead) for p in "mc"])
+
+
+def last_known(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], block: Column,
+               inclusive: bool = True) -> DataFrame:
+    return known_around(df, keys, order, block, back=values, inclusive=inclusive)
+
+
+def closed_ring(df: DataFrame, key: str, halo: int, block: int = BLOCK) -> tuple[DataFrame, object]:
+    """Lay a closed lap out so that frames of up to ``halo`` rows wrap and split.
+
+    ``df`` has a dense ``idx`` from 0 and its length ``n``. Samples near the line
+    are repeated on the other side of it, and samples near a block edge in the
+    next block. Returns the rows with ``pos``, ``core`` (false for the copies)
+    and the window to use; keep only ``core`` rows afterwards.
+    """
+    pos = F.explode(F.array_compact(F.array(
+        F.col("idx"), F.when(F.col("idx") < halo, F.col("idx") + F.col("n")),
+        F.when(F.col("idx") >= F.col("n") - halo, F.col("idx") - F.col("n")))))
+    laid = df.withColumn("pos", pos).withColumn("_block", F.explode(F.sequence(
+        F.greatest(F.lit(0), F.floor((F.col("pos") - halo) / block)).cast("int"),
+        F.greatest(F.lit(0), F.least(F.floor((F.col("n") - 1) / block), F.floor((F.col("pos") + halo) / block))).cast("int"))))
+    core = (F.col("pos") == F.col("idx")) & (F.col("_block") == F.floor(F.col("idx") / block))
+    return laid.withColumn("core", core), Window.partitionBy(key, "_block").orderBy("pos")

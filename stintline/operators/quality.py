@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stintline.functions.figures import same_number, true_median
 from stintline.operators import record as rec
 from stintline.operators import season as sn
+from stintline.operators import telemetry as tel
 from stintline.operators import weekend as wk
 
 
@@ -118,3 +119,41 @@ def check_radio(timeline: DataFrame) -> DataFrame:
     checks = {"clip without a link": F.coalesce("link", F.lit("")) == ""}
     checks.update({f"carries a '{c}' column": F.lit(True) for c in carried})
     return _errors(timeline, ["session_id", "clip_id"], checks)
+
+
+def check_line_counts(manifest: DataFrame, line: DataFrame, unavailable: DataFrame) -> DataFrame:
+    """Declared points and channels against the stored rows, both ways."""
+    own = tel.line_manifest(line).select("lap_key", F.col("points").alias("_points"), F.col("channels").alias("_channels"))
+    joined = manifest.join(own, "lap_key", "full_outer").join(
+        unavailable.select("lap_key").withColumn("_refused", F.lit(True)), "lap_key", "left")
+    return _errors(joined, ["lap_key"], {
+        "declares no channels": F.col("channels") == "",
+        "listed but not stored": F.col("_points").isNull(),
+        "stored but not listed": F.col("points").isNull(),
+        "point count": F.col("points") != F.col("_points"),
+        "channel list": F.col("channels") != F.col("_channels"),
+        "unavailable lap has a line": F.coalesce("_refused", F.lit(False)) & F.col("_points").isNotNull(),
+    })
+
+
+# Fixed value: the two sources agree to the millisecond on every lap of record.
+QUALIFYING_TOLERANCE_S = 0.01
+
+
+def check_qualifying_sources(traced: DataFrame, qualifying: DataFrame,
+                             tolerance_s: float = QUALIFYING_TOLERANCE_S) -> DataFrame:
+    """The traced lap against the driver's best official qualifying time."""
+    official = qualifying.select("session_id", "driver_id", F.least("q1_s", "q2_s", "q3_s").alias("official_s"))
+    drift = F.round(F.abs(F.col("time_s") - F.col("official_s")), 6)
+    return traced.join(official, ["session_id", "driver_id"]).where(drift > tolerance_s).select(
+        "session_id", "driver_id", "time_s", "official_s", drift.alias("drift_s"))
+
+
+def stale_survey(stored: DataFrame, fresh: DataFrame, keys: list[str], ignore: tuple[str, ...] = ("generated_at",)) -> DataFrame:
+    """Laps a new survey would gain, lose or change, whatever the time stamp says."""
+    columns = [c for c in stored.columns if c not in keys and c not in ignore]
+    old = stored.select(*keys, F.struct(*columns).alias("_old"))
+    new = fresh.select(*keys, F.struct(*columns).alias("_new"))
+    state = F.when(F.col("_old").isNull(), "gained").when(F.col("_new").isNull(), "lost").when(
+        ~F.col("_old").eqNullSafe(F.col("_new")), "changed")
+    return old.join(new, keys, "full_outer").select(*keys, state.alias("change")).where("change IS NOT NULL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stintline.functions.figures import nearest_rank, true_median, upper_median
+from stintline.functions.lineage import materialised
 from stintline.functions.scans import int_block, running_total
 
 CAR = ["session_id", "driver_id"]
@@ -86,7 +87,7 @@ def undercut_candidates(
     neighbouring ``rival_window_s`` bucket. Only near pairs are ever formed.
     ``reason`` is null for a publishable pair.
     """
-    elapsed = cumulative_times(laps)
+    elapsed = materialised(cumulative_times(laps))
     bucket = F.floor(F.col("elapsed_s") / rival_window_s)
     numbered = _numbered_stops(stops)
     order = Window.partitionBy(*CAR).orderBy("lap")
@@ -143,7 +144,7 @@ def undercut_candidates(
 
 def undercut_ledger(laps: DataFrame, stops: DataFrame, **limits) -> DataFrame:
     """Net time every stop won or lost against the cars being fought."""
-    kept = undercut_candidates(laps, stops, **limits).where("reason IS NULL")
+    kept = materialised(undercut_candidates(laps, stops, **limits).where("reason IS NULL"))
     medians = field_median_by_lap(laps)
     spans = kept.select("session_id", "before_lap", "after_lap").distinct()
     slowed = (
