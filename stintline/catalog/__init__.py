@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("strategy", "season", "record", "weekend", "telemetry")
+MODULES = ("strategy", "season", "record", "weekend", "telemetry", "geometry")
 
 
 def load():
