@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("strategy", "season", "record", "weekend", "telemetry", "geometry")
+MODULES = ("strategy", "season", "record", "weekend", "telemetry", "geometry", "model")
 
 
 def load():

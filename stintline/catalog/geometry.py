@@ -15,7 +15,7 @@ from stintline.plans.survey import aero_survey
 
 # The fixture laps carry about 0.6 g everywhere and few coasting samples, so the
 # thresholds are set where both of their sides occur.
-TURNS = {"g_threshold": 0.62, "min_length_m": 10.0, "merge_gap_m": 6.0}
+TURNS = {"g_threshold": 0.68, "min_length_m": 10.0, "merge_gap_m": 6.0}
 COAST = {"min_speed_kph": 140.0, "max_lateral_g": 1.0}
 DRAG = {"min_samples": 3, "min_span_kph": 4.0, "min_r2": 0.3}
 
@@ -133,7 +133,7 @@ def _(v):
 
 
 SHARED["load_o"] = """
-    SELECT t.*, load >= 0.62 AS over FROM (
+    SELECT t.*, load >= 0.68 AS over FROM (
       SELECT l.lap_key, l.idx, any_value(l.n) AS n, any_value(l.speed) AS speed, any_value(l.curvature) AS curvature,
              any_value(l.lateral_g) AS lateral_g, round(avg(abs(p.lateral_g)), 9) AS load
       FROM (SELECT *, unnest(range(-5, 6)) AS k FROM trace_o) l
@@ -153,7 +153,7 @@ SHARED["turnspan_o"] = """
           FROM runs_o) x) y GROUP BY lap_key, turn HAVING (max(b) - min(a) + 1) * 2.0 >= 10) z"""
 SHARED["turns_o"] = """
     SELECT g.lap_key, g.number, (g.a + g.start) % g.n AS start_index, (g.b + g.start) % g.n AS end_index, g.apex_index,
-           (g.b - g.a + 1) * 2.0 AS length_m, CASE WHEN why IS NULL THEN sustained END AS sustained_lateral_g,
+           (g.b - g.a + 1) * 2e0 AS length_m, CASE WHEN why IS NULL THEN sustained END AS sustained_lateral_g,
            CASE WHEN why IS NOT NULL THEN sustained END AS unresolved_lateral_g, why AS withheld_reason,
            min_speed_kph, entry_speed_kph, exit_speed_kph, CASE WHEN apex_lat >= 0 THEN 'left' ELSE 'right' END AS direction,
            sustained_curvature, g.n
@@ -181,8 +181,8 @@ def _(v):
 
 
 @query("turn_details", """
-    SELECT t.lap_key, t.number, t.apex_index * 2.0 AS apex_distance_m, l.gear AS gear_at_apex,
-           (t.start_index - back + t.n) % t.n AS braking_index, back * 2.0 AS braking_distance_m
+    SELECT t.lap_key, t.number, t.apex_index * 2e0 AS apex_distance_m, l.gear AS gear_at_apex,
+           (t.start_index - back + t.n) % t.n AS braking_index, back * 2e0 AS braking_distance_m
     FROM (SELECT t.lap_key, t.number, any_value(t.apex_index) AS apex_index, any_value(t.start_index) AS start_index,
                  any_value(t.n) AS n, min((t.start_index - o.idx + t.n) % t.n) FILTER (WHERE (t.start_index - o.idx + t.n) % t.n < 4) AS back
           FROM turns_o t LEFT JOIN (SELECT c.lap_key, c.idx FROM laplen_o c JOIN line_v p ON p.lap_key = c.lap_key
@@ -419,7 +419,7 @@ def _(v):
 
 SHARED["style_o"] = """
     SELECT p.*, coalesce(c.turns, 0) AS turns, c.mean_corner_min_kph, c.mean_pickup_m, coalesce(c.pickups, 0) AS pickups
-    FROM (SELECT lap_key, count(*) * 2.0 AS lap_distance_m, avg((throttle >= 98)::INT) AS full_throttle_share, avg((brake > 0)::INT) AS braking_share,
+    FROM (SELECT lap_key, count(*) * 2e0 AS lap_distance_m, avg((throttle >= 98)::INT) AS full_throttle_share, avg((brake > 0)::INT) AS braking_share,
                  avg((brake = 0 AND throttle <= 5)::INT) AS coasting_share,
                  count(*) FILTER (WHERE gear <> prev) AS gear_changes, max(speed) AS top_speed_kph
           FROM (SELECT *, lag(gear) OVER (PARTITION BY lap_key ORDER BY idx) AS prev FROM trace_o) t GROUP BY lap_key) p

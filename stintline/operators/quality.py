@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintline.functions.figures import same_number, true_median
+from stintline.operators import model as mdl
+from stintline.operators import outcomes as out
 from stintline.operators import record as rec
 from stintline.operators import season as sn
 from stintline.operators import telemetry as tel
@@ -157,3 +159,43 @@ def stale_survey(stored: DataFrame, fresh: DataFrame, keys: list[str], ignore: t
     state = F.when(F.col("_old").isNull(), "gained").when(F.col("_new").isNull(), "lost").when(
         ~F.col("_old").eqNullSafe(F.col("_new")), "changed")
     return old.join(new, keys, "full_outer").select(*keys, state.alias("change")).where("change IS NOT NULL")
+
+
+def check_replay(gate: DataFrame, totals: DataFrame, max_error: float = out.MAX_REPLAY_ERROR) -> DataFrame:
+    """Every scenario marked validated, replayed again from its parameters."""
+    again = out.replay_gate(totals, gate, max_error).select(
+        "scenario_id", F.col("median_s").alias("replayed_s"), F.col("validated").alias("_ok"))
+    return gate.where("validated").join(again, "scenario_id", "left").where(~F.coalesce("_ok", F.lit(False))).select(
+        "scenario_id", "actual_s", "replayed_s")
+
+
+def check_pit_loss(published: DataFrame, losses: DataFrame, **limits) -> DataFrame:
+    """The published circuit figures against the driver losses they came from."""
+    own = mdl.circuit_pit_loss(losses, **limits).select("circuit_id", *[
+        F.col(c).alias(f"_{c}") for c in ("published", "median_s", "q1_s", "q3_s", "drivers")])
+    both = F.col("published") & F.col("_published")
+    return _errors(published.join(own, "circuit_id", "left"), ["circuit_id"], {
+        "nothing measured it": F.col("_published").isNull(),
+        "published flag": F.col("published") != F.col("_published"),
+        **{c: both & ~same_number(c, f"_{c}") for c in ("median_s", "q1_s", "q3_s", "drivers")},
+        "withheld without a reason": ~F.col("published") & F.col("withheld_reason").isNull(),
+    })
+
+
+def refusal_ledger(groups: dict[str, DataFrame]) -> DataFrame:
+    """Every withheld figure of every module, counted beside what was published.
+
+    Each group is (season, published, reason): a row per figure, a reason where
+    it was withheld. Counting is per module, season and reason, so the ledger
+    stays small however many figures there are.
+    """
+    rows = [df.select("season", F.lit(name).alias("module"), "published", "reason") for name, df in groups.items()]
+    merged = rows[0]
+    for more in rows[1:]:
+        merged = merged.unionByName(more)
+    per_reason = merged.groupBy("module", "season", F.when(~F.col("published"), F.col("reason")).alias("reason")).agg(
+        F.count("*").alias("figures"))
+    totals = merged.groupBy("module", "season").agg(
+        F.count_if(F.col("published")).alias("published"), F.count_if(~F.col("published")).alias("refused"))
+    return totals.join(per_reason.where("reason IS NOT NULL"), ["module", "season"], "left").select(
+        "module", "season", "published", "refused", "reason", F.coalesce("figures", F.lit(0)).alias("entries"))

@@ -270,4 +270,4 @@ def session_conditions(weather: DataFrame, hours: DataFrame, min_samples: int =
 
 def conditions_counts(conditions: DataFrame) -> DataFrame:
     return conditions.groupBy(F.floor(F.col("session_id") / 1000).cast("int").alias("season")).agg(
-        F.count_if("published").alias("published"), F.count_if(~F.col("published")).alias("withheld"))
+        F.count_if(F.col("published")).alias("published"), F.count_if(~F.col("published")).alias("withheld"))

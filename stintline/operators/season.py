@@ -102,7 +102,7 @@ def elimination(table: DataFrame, remaining: DataFrame, race_max: float = RACE_P
     """Out only if every remaining point still leaves a driver short; a tie stays alive."""
     left = remaining.groupBy("season").agg(
         F.count("*").alias("remaining_rounds"),
-        (F.count("*") * float(race_max) + F.count_if("sprint") * float(sprint_max)).alias("remaining_max"))
+        (F.count("*") * float(race_max) + F.count_if(F.col("sprint")) * float(sprint_max)).alias("remaining_max"))
     leader = table.where("position = 1").select("season", F.col("points").alias("leader_points"))
     best = F.col("points") + F.coalesce("remaining_max", F.lit(0.0))
     return table.join(leader, "season").join(left, "season", "left").select(
@@ -136,7 +136,7 @@ def circuit_editions(results: DataFrame, stops: DataFrame, keys: list[str]) -> D
     a null driver.
     """
     base = _editions(results).groupBy(*keys, "year").agg(
-        F.count_if("started").alias("starters"), F.count_if("counted").alias("classified"),
+        F.count_if(F.col("started")).alias("starters"), F.count_if(F.col("counted")).alias("classified"),
         F.max("winner_grid").alias("winner_grid"))
     per_driver = stops.groupBy(*keys, "year", "driver_id").agg(F.count("driver_id").alias("n"))
     stopped = per_driver.groupBy(*keys, "year").agg(
@@ -151,7 +151,7 @@ def circuit_priors(results: DataFrame, stops: DataFrame, keys: list[str]) -> Dat
     per_year = circuit_editions(results, stops, keys).groupBy(*keys).agg(
         F.count("*").alias("editions"), F.count_if("stops_available").alias("editions_with_stops"))
     figures = rows.groupBy(*keys).agg(
-        F.count_if("started").alias("starters"), F.count_if("counted").alias("classified"),
+        F.count_if(F.col("started")).alias("starters"), F.count_if(F.col("counted")).alias("classified"),
         true_median("places").alias("median_places"), F.count("places").alias("places_n"),
         true_median("winner_grid").alias("winner_grid_median"), F.min("winner_grid").alias("winner_grid_best"),
         F.max("winner_grid").alias("winner_grid_worst"), F.count("winner_grid").alias("winner_grid_n"))
