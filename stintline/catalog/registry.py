@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
 
 
 def oracle_statements() -> dict[str, str]:
-    return {name: with_views(sql, SHARED) for name, sql in ORACLES.items()}
+    return {name: with_views(sql, SHARED, "AS MATERIALIZED") for name, sql in ORACLES.items()}
 
 
 def r6(expr: str, digits: int = 6) -> str:

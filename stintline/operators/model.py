@@ -68,6 +68,7 @@ def fit_rows(laps: DataFrame, index: DataFrame, neutralised: DataFrame, min_per_
         .join(neutralised.select("session_id", "lap"), ["session_id", "lap"], "left_anti")
         .join(length, "session_id")
     )
+    green = materialised(green)
     counts = green.groupBy("session_id", "compound").agg(F.count("*").alias("sample_laps"))
     sizes = counts.groupBy("session_id").agg(
         F.sum("sample_laps").alias("_all"),

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stintline.functions.figures import nearest_rank, true_median
 
@@ -51,18 +52,17 @@ def valid_scenarios(strategies: DataFrame, params: DataFrame, compounds: DataFra
 def _stint_sums(strategies: DataFrame, params: DataFrame, compounds: DataFrame) -> DataFrame:
     """Every stint with the sums over its laps that the model is linear in.
 
-    ``before`` is the number of laps already run. It comes from a join of the
-    scenario's few stints with themselves, so it needs no window.
+    The frames run over one scenario's stints, a handful of rows. They come
+    last, so the result is laid out by scenario and the draws group in place.
     """
     c = F.col
-    shape = strategies.groupBy("scenario_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("stint_ix", "laps"))).alias("_laps"), F.count("*").cast("int").alias("stints"))
-    before = F.aggregate(F.sequence(F.lit(0), c("stint_ix")), F.lit(0).cast("long"),
-                         lambda acc, i: acc + F.when(i < c("stint_ix"), F.coalesce(c("_laps")[i], F.lit(0))).otherwise(0))
+    whole = Window.partitionBy("scenario_id")
+    earlier = whole.orderBy("stint_ix").rowsBetween(Window.unboundedPreceding, -1)
     n = c("laps").cast("double")
     return (
-        strategies.join(shape, "scenario_id").withColumn("before", before).drop("_laps")
-        .join(params, "scenario_id").join(compounds, ["session_id", "compound"])
+        strategies.join(params, "scenario_id").join(compounds, ["session_id", "compound"])
+        .withColumn("stints", F.count("*").over(whole).cast("int"))
+        .withColumn("before", F.coalesce(F.sum("laps").over(earlier), F.lit(0)))
         .withColumns({"life_sum": n * (n + 1) / 2, "life2_sum": n * (n + 1) * (2 * n + 1) / 6,
                       "remaining_sum": n * (c("total_laps") - c("before")) - n * (n + 1) / 2,
                       "elapsed_sum": n * c("before") + n * (n - 1) / 2})
@@ -84,7 +84,7 @@ def strategy_outcomes(strategies: DataFrame, params: DataFrame, compounds: DataF
     """
     c = F.col
     bits = max(8, (draws * 128).bit_length())
-    stints = _stint_sums(strategies, params, compounds).repartition("scenario_id")
+    stints = _stint_sums(strategies, params, compounds)
     drawn = stints.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     first = c("draw") * (2 * c("stints") - 1) + c("stint_ix") + 1
     last = c("stint_ix") == c("stints") - 1

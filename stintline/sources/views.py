@@ -137,13 +137,12 @@ def _ordered(names: list[str], texts: dict[str, str]) -> list[str]:
     return done
 
 
-def with_views(body: str, extra: dict[str, str] | None = None) -> str:
+def with_views(body: str, extra: dict[str, str] | None = None, as_: str = "AS") -> str:
     """Prefix a statement with the definitions it mentions, in dependency order."""
     texts = {**VIEWS, **(extra or {})}
     used = [w for w in sorted(set(re.findall(r"\b\w+_[vo]\b", body))) if w in texts]
-    ctes = ",\n".join(f"{n} AS ({texts[n]})" for n in _ordered(used, texts))
-    word = "WITH RECURSIVE" if "powers_o AS" in ctes else "WITH"
-    return f"{word} {ctes}\n{body}" if ctes else body
+    ctes = ",\n".join(f"{n} {as_} ({texts[n]})" for n in _ordered(used, texts))
+    return f"WITH {ctes}\n{body}" if ctes else body
 
 
 class Views:
