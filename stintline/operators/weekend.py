@@ -85,7 +85,9 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = MIN_CO
     paired = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_ranks(average_ranks(paired, keys, x, "_rx"), keys, y, "_ry")
     spread = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))
-    rho = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.corr("_rx", "_ry")))
+    # Not corr(): under ANSI rules it fails on a side without spread.
+    rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
+    rho = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rho))
     return ranked.groupBy(*keys).agg(
         F.count("*").alias("n"), F.when((F.count("*") >= min_n) & spread, rho).alias("rho"))
 
