@@ -204,7 +204,9 @@ def read_weather_archive(spark: SparkSession, path: str) -> DataFrame:
     """Parallel hourly arrays to rows; a short array is padded with nulls."""
     hourly = "time ARRAY<STRING>, temperature_2m ARRAY<DOUBLE>, relative_humidity_2m ARRAY<DOUBLE>, precipitation ARRAY<DOUBLE>, wind_speed_10m ARRAY<DOUBLE>"
     raw = _flat(spark, path, f"latitude DOUBLE, longitude DOUBLE, elevation DOUBLE, hourly STRUCT<{hourly}>")
-    zipped = F.arrays_zip(*[F.col(f"hourly.{c}") for c in ("time", "temperature_2m", "relative_humidity_2m", "precipitation", "wind_speed_10m")])
+    names = ("temperature_2m", "relative_humidity_2m", "precipitation", "wind_speed_10m")
+    # A variable the archive left out altogether pads like a short one.
+    zipped = F.arrays_zip("hourly.time", *[F.coalesce(f"hourly.{c}", F.array().cast("array<double>")) for c in names])
     named = zipped.cast("array<struct<hour: string, air_c: double, humidity_pct: double, precip_mm: double, wind_ms: double>>")
     return raw.select("latitude", "longitude", "elevation", F.inline(named)).where("hour IS NOT NULL").withColumn(
         "hour_ts", F.expr("try_to_timestamp(hour)")).drop("hour")
