@@ -480,7 +480,7 @@ def _ledger(v):
     def by(column: str, divisor: int):
         return F.floor(F.col(column) / divisor).cast("int").alias("season")
 
-    stints = _compounds(v)
+    stints = materialised(_compounds(v))
     fits = st.fit_reliability(st.stint_trend(v.laps, stints))
     hours = rec.hours_within(v.sql(_windows()), v.archive)
     totals, params = _totals(v)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintline.functions.figures import same_number, true_median
+from stintline.functions.figures import same_number
+from stintline.functions.lineage import materialised
 from stintline.operators import model as mdl
 from stintline.operators import outcomes as out
 from stintline.operators import record as rec
@@ -186,16 +187,20 @@ def refusal_ledger(groups: dict[str, DataFrame]) -> DataFrame:
     """Every withheld figure of every module, counted beside what was published.
 
     Each group is (season, published, reason): a row per figure, a reason where
-    it was withheld. Counting is per module, season and reason, so the ledger
-    stays small however many figures there are.
+    it was withheld. A module is reduced to its counts before they are brought
+    together, so the ledger stays small however many figures there are.
     """
-    rows = [df.select("season", F.lit(name).alias("module"), "published", "reason") for name, df in groups.items()]
-    merged = rows[0]
-    for more in rows[1:]:
+    def counted(name: str, df: DataFrame) -> DataFrame:
+        reason = F.when(~F.col("published"), F.col("reason")).alias("reason")
+        return materialised(df.groupBy("season", "published", reason).agg(F.count("*").alias("n"))).withColumn("module", F.lit(name))
+
+    tables = [counted(name, df) for name, df in groups.items()]
+    merged = tables[0]
+    for more in tables[1:]:
         merged = merged.unionByName(more)
-    per_reason = merged.groupBy("module", "season", F.when(~F.col("published"), F.col("reason")).alias("reason")).agg(
-        F.count("*").alias("figures"))
     totals = merged.groupBy("module", "season").agg(
-        F.count_if(F.col("published")).alias("published"), F.count_if(~F.col("published")).alias("refused"))
-    return totals.join(per_reason.where("reason IS NOT NULL"), ["module", "season"], "left").select(
-        "module", "season", "published", "refused", "reason", F.coalesce("figures", F.lit(0)).alias("entries"))
+        F.coalesce(F.sum(F.when(F.col("published"), F.col("n"))), F.lit(0)).alias("published"),
+        F.coalesce(F.sum(F.when(~F.col("published"), F.col("n"))), F.lit(0)).alias("refused"))
+    withheld = merged.where("NOT published").select("module", "season", "reason", F.col("n").alias("entries"))
+    return totals.join(withheld, ["module", "season"], "left").fillna(0, ["entries"]).select(
+        "module", "season", "published", "refused", "reason", "entries")
