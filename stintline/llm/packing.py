@@ -24,12 +24,18 @@ SHARD_BYTES = 2 << 20  # text bytes a shard gets on average
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
 
 
+_MARKS = ".,;:!?|#$%&*()"
+# How byte-level vocabularies spell bytes: printable ones as themselves, the others from U+0100 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class WordEncoder:
     """Token ids of whole texts by a public tokenizer whose tokens never cross white space, as bytes of 16-bit ids.
 
     Texts are taken apart at spaces and newlines and every chunk is encoded once, then remembered; the memory is emptied when
-    it holds `most` chunks, so it is bounded and never changes a result. Runs of plain lower-case Latin letters with
-    trailing punctuation skip the regular expressions of the tokenizer and go to its model directly.
+    it holds `most` chunks, so it is bounded and never changes a result. Words of Latin-1 letters, with or without
+    trailing punctuation, skip the tokenizer's regular expressions and go to its model directly: they are one pre-token.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -52,18 +58,22 @@ class WordEncoder:
 
     def _encode(self, chunk: str) -> bytes:
         low = chunk.lower()
-        head = low.rstrip(".,")
-        if len(low) - len(head) > 1 or not head.isascii() or not head.isalpha():
+        head = low.rstrip(_MARKS)
+        if not head.isalpha() or ord(max(head)) > 255:
             return self._direct(chunk)
         ids = self.letters.get(head)
         if ids is None:
-            ids = self.letters[head] = self._direct(head)
-        return ids + self._tail(low[len(head) :]) if len(head) < len(low) else ids
+            ids = self.letters[head] = self._model(head)
+        if len(head) < len(low):
+            tail = low[len(head) :]
+            if tail not in self.letters:
+                self.letters[tail] = self._direct(tail)
+            ids += self.letters[tail]
+        return ids
 
-    def _tail(self, tail: str) -> bytes:
-        if tail not in self.letters:
-            self.letters[tail] = self._direct(tail)
-        return self.letters[tail]
+    def _model(self, word: str) -> bytes:
+        spelled = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return np.array([t.id for t in self.whole.model.tokenize(spelled)], np.uint16).tobytes()
 
     def _direct(self, chunk: str) -> bytes:
         return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, np.uint16).tobytes()
