@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintline.llm.wordhash import LOWER, hash_spans, mix, runs
@@ -136,20 +136,28 @@ def fit(labelled: DataFrame, bits: int = BITS) -> np.ndarray:
     return weights
 
 
+def _chances(column: pa.Array, weights: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(len(column))
+    for first, bounds, slots in features(column, bits):
+        sums = np.concatenate([[0.0], np.cumsum(weights[slots].sum(1))])
+        out[first : first + len(bounds) - 1] = (sums[bounds[1:]] - sums[bounds[:-1]]) * SCALE / np.maximum(1, np.diff(bounds))
+    return _sigmoid(out + weights[-1])
+
+
+def chance(text_col: str, weights: np.ndarray, spark: SparkSession, bits: int = BITS) -> Column:
+    """The chance of label 1 as a column. Null, empty and blank texts have no tokens and score by the bias."""
+    held = spark.sparkContext.broadcast(weights)
+
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(_chances(texts, held.value, bits))
+
+    return of(F.col(text_col).cast("string"))
+
+
 def scored(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """(doc_id, score) of every row: the chance of label 1. Null, empty and blank texts have no tokens and score by the bias."""
-    held = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def score(batches):
-        w = held.value[:-1]
-        for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for first, bounds, slots in features(batch.column(1), bits):
-                sums = np.concatenate([[0.0], np.cumsum(w[slots].sum(1))])
-                out[first : first + len(bounds) - 1] = (sums[bounds[1:]] - sums[bounds[:-1]]) * SCALE / np.maximum(1, np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(out + held.value[-1]))], ["doc_id", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(score, "doc_id long, score double")
+    """(doc_id, score) of every row."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), chance(text_col, weights, docs.sparkSession, bits).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", **names) -> DataFrame:
