@@ -6,10 +6,12 @@ A document's set holds its distinct word n-grams; two documents link when 100 *
 * Light (small) sets enumerate all subsets of the sizes that a link can need: two light sets that link need an overlap of
   exactly c = ceil(percent / (100 + percent) * (|A| + |B|)) and so share a c-subset.
 * Heavy (large) sets go to inverted lists over their rarest n-grams: sets that link share one within their first
-  |A| - ceil(percent * |A| / 100) + 1 in any common order. The order comes from a count table of fixed size over all
-  documents, so n-grams of boilerplate come last.
-* The boundary is the largest size at which the subsets still cost less than scanning the lists, by the size histogram's
-  costs below and the crowding that the count table shows. Light sets that can link to a heavy one are in the lists too.
+  |A| - ceil(percent * |A| / 100) + 1 in any common order. The order comes from counts over all documents: of the n-grams whose
+  hash lies in the lowest SHARE, those of one set only come first, then the n-grams outside that share, then those of several
+  sets. What is known to be of one set needs no list, so most documents post nothing. Which are of several is kept in a bitmap
+  of fixed size; a collision in it changes the order, never the result.
+* The boundary is the largest size at which the subsets still cost less than scanning the lists, by the mean list length
+  that was counted. Light sets that can link to a heavy one are in the lists too.
 * Within a list, members are first compared with one leader each, another in every list and round. What is linked by then
   needs no further comparison; what is left over between different classes is compared exactly. No list is paired with itself.
 """
@@ -28,12 +30,15 @@ from pyspark.sql import functions as F
 
 from stintline.llm.components import components
 from stintline.llm.scratch import Scratch
-from stintline.llm.wordhash import grams, mix, word_runs
+from stintline.llm.wordhash import ROWS, grams, mix, word_runs
 
-SKETCH_BITS = 18  # the count table: 2 ** 18 counters, whatever the corpus
+SHARE = 0.25  # of the n-grams, by hash, are counted for the order
+BITMAP_BITS = 26  # the bitmap of n-grams of several sets: 2 ** 26 bits, whatever the corpus
 MAX_LIGHT = 26  # beyond this size the subsets never pay
 VERIFY_COST = 8.0  # of one compared candidate, in index rows
 LEADER_ROUNDS = 4
+SMALL_LIST = 4  # members of a list that is compared whole at once
+BOUND_CELLS = 256  # of the histogram that bounds an overlap from above
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -69,25 +74,78 @@ def _sets(column: pa.Array, n_words: int) -> Iterator[tuple[int, np.ndarray]]:
             yield first + k, np.unique(got)
 
 
-def gram_counts(docs: DataFrame, n_words: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How often the n-grams of each of 2 ** bits slots occur in all documents: a table of fixed size."""
+def _set_mark(got: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    if not len(got):
+        return 0, 0
+    return int(np.bitwise_xor.reduce(mix(got ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)), int(got.sum(dtype=np.uint64).view(np.int64))
 
-    def count(batches):
-        table = np.zeros(1 << bits, np.int64)
+
+def _counted(got: np.ndarray) -> np.ndarray:
+    """The n-grams whose hash lies in the lowest SHARE: a leading stretch of the sorted hashes."""
+    return got[: np.searchsorted(got, np.uint64(int(SHARE * 2**64)))]
+
+
+def _slots(got: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(got) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _keyed(keys: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(marks))], ["key", "mark"])
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the slot of every key, 32 to a word: at most 2 ** (bits - 5) words come to the driver, however many keys."""
+    def slots(batches):
         for batch in batches:
-            for _, got in _sets(batch.column(0), n_words):
-                np.add.at(table, (got >> np.uint64(64 - bits)).astype(np.int64), 1)
-        slots = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(table[slots])], ["slot", "n"])
+            at = _slots(batch.column(0).to_numpy().view(np.uint64), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(1 << (at & 31))], ["word", "bit"])
 
-    rows = docs.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << bits, np.int64)
-    table[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    words = keys.mapInArrow(slots, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     return table
 
 
+def _marked(got: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    at = _slots(got, bits)
+    return (table[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0
+
+
+def shared_grams(texts: DataFrame, n_words: int, bits: int, scratch: Scratch) -> tuple[np.ndarray, bool, float]:
+    """A bitmap of the counted n-grams that several different sets hold; whether it has all of them; the rows of one on average.
+
+    Where they would fill more than an eighth of the bitmap, only those in more rows are marked.
+    """
+    def count(batches):
+        keys, marks, held = [], [], 0
+        for batch in batches:
+            for _, got in _sets(batch.column(0), n_words):
+                part = _counted(got).copy()
+                keys.append(part)
+                marks.append(np.full(len(part), _set_mark(got)[1]))
+                held += len(part)
+                if held > 1 << 18:
+                    yield _keyed(keys, marks)
+                    keys, marks, held = [], [], 0
+        if keys:
+            yield _keyed(keys, marks)
+
+    counts = texts.mapInArrow(count, "key long, mark long").groupBy("key").agg(F.count("*").alias("c"), F.min("mark").alias("a"), F.max("mark").alias("b"))
+    spread = F.struct(F.count("*").alias("keys"), F.sum("c").alias("rows"))
+    shared = scratch.write(counts.where("a <> b").select("key", "c"))
+    least = 2
+    while shared.where(f"c >= {least}").count() > 1 << (bits - 3):
+        least *= 2
+
+    table = _bitmap(shared.where(f"c >= {least}").select("key"), bits)
+    crowded = shared.agg(spread.alias("s")).first().s
+    scratch.drop(shared)
+    return table, least == 2, (crowded.rows or 0) / max(1, crowded["keys"])
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80,
-                    sketch_bits: int = SKETCH_BITS) -> DataFrame:
+                    bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs; component_id is the smallest id reachable by links.
 
     Words are runs of non-space characters with A-Z lower-cased; a text of fewer than n_words words has its whole sequence
@@ -97,11 +155,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = gram_counts(rows.select("text"), n_words, sketch_bits)
-    total = max(1, int(table.sum()))
-    crowding = float((table.astype(np.float64) ** 2).sum() / total / max(1.0, total / len(table)))
+    table, complete, crowding = shared_grams(rows.select("text"), n_words, bitmap_bits, scratch)
     light = light_boundary(percent, crowding)
-    order = spark.sparkContext.broadcast(np.minimum(table, 2**32 - 1).astype(np.uint32))
+    order = spark.sparkContext.broadcast(table)
+
+    def posted_grams(got: np.ndarray) -> np.ndarray:
+        """What of a set's prefix needs a list: not the n-grams that come first, if they are known to be of this set only."""
+        counted = len(_counted(got))
+        several = _marked(got[:counted], order.value, bitmap_bits)
+        first = got[:counted][~several]
+        prefix = np.concatenate([first, got[counted:], got[:counted][several]])[: _prefix(len(got), percent)]
+        return prefix[len(first) :] if complete else prefix
 
     def index(batches):
         for batch in batches:
@@ -109,15 +173,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for _, got in _sets(batch.column(1), n_words):
                 n = len(got)
                 sizes.append(n)
-                high.append(int(np.bitwise_xor.reduce(mix(got ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if n else 0)
-                low.append(int(got.sum(dtype=np.uint64).view(np.int64)) if n else 0)
+                marks = _set_mark(got)
+                high.append(marks[0])
+                low.append(marks[1])
                 parts = []
                 if 0 < n <= light:
                     for c in _overlaps(n, percent, light):
                         parts += [mix(np.array([sum(map(int, s)) + (c << 56) & (2**64 - 1) for s in combinations(mix(got + np.uint64(1)), c)], np.uint64))]
                 if n > light or 100 * n >= percent * (light + 1):
-                    rare = np.lexsort((got, order.value[(got >> np.uint64(64 - sketch_bits)).astype(np.int64)]))
-                    parts.append(got[rare[: _prefix(n, percent)]] if n else got)
+                    parts.append(posted_grams(got))
                 keys.append(np.concatenate(parts).view(np.int64) if parts and n else np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -131,11 +195,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("high", "low", "r.*"))
     nodes = scratch.write(nodes.withColumnRenamed("doc_id", "node"))
     posted = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = scratch.write(posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    lists = scratch.write(posted.join(shared, "key").select("key", "node", "n"))
+    shared = scratch.write(posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    lists = scratch.write(posted.join(shared, "key").select("key", "node", "n", "c"))
 
-    wanted = scratch.write(lists.select("node").distinct())
-    sets = scratch.write(_stored_sets(rows.join(wanted, rows.doc_id == wanted.node, "left_semi"), n_words))
+    # Which documents are in a list is one more bitmap, so the texts are not shuffled; a collision stores a set too many.
+    wanted = spark.sparkContext.broadcast(_bitmap(lists.select("node").distinct(), bitmap_bits))
+    sets = scratch.write(_stored_sets(rows.where("doc_id is not null"), n_words, wanted, bitmap_bits))
 
     member = known.join(nodes.select("high", "low", "node"), ["high", "low"], "left")
     member = scratch.write(member.select("doc_id", F.col("n").alias("n_shingles"),
@@ -144,26 +209,39 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = scratch.write(member.where("doc_id is not null and doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).join(
         member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select(F.col("doc_id").alias("u")),
         "u", "left_semi"))
-    scratch.drop(known, shared, wanted)
+    scratch.drop(known, shared)
 
+    tested = None
     classes = components(edges, scratch)
-    rounds = [*range(LEADER_ROUNDS), None]  # None: everything that is left, exactly
+    large = scratch.write(lists.where(f"c > {SMALL_LIST}").select("key", "node", "n"))
+    # Short lists whole, then long ones by leaders, then (None) everything that is left in them, exactly.
+    rounds = ["short", *(range(LEADER_ROUNDS) if not large.isEmpty() else ()), *([None] if not large.isEmpty() else [])]
     while rounds:
-        round_no = rounds.pop(0)
-        placed = lists.join(classes, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("class"))
-        mixed = placed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
-        placed = scratch.write(placed.join(mixed, "key"))
-        pairs = _left_over(placed) if round_no is None else _with_leader(placed, round_no)
-        pairs = scratch.write(pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-                              .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        found = scratch.write(_verified(pairs, sets, percent))
-        scratch.drop(placed, pairs)
+        step = rounds.pop(0)
+        if step == "short":
+            placed, pairs = None, _within(lists.where(f"c <= {SMALL_LIST}"))
+        else:
+            placed = large.join(classes, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("class"))
+            mixed = placed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
+            placed = scratch.write(placed.join(mixed, "key"))
+            pairs = _left_over(placed) if step is None else _with_leader(placed, step)
+        pairs = pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = scratch.write(pairs.join(tested, ["u", "v"], "left_anti") if tested is not None else pairs)
+        tested = tested.unionByName(pairs) if tested is not None else pairs
+        near = scratch.write(_possible(pairs, sets, percent))
+        few = scratch.write(near.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        found = scratch.write(_verified(near, sets.select("node", "grams").join(few, "node", "left_semi"), percent))
+        if placed is not None:
+            scratch.drop(placed)
+        scratch.drop(near, few)
         if found.isEmpty():
             scratch.drop(found)
-            rounds = rounds[-1:]  # another leader would hardly do better
+            if step not in ("short", None):
+                rounds = rounds[-1:]  # another leader would hardly do better
             continue
         edges = edges.unionByName(found)
         classes = components(edges, scratch)
+    scratch.drop(large)
     scratch.drop(nodes, lists, sets)
     return member.join(classes, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
@@ -184,13 +262,39 @@ def _left_over(placed: DataFrame) -> DataFrame:
     return minor.join(placed.select("key", F.col("node").alias("v"), F.col("n").alias("m"), "class"), "key").where("class <> of")
 
 
-def _stored_sets(rows: DataFrame, n_words: int) -> DataFrame:
+def _within(lists: DataFrame) -> DataFrame:
+    """The pairs of lists of at most SMALL_LIST members."""
+    other = lists.select("key", F.col("node").alias("v"), F.col("n").alias("m"))
+    return lists.select("key", F.col("node").alias("u"), "n").join(other, "key").where("u < v")
+
+
+def _stored_sets(rows: DataFrame, n_words: int, wanted, bits: int) -> DataFrame:
+    """(node, grams, cells) of the wanted rows: the sorted hashes, and how many of them fall in each cell, 255 meaning any more."""
     def store(batches):
         for batch in batches:
-            got = [x.tobytes() for _, x in _sets(batch.column(1), n_words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["node", "grams"])
+            all_kept = batch.filter(pa.array(_marked(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), wanted.value, bits)))
+            for at in range(0, all_kept.num_rows, ROWS):
+                kept = all_kept.slice(at, ROWS)
+                got = [x for _, x in _sets(kept.column(1), n_words)]
+                cells = [np.minimum(np.bincount((x & np.uint64(BOUND_CELLS - 1)).astype(np.int64), minlength=BOUND_CELLS), 255).astype(np.uint8).tobytes() for x in got]
+                yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary()),
+                                                  pa.array(cells, pa.binary())], ["node", "size", "grams", "cells"])
 
-    return rows.mapInArrow(store, "node long, grams binary")
+    return rows.mapInArrow(store, "node long, size long, grams binary, cells binary")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose overlap can reach what a link needs: no more than the cells have in common, whatever the n-grams."""
+    @F.pandas_udf("boolean")
+    def possible(left: pd.Series, right: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, BOUND_CELLS) for c in (left, right))
+        full = ((x == 255) & (y == 255)).any(1)
+        most = np.minimum(x, y).sum(1, dtype=np.int64)
+        return pd.Series(full | ((100 + percent) * most >= percent * (a + b).to_numpy()))
+
+    cells = sets.select("node", "size", "cells")
+    return (pairs.join(cells.toDF("u", "a", "left"), "u").join(cells.toDF("v", "b", "right"), "v")
+            .where(possible("left", "right", "a", "b")).select("u", "v").distinct())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

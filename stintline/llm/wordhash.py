@@ -92,17 +92,20 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8), offsets
 
 
+ROWS = 512  # texts that are copied at once
+
+
 def runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, past, bytes, offsets from 0) of successive runs of whole documents."""
-    if not len(column):
-        return
-    data, offsets = raw(column)
-    first = 0
-    while first < len(column):
-        past = int(np.searchsorted(offsets, offsets[first] + RUN_BYTES, "left"))
-        past = min(max(past, first + 1), len(column))
-        yield first, past, data[offsets[first] : offsets[past]], offsets[first : past + 1] - offsets[first]
-        first = past
+    for base in range(0, len(column), ROWS):
+        part = column.slice(base, ROWS)
+        data, offsets = raw(part)
+        first = 0
+        while first < len(part):
+            past = int(np.searchsorted(offsets, offsets[first] + RUN_BYTES, "left"))
+            past = min(max(past, first + 1), len(part))
+            yield base + first, base + past, data[offsets[first] : offsets[past]], offsets[first : past + 1] - offsets[first]
+            first = past
 
 
 def word_runs(column: pa.Array, kind: np.ndarray = SPACED) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
