@@ -157,8 +157,8 @@ SHARED["turns_o"] = """
            CASE WHEN why IS NOT NULL THEN sustained END AS unresolved_lateral_g, why AS withheld_reason,
            min_speed_kph, entry_speed_kph, exit_speed_kph, CASE WHEN apex_lat >= 0 THEN 'left' ELSE 'right' END AS direction,
            sustained_curvature, g.n
-    FROM (SELECT h.*, CASE WHEN r.steps_near THEN 'the speed channel steps here'
-                           WHEN NOT r.resolved THEN 'the corner is tighter than the window of the fit' END AS why
+    FROM (SELECT h.*, CASE WHEN r.steps_near THEN 'speed_step_near'
+                           WHEN NOT r.resolved THEN 'radius_below_window' END AS why
           FROM (SELECT s.lap_key, s.number, s.a, s.b, o.n, o.start, arg_max(o.idx, {'l': o.load, 'q': -o.q}) AS apex_index,
                        arg_max(o.lateral_g, {'l': o.load, 'q': -o.q}) AS apex_lat, min(o.speed) AS min_speed_kph,
                        max(CASE WHEN o.q = s.a THEN o.speed END) AS entry_speed_kph, max(CASE WHEN o.q = s.b THEN o.speed END) AS exit_speed_kph,
@@ -403,7 +403,7 @@ SHARED["drag_o"] = """
            CASE WHEN reason IS NULL THEN r2 END AS r2,
            CASE WHEN reason IS NULL THEN CASE WHEN c > 0 THEN sqrt(c / k) * 3.6 ELSE 0 END END AS crossover_kph, reason
     FROM (SELECT *, CASE WHEN coalesce(n, 0) < 3 THEN 'too few coasting samples' WHEN hi - lo < 4 THEN 'too little spread of speed'
-                    WHEN k IS NULL THEN 'the samples carry no spread to fit' WHEN k <= 0 THEN 'the fitted v^2 term is negative'
+                    WHEN k IS NULL THEN 'the samples carry no spread to fit' WHEN k <= 0 THEN 'drag_not_positive'
                     WHEN r2 < 0.3 THEN 'the fit explains too little' END AS reason
           FROM (SELECT DISTINCT lap_key FROM trace_o) l LEFT JOIN (
             SELECT lap_key, count(*) AS n, min(speed) AS lo, max(speed) AS hi, regr_slope(y, x) AS k, regr_intercept(y, x) AS c, regr_r2(y, x) AS r2

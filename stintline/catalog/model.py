@@ -283,7 +283,7 @@ def _(v):
 def _state(k: str) -> str:
     """seed * 48271^k mod (2^31 - 1) as SQL."""
     text, step = "seed % 2147483647", 48271
-    for bit in range(13):
+    for bit in range(31):
         text = f"({text} * CASE WHEN ({k} >> {bit}) & 1 = 1 THEN {step} ELSE 1 END % 2147483647)"
         step = step * step % 2147483647
     return text
@@ -455,7 +455,7 @@ def _season(c):
 SHARED["figures_o"] = f"""
     SELECT 'Tyre compounds' AS module, {_season('session_id / 1000')}, compound IS NOT NULL AS published, compound_source AS reason FROM compounds_o
     UNION ALL SELECT 'Degradation fits', {_season('session_id / 1000')}, sample_count >= 6 AND r_squared >= 0.3,
-      CASE WHEN sample_count < 6 THEN 'too few usable laps' ELSE 'lap-to-lap scatter dominates the trend' END FROM trend_o
+      CASE WHEN sample_count < 6 THEN 'samples_low' ELSE 'r_squared_low' END FROM trend_o
     UNION ALL SELECT 'Conditions', {_season('session_id / 1000')}, published, withheld_reason FROM conditions_o
     UNION ALL SELECT 'Pit loss', {_season('circuit_id / 1000')}, published, withheld_reason FROM pitstats_o
     UNION ALL SELECT 'Elevation', {_season('lap_key / 100000')}, lap_key % 4 = 3 AND max(z) - min(z) >= 3,

@@ -9,7 +9,8 @@ from stintline.functions.figures import rounded
 from stintline.operators import strategy as st
 from stintline.plans.race import race_document
 
-DRIVERS = list(range(20))
+DRIVERS = [0, 3, 4, 11, 17]
+CHOSEN = "(" + ", ".join(map(str, DRIVERS)) + ")"
 
 SHARED["stints_o"] = """
     SELECT session_id, driver_id, stint, start_lap, end_lap, end_lap - start_lap + 1 AS laps FROM (
@@ -141,12 +142,12 @@ def _(v):
     return st.undercut_exclusions(v.laps, v.stops)
 
 
-@query("undercut_filter", """
+@query("undercut_filter", f"""
     SELECT session_id, count(*) FILTER (WHERE NOT neutralised_window) AS clean,
            count(*) FILTER (WHERE neutralised_window) AS neutralised
-    FROM ledger_o GROUP BY session_id""")
+    FROM ledger_o WHERE driver_id IN {CHOSEN} OR rival_id IN {CHOSEN} GROUP BY session_id""")
 def _(v):
-    return st.undercut_filter(st.undercut_ledger(v.laps, v.stops))
+    return st.undercut_filter(st.undercut_ledger(v.laps, v.stops), DRIVERS)
 
 
 _TREND = ["base_s", "deg_rate_s_per_lap", "quadratic_term", "r_squared"]
@@ -170,8 +171,8 @@ def _(v):
 @query("fit_reliability", f"""
     SELECT session_id, driver_id, stint, sample_count, {r6('r_squared')} AS r_squared,
            sample_count >= 6 AND r_squared >= 0.3 AS reliable,
-           CASE WHEN sample_count < 6 THEN 'too few usable laps'
-                WHEN r_squared < 0.3 THEN 'lap-to-lap scatter dominates the trend' END AS withheld_reason
+           CASE WHEN sample_count < 6 THEN 'samples_low'
+                WHEN r_squared < 0.3 THEN 'r_squared_low' END AS withheld_reason
     FROM trend_o""")
 def _(v):
     return st.fit_reliability(_trend(v)).select(
@@ -179,7 +180,7 @@ def _(v):
 
 
 @query("fits_for_drivers",
-       f"SELECT session_id, driver_id, stint, sample_count, excluded_laps, {_TREND_SQL} FROM trend_o")
+       f"SELECT session_id, driver_id, stint, sample_count, excluded_laps, {_TREND_SQL} FROM trend_o WHERE driver_id IN {CHOSEN}")
 def _(v):
     return st.fits_for_drivers(_shown(_trend(v)), DRIVERS)
 
@@ -194,8 +195,8 @@ def _(v):
 @query("session_pit_loss", f"""
     SELECT session_id, CASE WHEN g > 0 AND n > 0 THEN {r6('p - 2 * b')} END AS pit_loss_s,
            CASE WHEN g > 0 AND n > 0 THEN n ELSE 0 END AS sample_size,
-           CASE WHEN g = 0 THEN 'insufficient green-flag laps'
-                WHEN n = 0 THEN 'no pit stops recorded this session' END AS withheld_reason
+           CASE WHEN g = 0 THEN 'green_laps_missing'
+                WHEN n = 0 THEN 'stops_missing' END AS withheld_reason
     FROM (SELECT session_id, median(time_s) FILTER (WHERE ok) AS b, median(time_s) FILTER (WHERE box) AS p,
                  count(*) FILTER (WHERE ok) AS g, count(*) FILTER (WHERE box) AS n
           FROM (SELECT l.session_id, l.time_s, l.pit OR t.is_pit_out AS box,
@@ -218,7 +219,7 @@ def _(v):
     return st.session_best(v.laps)
 
 
-@query("lap_series", "SELECT session_id, driver_id, lap, time_s FROM laps_v")
+@query("lap_series", f"SELECT session_id, driver_id, lap, time_s FROM laps_v WHERE driver_id IN {CHOSEN}")
 def _(v):
     return st.lap_series(v.laps, DRIVERS)
 

@@ -7,8 +7,8 @@ Three different medians are in use, and they are not interchangeable:
 * ``nearest_rank``  - ``sorted[min(n - 1, floor(p * n))]``.
 
 All three are exact aggregates with a map-side combine: each task sends one
-``value -> count`` map per group, so a group holding a third of all rows costs
-its number of *distinct* values, never its rows.
+``value -> count`` map per group. They are for groups of bounded size (a lap, a
+stint, the field of one lap); groups that grow with the data take ``ranks.ranked``.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def lap_time_seconds(text) -> Column:
 def classified(status) -> Column:
     """Finished, Lapped or ``+N Lap(s)``."""
     s = F.col(status) if isinstance(status, str) else status
-    return F.coalesce(s.isin("Finished", "Lapped") | s.rlike(r"^\+(.* )?Laps?\.*$"), F.lit(False))
+    return F.coalesce(s.isin("Finished", "Lapped") | s.rlike(r"^\+\S.* Laps?\.*$"), F.lit(False))
 
 
 def classified_text(position_text) -> Column:
@@ -78,6 +78,13 @@ def band(value, edges) -> Column:
     return sum((F.when(v >= e, 1).otherwise(0) for e in edges), F.lit(0))
 
 
+def parabola(n: Column, u2: Column, u3: Column, u4: Column, uv: Column, u2v: Column) -> tuple[Column, Column, Column]:
+    """Bend and slope of v on u by least squares from moments about both means, and the determinant they share."""
+    spread = u4 - u2 * u2 / n
+    det = u2 * spread - u3 * u3
+    return F.try_divide(u2v * u2 - uv * u3, det), F.try_divide(uv * spread - u2v * u3, det), det
+
+
 def half_up(c) -> Column:
     """Round half towards +infinity, to a whole number."""
     return F.floor(c + 0.5)

@@ -1,39 +1,15 @@
-"""Cut a long lineage with a table written to the cluster's shared folder."""
+"""Keep a wide plan that several branches of one query read."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_local: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names; a temporary one only on a single machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="stintline-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return _local[0]
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Write once, read back as Parquet: prunable, and safe when executors are lost.
+    """The same frame, kept on first use in executors' memory and, where that is full, on their disks.
 
-    Used where several branches would otherwise recompute the same wide plan.
-    Without a shared folder the plan is returned as it is.
+    Nothing runs while a plan is being built, no folder is written, and a lost executor's part is computed again from the
+    plan. What is kept goes with the session or ``spark.catalog.clearCache()``.
     """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/stintline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -81,7 +81,7 @@ def driver_index(entries: DataFrame) -> DataFrame:
 def driver_label(keys: DataFrame, entries: DataFrame) -> DataFrame:
     """Published code and name; otherwise the id made readable, never cut short."""
     parts = F.transform(F.split("driver_key", "_"),
-                        lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000)))
+                        lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))))
     pretty = F.array_join(parts, " ")
     return keys.join(driver_index(entries), "driver_key", "left").select(
         "driver_key", F.coalesce("code", pretty).alias("code"), F.coalesce("name", pretty).alias("name"))

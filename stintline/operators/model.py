@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from stintline.functions.figures import nearest_rank, true_median
 from stintline.functions.lineage import materialised
+from stintline.functions.ranks import ranked
 
 CAR = ["session_id", "driver_id"]
 
@@ -37,8 +38,9 @@ def neutralised_by_pace(laps: DataFrame, factor: float = NEUTRALISED_FACTOR, min
 
 def suspended_sessions(laps: DataFrame, factor: float = SUSPENSION_FACTOR) -> DataFrame:
     """Sessions with a lap so long that the race was stopped, and that lap's time."""
-    return laps.where("time_s > 0").groupBy("session_id").agg(
-        F.max("time_s").alias("longest_s"), true_median("time_s").alias("median_s")).where(
+    timed = laps.where("time_s > 0")
+    middle = ranked(timed, ["session_id"], {"median_s": ("time_s", "median")})
+    return timed.groupBy("session_id").agg(F.max("time_s").alias("longest_s")).join(middle, "session_id").where(
         F.col("longest_s") > F.col("median_s") * factor)
 
 
@@ -232,7 +234,7 @@ def race_params(laps: DataFrame, stints: DataFrame, min_field: int = MIN_FIELD)
     params = driver_params(predicted, stop_losses(predicted, neutralised), neutralised, index, compounds, pace)
     unfit = raced.select("session_id").distinct().join(fit.select("session_id").distinct(), "session_id", "left_anti")
     skipped = suspended.select("session_id", F.lit("the race was suspended").alias("reason")).unionByName(
-        unfit.withColumn("reason", F.lit("tyre life and fuel load are not separately identifiable")))
+        unfit.withColumn("reason", F.lit("fit_rank_deficient")))
     order = Window.partitionBy(*CAR).orderBy("start_lap")
     key = F.coalesce("compound", F.concat_ws("-", F.lit("UNKNOWN"), "driver_id", "stint"))
     strategies = stints.select(*CAR, (F.row_number().over(order) - 1).alias("stint_ix"), key.alias("compound"), "laps")

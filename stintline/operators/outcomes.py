@@ -19,7 +19,7 @@ BINS = 24
 DRAWS = 1000
 
 
-def uniform(seed: Column, k: Column, bits: int) -> Column:
+def uniform(seed: Column, k: Column) -> Column:
     """The k-th number (from 1) of the generator, straight from its index.
 
     state_k = seed * a^k mod m by repeated squaring: any draw can be made on any
@@ -28,7 +28,7 @@ def uniform(seed: Column, k: Column, bits: int) -> Column:
     state = F.pmod(seed.cast("long"), F.lit(MODULUS))
     state = F.when(state <= 0, state + (MODULUS - 1)).otherwise(state)
     power = MULTIPLIER
-    for bit in range(bits):
+    for bit in range(31):
         factor = F.when(F.shiftright(k.cast("long"), bit).bitwiseAND(F.lit(1)) == 1, F.lit(power)).otherwise(F.lit(1))
         state = state * factor.cast("long") % MODULUS
         power = power * power % MODULUS
@@ -54,13 +54,16 @@ def _stint_sums(strategies: DataFrame, params: DataFrame, compounds: DataFrame)
 
     The frames run over one scenario's stints, a handful of rows. They come
     last, so the result is laid out by scenario and the draws group in place.
+    A scenario with a stint on an unfitted compound is left out whole: a total of
+    the other stints would be wrong. ``valid_scenarios`` names it and the reason.
     """
     c = F.col
     whole = Window.partitionBy("scenario_id")
     earlier = whole.orderBy("stint_ix").rowsBetween(Window.unboundedPreceding, -1)
     n = c("laps").cast("double")
     return (
-        strategies.join(params, "scenario_id").join(compounds, ["session_id", "compound"])
+        strategies.join(params, "scenario_id").join(compounds.withColumn("_fit", F.lit(1)), ["session_id", "compound"], "left")
+        .withColumn("_fitted", F.count("_fit").over(whole) == F.count("*").over(whole)).where("_fitted").drop("_fit", "_fitted")
         .withColumn("stints", F.count("*").over(whole).cast("int"))
         .withColumn("before", F.coalesce(F.sum("laps").over(earlier), F.lit(0)))
         .withColumns({"life_sum": n * (n + 1) / 2, "life2_sum": n * (n + 1) * (2 * n + 1) / 6,
@@ -83,14 +86,13 @@ def strategy_outcomes(strategies: DataFrame, params: DataFrame, compounds: DataF
     ``compounds``: session_id, compound, offset_s, rate_s, rate_ci_s, quad_s.
     """
     c = F.col
-    bits = max(8, (draws * 128).bit_length())
     stints = _stint_sums(strategies, params, compounds)
     drawn = stints.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     first = c("draw") * (2 * c("stints") - 1) + c("stint_ix") + 1
     last = c("stint_ix") == c("stints") - 1
     spread = lambda u: 2.0 * u - 1.0
-    rate = c("rate_s") + spread(uniform(c("seed"), first, bits)) * c("rate_ci_s")
-    stop = c("pit_loss_s") + spread(uniform(c("seed"), first + c("stints"), bits)) * c("pit_sigma_s")
+    rate = c("rate_s") + spread(uniform(c("seed"), first)) * c("rate_ci_s")
+    stop = c("pit_loss_s") + spread(uniform(c("seed"), first + c("stints"))) * c("pit_sigma_s")
     time = c("fixed_s") + rate * c("life_sum") + F.when(last, c("extra_s")).otherwise(stop)
     return drawn.withColumn("_t", time).groupBy("scenario_id", "draw").agg(F.sum("_t").alias("total_s"))
 
@@ -122,7 +124,7 @@ def replay_gate(totals: DataFrame, actual: DataFrame, max_error: float = MAX_REP
 
 
 def sensitivity(strategies: DataFrame, params: DataFrame, compounds: DataFrame) -> DataFrame:
-    """Race-time swing of each uncertain input moved to its ends, largest first.
+    """Race-time swing of each uncertain input moved to its ends.
 
     The total is linear in every input, so a swing is the input's own error
     times what multiplies it. No draw is made.
@@ -137,8 +139,7 @@ def sensitivity(strategies: DataFrame, params: DataFrame, compounds: DataFrame)
     stop = F.when(c("stint_ix") == c("stints") - 1, c("extra_s")).otherwise(c("pit_loss_s"))
     base = stints.groupBy("scenario_id").agg(F.sum(c("fixed_s") + c("rate_s") * c("life_sum") + stop).alias("base_total_s"))
     return wear.unionByName(stops).join(base, "scenario_id").select(
-        "scenario_id", "input", (-c("swing_s")).alias("low_s"), c("swing_s").alias("high_s"), "base_total_s").orderBy(
-        "scenario_id", F.desc("high_s"), "input")
+        "scenario_id", "input", (-c("swing_s")).alias("low_s"), c("swing_s").alias("high_s"), "base_total_s")
 
 
 def set_laps(strategies: DataFrame, edits: DataFrame) -> DataFrame:

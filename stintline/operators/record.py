@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stintline.functions.figures import true_median
+from stintline.functions.ranks import ranked
 from stintline.functions.scans import last_known, time_block
 
 CAR = ["session_id", "driver_id"]
@@ -149,8 +150,11 @@ def position_change_net(changes: DataFrame) -> DataFrame:
 
 
 def change_residuals(net: DataFrame, results: DataFrame) -> DataFrame:
-    """Recorded net against grid minus finish. A pit-lane start has no grid slot."""
-    placed = results.where("grid <> 0 AND position <> 0")
+    """Recorded net against grid minus finish. A pit-lane start has no grid slot.
+
+    Only sessions the change feed answered for: without one, nothing recorded is no record of nothing.
+    """
+    placed = results.where("grid <> 0 AND position <> 0").join(net.select("session_id").distinct(), "session_id", "left_semi")
     recorded = F.coalesce("net", F.lit(0))
     official = F.col("grid") - F.col("position")
     return placed.join(net, CAR, "left").select(
@@ -217,13 +221,12 @@ def radio_for_driver(timeline: DataFrame, drivers: list[int]) -> DataFrame:
 
 def trackside_summary(weather: DataFrame) -> DataFrame:
     """Medians and ranges of a session's own sensors, and the share of wet readings."""
-    extra = [true_median(c).alias(c) for c in ("humidity_pct", "wind_ms") if c in weather.columns]
+    middle = ranked(weather, ["session_id"], {c: (c, "median") for c in ("air_c", "track_c", "humidity_pct", "wind_ms") if c in weather.columns})
     return weather.groupBy("session_id").agg(
-        F.count("*").alias("samples"), true_median("air_c").alias("air_c"),
-        F.min("air_c").alias("air_min_c"), F.max("air_c").alias("air_max_c"),
-        true_median("track_c").alias("track_c"), F.min("track_c").alias("track_min_c"),
+        F.count("*").alias("samples"), F.min("air_c").alias("air_min_c"), F.max("air_c").alias("air_max_c"), F.min("track_c").alias("track_min_c"),
         F.max("track_c").alias("track_max_c"), F.count_if(F.col("rainfall") > 0).alias("wet_samples"),
-        F.try_divide(F.count_if(F.col("rainfall") > 0), F.count("rainfall")).alias("wet_share"), *extra)
+        F.try_divide(F.count_if(F.col("rainfall") > 0), F.count("rainfall")).alias("wet_share")).join(
+        middle, "session_id", "left")
 
 
 def hours_within(sessions: DataFrame, hours: DataFrame) -> DataFrame:
@@ -257,14 +260,17 @@ def weather_cross_check(trackside: DataFrame, archive: DataFrame,
 
 def session_conditions(weather: DataFrame, hours: DataFrame, min_samples: int = MIN_TRACKSIDE_SAMPLES,
                        tolerance_c: float = MAX_AIR_DISAGREEMENT_C) -> DataFrame:
-    """A session's conditions, or the reason they are withheld."""
+    """A session's conditions, or the reason they are withheld. With too few readings there is no figure at all."""
     trackside, archive = trackside_summary(weather), archive_summary(hours)
     check = weather_cross_check(trackside, archive, tolerance_c).select("session_id", "compared", "delta_c", "agrees")
     reason = F.when(F.col("samples") < min_samples, "too few trackside readings").when(
         F.col("compared") & ~F.col("agrees"), "the two sources disagree on air temperature")
+    joined = trackside.join(archive, "session_id", "left").join(check, "session_id", "left")
+    figures = [k for k in joined.columns if k not in ("session_id", "samples", "hours")]
+    enough = F.col("samples") >= min_samples
     return (
-        trackside.join(archive, "session_id", "left").join(check, "session_id", "left")
-        .withColumn("withheld_reason", reason).withColumn("published", F.col("withheld_reason").isNull())
+        joined.withColumn("withheld_reason", reason).withColumn("published", F.col("withheld_reason").isNull())
+        .withColumns({k: F.when(enough, F.col(k)) for k in figures})
     )
 
 

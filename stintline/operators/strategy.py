@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stintline.functions.figures import nearest_rank, true_median, upper_median
+from stintline.functions.figures import parabola, upper_median
 from stintline.functions.lineage import materialised
+from stintline.functions.ranks import ranked
 from stintline.functions.scans import int_block, running_total
 
 CAR = ["session_id", "driver_id"]
@@ -220,12 +221,12 @@ def stint_trend(laps: DataFrame, stints: DataFrame, min_laps: int = 3,
         .where(F.col("n") >= min_laps)
     )
     c = F.col
-    det = c("u2") * (c("u4") - c("u2") * c("u2") / c("n")) - c("u3") * c("u3")
+    bend, slope, _ = parabola(c("n"), c("u2"), c("u3"), c("u4"), c("uv"), c("u2v"))
     fitted = (
         sums.withColumn("slope", c("uv") / c("u2"))
         .withColumn("r2_lin", F.when(c("flat"), 0.0).otherwise(c("uv") * c("uv") / (c("u2") * c("v2"))))
-        .withColumn("qa", F.try_divide(c("u2v") * c("u2") - c("uv") * c("u3"), det))
-        .withColumn("qb", F.try_divide(c("uv") * (c("u4") - c("u2") * c("u2") / c("n")) - c("u2v") * c("u3"), det))
+        .withColumn("qa", bend)
+        .withColumn("qb", slope)
         .withColumn("r2_quad", F.when(c("flat"), 0.0).otherwise((c("qa") * c("u2v") + c("qb") * c("uv")) / c("v2")))
         .withColumn("curved", F.coalesce((c("n") >= 5) & (c("r2_quad") - c("r2_lin") > QUADRATIC_GAIN), F.lit(False)))
     )
@@ -243,9 +244,9 @@ def fit_reliability(fits: DataFrame, min_samples: int = MIN_RELIABLE_SAMPLES,
                     min_r2: float = MIN_RELIABLE_R2) -> DataFrame:
     """Enough laps and enough explanatory power, or the reason there is no trend."""
     reason = (
-        F.when(F.col("sample_count") < min_samples, "too few usable laps")
-        .when(F.col("r_squared").isNull(), "no fit computed")
-        .when(F.col("r_squared") < min_r2, "lap-to-lap scatter dominates the trend")
+        F.when(F.col("sample_count") < min_samples, "samples_low")
+        .when(F.col("r_squared").isNull(), "fit_missing")
+        .when(F.col("r_squared") < min_r2, "r_squared_low")
     )
     return fits.withColumn("withheld_reason", reason).withColumn("reliable", F.col("withheld_reason").isNull())
 
@@ -263,15 +264,17 @@ def session_pit_loss(laps: DataFrame) -> DataFrame:
 
     ``laps`` carries ``is_in``, ``is_out``, ``accurate`` and ``green``.
     """
+    marked = laps.withColumns({
+        "_green": F.when(F.col("accurate") & F.col("green"), F.col("time_s")), "_box": F.when(F.col("is_in") | F.col("is_out"), F.col("time_s"))})
+    middle = ranked(marked, ["session_id"], {"baseline": ("_green", "median"), "pit": ("_box", "median")})
     return (
         laps.groupBy("session_id").agg(
-            true_median(F.when(F.col("accurate") & F.col("green"), F.col("time_s"))).alias("baseline"),
-            true_median(F.when(F.col("is_in") | F.col("is_out"), F.col("time_s"))).alias("pit"),
             F.count_if(F.col("accurate") & F.col("green")).alias("green_laps"),
             F.count_if(F.col("is_in") | F.col("is_out")).alias("pit_laps"),
         )
-        .withColumn("withheld_reason", F.when(F.col("green_laps") == 0, "insufficient green-flag laps")
-                    .when(F.col("pit_laps") == 0, "no pit stops recorded this session"))
+        .join(middle, "session_id", "left")
+        .withColumn("withheld_reason", F.when(F.col("green_laps") == 0, "green_laps_missing")
+                    .when(F.col("pit_laps") == 0, "stops_missing"))
         .select("session_id",
                 F.when(F.col("withheld_reason").isNull(), F.col("pit") - 2 * F.col("baseline")).alias("pit_loss_s"),
                 F.when(F.col("withheld_reason").isNull(), F.col("pit_laps")).otherwise(0).alias("sample_size"),
@@ -289,7 +292,7 @@ def session_best(laps: DataFrame) -> DataFrame:
 def lap_series(laps: DataFrame, drivers: list[int] | None = None) -> DataFrame:
     if drivers is not None:
         laps = laps.where(F.col("driver_id").isin(drivers))
-    return laps.select(*CAR, "lap", "time_s").orderBy("session_id", "driver_id", "lap")
+    return laps.select(*CAR, "lap", "time_s")
 
 
 def lap_table(laps: DataFrame, drivers: list[int]) -> DataFrame:
@@ -310,9 +313,7 @@ def compounds_run(stints: DataFrame) -> DataFrame:
 
 def robust_range(laps: DataFrame) -> DataFrame:
     """p1..p93 of the lap times with a 12 % margin, and how many fall outside."""
-    spread = laps.where("time_s IS NOT NULL").groupBy("session_id").agg(
-        nearest_rank("time_s", 0.01).alias("lo"), nearest_rank("time_s", 0.93).alias("hi")
-    )
+    spread = ranked(laps, ["session_id"], {"lo": ("time_s", (1, 100)), "hi": ("time_s", (93, 100))})
     pad = (F.col("hi") - F.col("lo")) * 0.12
     pad = F.when(pad == 0, 1.0).otherwise(pad)
     limits = spread.select("session_id", F.round(F.col("lo") - pad, 6).alias("y_min"),
@@ -373,4 +374,4 @@ def compound_report(stints: DataFrame) -> DataFrame:
 def fits_for_drivers(fits: DataFrame, drivers: list[int] | None = None) -> DataFrame:
     if drivers is not None:
         fits = fits.where(F.col("driver_id").isin(drivers))
-    return fits.orderBy("session_id", "driver_id", "stint")
+    return fits

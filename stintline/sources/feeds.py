@@ -142,11 +142,11 @@ def _flat(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, path: str, as_of) -> DataFrame:
-    """Sessions that have started, in order of their start."""
+    """Sessions that have started."""
     raw = _flat(spark, path, "session_key INT, meeting_key INT, circuit_key INT, circuit_short_name STRING, country_name STRING, "
                              "session_name STRING, date_start STRING, date_end STRING, year INT")
     return raw.withColumns({"date_start": F.expr("try_to_timestamp(date_start)"), "date_end": F.expr("try_to_timestamp(date_end)")}).where(
-        F.col("date_start") < F.lit(as_of)).orderBy("date_start")
+        F.col("date_start") < F.lit(as_of))
 
 
 def read_session_drivers(spark: SparkSession, path: str) -> DataFrame:

@@ -78,15 +78,15 @@ VIEWS: dict[str, str] = {
               FROM laps_v GROUP BY session_id, driver_id) t""",
     "race_control_v": f"""
         SELECT event_id AS seq, ts, {SESSION} AS session_id, CAST(1 + event_id % 60 AS INT) AS lap,
-               CASE WHEN event_type = 'error' THEN 'SafetyCar' WHEN event_type = 'purchase' THEN 'Flag'
-                    ELSE 'Other' END AS category,
-               CASE WHEN event_type = 'purchase' THEN CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'RED'
+               CASE WHEN event_id % 10 <> 0 THEN 'Weather' WHEN event_type = 'error' THEN 'SafetyCar'
+                    WHEN event_type = 'purchase' THEN 'Flag' ELSE 'Other' END AS category,
+               CASE WHEN event_type = 'purchase' AND event_id % 10 = 0 THEN CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'RED'
                     WHEN 1 THEN 'BLUE' WHEN 2 THEN 'CLEAR' ELSE 'YELLOW' END END AS flag,
-               CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'VSC ENDING'
+               CASE WHEN event_id % 10 <> 0 THEN 'RISK OF RAIN' WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'VSC ENDING'
                     ELSE 'VSC DEPLOYED' END
                     WHEN event_id % 101 = 0 THEN 'SAFETY CAR LIGHTS ON' ELSE event_type END AS message,
                CASE WHEN event_id % 4 = 0 THEN CAST(user_id % 20 AS INT) END AS driver_id
-        FROM events WHERE event_id % 10 = 0""",
+        FROM events""",
     "changes_v": f"""
         SELECT ts, {SESSION} AS session_id, CAST(user_id % 20 AS INT) AS gained_by,
                CAST((user_id + 1 + event_id % 19) % 20 AS INT) AS lost_by
