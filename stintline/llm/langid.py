@@ -49,7 +49,7 @@ def trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     """(first document, past, trigram codes, the document of each) of runs of documents; case is folded, gaps are one code."""
     table = _letter_codes()
     for first, past, data, offsets in runs(column):
-        texts = [data[a:b].tobytes().decode("utf-8", "replace").lower() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        texts = [" " + data[a:b].tobytes().decode("utf-8", "replace").lower() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         codes = table[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
         doc = np.repeat(np.arange(first, past), [len(t) for t in texts])
         keep = (codes > 0) | (np.append(codes[1:], 0) > 0)  # the gap before a word stays

@@ -94,7 +94,7 @@ def test_toxicity_holds_out(spark):
         if k % 4 == 0:
             text[draw.randrange(50)] = draw.choice(("nasty", "NASTY!", "n4sty", "brute", "brutеs"))
             text[draw.randrange(50)] = draw.choice(("nasty", "brute"))
-        elif k % 4 == 1:
+        elif k % 24 == 1:
             text[10:12] = ["brute", "force"]
         rows.append((k, " ".join(text)))
         labels.append((k, int(k % 4 == 0)))
