@@ -1,15 +1,33 @@
-"""Keep a wide plan that several branches of one query read."""
+"""Cut a long lineage with a table written to the cluster's shared folder."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import atexit
+import functools
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="stintline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """The same frame, kept on first use in executors' memory and, where that is full, on their disks.
+    """Write once, read back as Parquet: prunable, and safe when executors are lost.
 
-    Nothing runs while a plan is being built, no folder is written, and a lost executor's part is computed again from the
-    plan. What is kept goes with the session or ``spark.catalog.clearCache()``.
+    Used where several branches would otherwise recompute the same wide plan.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{shared_folder(df.sparkSession)}/stintline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
