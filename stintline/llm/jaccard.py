@@ -13,7 +13,8 @@ A document's set holds its distinct word n-grams; two documents link when 100 *
 * The boundary is the largest size at which the subsets still cost less than scanning the lists, by the mean list length
   that was counted. Light sets that can link to a heavy one are in the lists too.
 * Within a list, members are first compared with one leader each, another in every list and round. What is linked by then
-  needs no further comparison; what is left over between different classes is compared exactly. No list is paired with itself.
+  needs no further comparison; what is left over between different classes is compared exactly: blocks of members meet, and a
+  pair becomes a row only if an upper bound of its overlap reaches what a link needs.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ VERIFY_COST = 8.0  # of one compared candidate, in index rows
 LEADER_ROUNDS = 4
 SMALL_LIST = 4  # members of a list that is compared whole at once
 BOUND_CELLS = 256  # of the histogram that bounds an overlap from above
+BLOCK = 2048  # members of a list that one task holds of each of two blocks
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -224,11 +226,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             placed = large.join(classes, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("class"))
             mixed = placed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
             placed = scratch.write(placed.join(mixed, "key"))
-            pairs = _left_over(placed) if step is None else _with_leader(placed, step)
-        pairs = pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = scratch.write(pairs.join(tested, ["u", "v"], "left_anti") if tested is not None else pairs)
-        tested = tested.unionByName(pairs) if tested is not None else pairs
-        near = scratch.write(_possible(pairs, sets, percent))
+            pairs = _with_leader(placed, step) if step is not None else None
+        if pairs is None:
+            near = scratch.write(_left_over(placed, sets.select("node", "size", "cells").distinct(), percent).join(tested, ["u", "v"], "left_anti"))
+        else:
+            pairs = pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            pairs = scratch.write(pairs.join(tested, ["u", "v"], "left_anti") if tested is not None else pairs)
+            tested = tested.unionByName(pairs) if tested is not None else pairs
+            near = scratch.write(_possible(pairs, sets, percent))
         few = scratch.write(near.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         found = scratch.write(_verified(near, sets.select("node", "grams").join(few, "node", "left_semi"), percent))
         if placed is not None:
@@ -254,12 +259,71 @@ def _with_leader(placed: DataFrame, round_no: int) -> DataFrame:
     return placed.join(leader, "key").where("class <> of").select(F.col("node").alias("u"), "n", "v", "m")
 
 
-def _left_over(placed: DataFrame) -> DataFrame:
-    """The pairs of a list in different classes: members outside the list's largest class, each with every member of another."""
+def _left_over(placed: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of a list in different classes that the histograms leave possible, without a row for any other pair.
+
+    The members outside the list's largest class, and those in it, are dealt by hash into blocks of about BLOCK members. Each
+    block of the former meets every block of both kinds in a task of its own; blocks of the largest class never meet.
+    """
     counts = placed.groupBy("key", "class").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("c", "class")).alias("l")).select("key", F.col("l.class").alias("main"))
-    minor = placed.join(largest, "key").where("class <> main").select("key", F.col("node").alias("u"), "n", F.col("class").alias("of"))
-    return minor.join(placed.select("key", F.col("node").alias("v"), F.col("n").alias("m"), "class"), "key").where("class <> of")
+    sizes = counts.groupBy("key").agg(F.max(F.struct("c", "class")).alias("l"), F.sum("c").alias("all")).select(
+        "key", F.col("l.class").alias("main"), F.ceil((F.col("all") - F.col("l.c")) / BLOCK).alias("few"), F.ceil(F.col("l.c") / BLOCK).alias("many"))
+    member = placed.join(sizes, "key").join(cells, "node")
+    own = F.when(F.expr("class <> main"), F.expr("pmod(xxhash64(node), few)")).otherwise(F.expr("few + pmod(xxhash64(node), many)"))
+    met = F.expr("if(at < few, sequence(0L, few + many - 1), sequence(0L, few - 1))")
+    dealt = member.withColumn("at", own).withColumn("other", F.explode(met)).select(
+        "key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "size", "class", "cells")
+    order = ["key", "i", "j"]
+    return (dealt.repartition(*order).sortWithinPartitions(*order, "at")
+            .mapInArrow(lambda batches: _block_pairs(batches, percent), "u long, v long").distinct())
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The possible pairs of each run of rows with the same (key, i, j), which may go on over several batches."""
+    carry = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
+        marks = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+        bounds = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist()]
+        for start, end in zip(bounds, bounds[1:], strict=False):
+            yield _met(table.slice(start, end - start), percent)
+        carry = table.slice(bounds[-1]) if table.num_rows else None
+    if carry is not None:
+        yield _met(carry, percent)
+
+
+def _met(run: pa.Table, percent: int) -> pa.RecordBatch:
+    """The possible pairs between the two blocks of a run, or within its one block."""
+    i, j, at, node, n, of = (run.column(c).to_numpy() for c in ("i", "j", "at", "node", "size", "class"))
+    cells = np.frombuffer(b"".join(run.column("cells").to_pylist()), np.uint8).reshape(-1, BOUND_CELLS)
+    left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in range(0, len(left), 512):
+        part = left[start : start + 512]
+        sizes = n[part, None], n[None, right]
+        fit = (of[part, None] != of[None, right]) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
+        if i[0] == j[0]:
+            fit &= node[part, None] < node[None, right]
+        if fit.any():
+            most, full = _cells_in_common(cells[part], cells[right])
+            a, b = np.nonzero(fit & (full | ((100 + percent) * most >= percent * (sizes[0] + sizes[1]))))
+            u.append(node[part[a]])
+            v.append(node[right[b]])
+    u, v = np.concatenate(u), np.concatenate(v)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def _cells_in_common(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair: the sum of the smaller counts, one matrix product per height, and whether a cell is full in both."""
+    most = np.zeros((len(left), len(right)), np.float32)
+    for height in range(1, 256):
+        a, b = (left >= height).astype(np.float32), (right >= height).astype(np.float32)
+        used = a.any(0) & b.any(0)
+        if not used.any():
+            return most.astype(np.int64), np.zeros(most.shape, bool)
+        level = a[:, used] @ b[:, used].T
+        most += level
+    return most.astype(np.int64), level > 0
 
 
 def _within(lists: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stintline.llm import jaccard
 from stintline.llm.decontam import contamination, postings
 from stintline.llm.jaccard import _overlaps, jaccard_classes, light_boundary
 from stintline.llm.queries import contamination_digest
@@ -78,6 +80,31 @@ def test_a_crowded_bitmap_loses_no_link(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_classes(rows, 4, 85)
 
 
+def test_members_left_over_in_long_lists_meet_in_blocks(spark, monkeypatch):
+    """A family of near copies of which most do not link, over several blocks of a list."""
+    draw = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for doc in range(160):
+        words = [f"x{doc}_{k}" if draw.random() < (doc % 9) / 100 else w for k, w in enumerate(base)]
+        rows.append((doc, " ".join(words)))
+    want = brute_classes(rows, 4, 85)
+    assert len({c for _, _, c in want}) > 20
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", 1)
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), n_words=4, percent=85)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+
+
+def test_bound_of_an_overlap_from_cells():
+    draw = np.random.default_rng(3)
+    left, right = draw.integers(0, 4, (5, 256)).astype(np.uint8), draw.integers(0, 3, (7, 256)).astype(np.uint8)
+    left[2, 9] = right[4, 9] = 255
+    most, full = jaccard._cells_in_common(left, right)
+    assert (most == np.minimum(left[:, None], right[None]).sum(2, dtype=np.int64)).all()
+    assert full.sum() == 1 and full[2, 4]
+
+
 def test_light_sets_enumerate_what_a_link_needs():
     for percent in (80, 85):
         light = light_boundary(percent, 1.2)
