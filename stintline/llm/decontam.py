@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stintline.llm.memory import lean
 from stintline.llm.wordhash import ALNUM, word_runs, words
 
 WINDOW = 13
@@ -135,7 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         vocabulary = np.unique(np.concatenate([t for _, t in chunk])) if chunk else np.zeros(0, np.uint64)
         windows = [(ids, np.searchsorted(vocabulary, m)) for ids, m in _windows(chunk, width)]
         held = docs.sparkSession.sparkContext.broadcast((vocabulary, windows))
-        one = rows.mapInArrow(_matcher(held, near_terms, slack), f"doc_id long, n_words long, matches {MATCH}")
+        one = rows.mapInArrow(lean(_matcher(held, near_terms, slack)), f"doc_id long, n_words long, matches {MATCH}")
         if found is None:
             found = one
         else:  # further chunks of a large benchmark: the same documents once more, put together by id

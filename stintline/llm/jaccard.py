@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintline.llm.components import components
+from stintline.llm.memory import give_back, lean
 from stintline.llm.scratch import Scratch
 from stintline.llm.wordhash import ROWS, grams, mix, word_runs
 
@@ -103,7 +104,7 @@ def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
             at = _slots(batch.column(0).to_numpy().view(np.uint64), bits)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(1 << (at & 31))], ["word", "bit"])
 
-    words = keys.mapInArrow(slots, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = keys.mapInArrow(lean(slots), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(1 << (bits - 5), np.uint32)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     return table
@@ -133,7 +134,7 @@ def shared_grams(texts: DataFrame, n_words: int, bits: int, scratch: Scratch) ->
         if keys:
             yield _keyed(keys, marks)
 
-    counts = texts.mapInArrow(count, "key long, mark long").groupBy("key").agg(F.count("*").alias("c"), F.min("mark").alias("a"), F.max("mark").alias("b"))
+    counts = texts.mapInArrow(lean(count), "key long, mark long").groupBy("key").agg(F.count("*").alias("c"), F.min("mark").alias("a"), F.max("mark").alias("b"))
     spread = F.struct(F.count("*").alias("keys"), F.sum("c").alias("rows"))
     shared = scratch.write(counts.where("a <> b").select("key", "c"))
     least = 2
@@ -192,7 +193,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 ["doc_id", "n", "high", "low", "keys"])
 
-    known = scratch.write(rows.mapInArrow(index, "doc_id long, n long, high long, low long, keys array<long>"))
+    known = scratch.write(rows.mapInArrow(lean(index), "doc_id long, n long, high long, low long, keys array<long>"))
     nodes = (known.where("n > 0 and doc_id is not null").groupBy("high", "low")
              .agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("high", "low", "r.*"))
     nodes = scratch.write(nodes.withColumnRenamed("doc_id", "node"))
@@ -275,7 +276,7 @@ def _left_over(placed: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
         "key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "size", "class", "cells")
     order = ["key", "i", "j"]
     return (dealt.repartition(*order).sortWithinPartitions(*order, "at")
-            .mapInArrow(lambda batches: _block_pairs(batches, percent), "u long, v long").distinct())
+            .mapInArrow(lean(lambda batches: _block_pairs(batches, percent)), "u long, v long").distinct())
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -344,7 +345,7 @@ def _stored_sets(rows: DataFrame, n_words: int, wanted, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary()),
                                                   pa.array(cells, pa.binary())], ["node", "size", "grams", "cells"])
 
-    return rows.mapInArrow(store, "node long, size long, grams binary, cells binary")
+    return rows.mapInArrow(lean(store), "node long, size long, grams binary, cells binary")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -354,7 +355,10 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, BOUND_CELLS) for c in (left, right))
         full = ((x == 255) & (y == 255)).any(1)
         most = np.minimum(x, y).sum(1, dtype=np.int64)
-        return pd.Series(full | ((100 + percent) * most >= percent * (a + b).to_numpy()))
+        out = pd.Series(full | ((100 + percent) * most >= percent * (a + b).to_numpy()))
+        del x, y
+        give_back()
+        return out
 
     cells = sets.select("node", "size", "cells")
     return (pairs.join(cells.toDF("u", "a", "left"), "u").join(cells.toDF("v", "b", "right"), "v")
@@ -371,6 +375,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             out[k] = 100 * both >= percent * (len(a) + len(b) - both)
+        give_back()
         return pd.Series(out)
 
     return (pairs.join(sets.withColumnsRenamed({"node": "u", "grams": "left"}), "u")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stintline.llm.memory import give_back, lean
+
 CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024  # projection and attention work of a token, in the same unit
 SHARD_BYTES = 2 << 20  # text bytes a shard gets on average
@@ -123,7 +125,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> Iterator[tuple[int, i
 
 def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY,
            shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids (16-bit little-endian), doc_tokens, sequence_id, offset, cost.
+    """Pieces of all documents: doc_id, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset, cost.
 
     tokenizer: path of a `tokenizers` file of fewer than 65,536 ids whose tokens never cross white space; it must exist on
     every executor. Each document ends with end_id, so null and empty texts are one token. Rows with equal ids are packed as
@@ -151,7 +153,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     out, held = [], 0
             yield _batch(out)
 
-    cut = rows.mapInArrow(pieces, "doc_id long, start long, ids binary, doc_tokens long, mark long, shard long")
+    cut = rows.mapInArrow(lean(pieces), "doc_id long, start long, ids binary, doc_tokens long, mark long, shard long")
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "mark", "start"], na_position="first", ignore_index=True)
@@ -165,8 +167,9 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         ids = group.ids.to_numpy()
         cost = np.bincount(seq, piece_cost(take.astype(float)))
         first = int(group.shard.iloc[0]) << 32
+        give_back()
         return pd.DataFrame({"doc_id": group.doc_id.astype("Int64").to_numpy()[source], "start": group.start.to_numpy()[source] + start, "length": take,
-                             "ids": [ids[k][2 * a : 2 * (a + n)] for k, a, n in zip(source, start, take, strict=True)],
+                             "ids": [np.frombuffer(ids[k], "<u2", n, 2 * a).astype("<u4").tobytes() for k, a, n in zip(source, start, take, strict=True)],
                              "doc_tokens": group.doc_tokens.to_numpy()[source], "sequence_id": first + seq, "offset": offset, "cost": cost[seq]})
 
     return cut.groupBy("shard").applyInPandas(fill, PIECE)
@@ -181,9 +184,4 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
 
 def ids_crc32(pieces: DataFrame) -> DataFrame:
     """The pieces with ids_crc32, the CRC-32 of their ids as little-endian 32-bit numbers, instead of the ids."""
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()))
-
-    return pieces.withColumn("ids_crc32", crc("ids")).drop("ids")
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintline.llm.memory import give_back
 from stintline.llm.wordhash import LOWER, hash_spans, mix, runs
 
 BITS = 18
@@ -125,6 +126,8 @@ def fit(labelled: DataFrame, bits: int = BITS) -> np.ndarray:
                 docs.append((np.append(i, 1 << bits), np.append(c * (SCALE / max(1, b - a)), 1.0)))
         w = follow_the_leader(docs, groups.label.to_numpy(float), bits)
         kept = np.flatnonzero(w)
+        del docs
+        give_back()
         return pd.DataFrame({"slot": kept, "weight": w[kept]})
 
     n = labelled.count()
@@ -150,7 +153,9 @@ def chance(text_col: str, weights: np.ndarray, spark: SparkSession, bits: int =
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array(_chances(texts, held.value, bits))
+        out = pa.array(_chances(texts, held.value, bits))
+        give_back()
+        return out
 
     return of(F.col(text_col).cast("string"))
 

@@ -21,6 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintline.llm.memory import give_back, lean
 from stintline.llm.scratch import Scratch
 
 SAMPLE = 20_000  # labelled findings the forest is trained on, at most
@@ -140,7 +141,7 @@ def labelled_findings(docs: DataFrame, text_col: str = "text", path_col: str | N
 
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     return docs.select(F.col(text_col).cast("string").alias("text"), path.alias("path")).mapInArrow(
-        find, "value string, before string, after string, path string, label int")
+        lean(find), "value string, before string, after string, path string, label int")
 
 
 def train(findings: DataFrame, words: str | None = None, most: int = SAMPLE) -> Forest:
@@ -200,7 +201,7 @@ def scanned(docs: DataFrame, forest: Forest, words: str | None = None, id_col: s
 
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), path.alias("path")).mapInArrow(
-        scan, "doc_id long, start long, length long, value string, chance double")
+        lean(scan), "doc_id long, start long, length long, value string, chance double")
 
 
 def redacted(text: Column, forest: Forest, spark: SparkSession, words: str | None = None, least: float = 0.5, mask: str = MASK) -> Column:
@@ -216,6 +217,7 @@ def redacted(text: Column, forest: Forest, spark: SparkSession, words: str | Non
             for s, v, _ in reversed(found):
                 text = text[:s] + mask + text[s + len(v) :]
             out.append(text)
+        give_back()
         return pd.Series(out, dtype=object)
 
     return redact(text)

@@ -55,7 +55,7 @@ def test_packing_round_trip(spark):
         own = pieces[pieces.doc_id.isna() if doc is None else pieces.doc_id == doc]
         assert own.length.sum() == sum(map(len, many)) and set(own.doc_tokens) == {len(many[0])}
         for r in own.itertuples():
-            assert np.frombuffer(r.ids, np.uint16).tolist() == many[0][r.start : r.start + r.length]
+            assert np.frombuffer(r.ids, np.uint32).tolist() == many[0][r.start : r.start + r.length]
     for _, seq in pieces.sort_values("offset").groupby("sequence_id"):
         assert seq.offset.tolist() == [0, *seq.length.cumsum()[:-1]] and seq.length.sum() <= 2048
     for r in ids_crc32(packed(df.where("doc_id = 4"), tokenizer_path())).collect():
