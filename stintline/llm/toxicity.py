@@ -8,6 +8,7 @@ them does not count.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import unicodedata
@@ -96,11 +97,12 @@ class Lexicon:
 
 def entries(text: str) -> set[str]:
     """What of a folded text could be a lexicon entry: beginnings of its words and whole words."""
-    got = set()
-    for word in set(text.split()):
-        got.update(f" {word[:k]}" for k in range(SHORTEST, min(LONGEST, len(word)) + 1))
-        got.add(f" {word} ")
-    return got
+    return {e for word in set(text.split()) for e in _entries_of(word)}
+
+
+@functools.lru_cache(50_000)
+def _entries_of(word: str) -> tuple[str, ...]:
+    return *(f" {word[:k]}" for k in range(SHORTEST, min(LONGEST, len(word)) + 1)), f" {word} "
 
 
 def learn(labelled: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
@@ -112,17 +114,23 @@ def learn(labelled: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
     rows the lexicon is empty and scores everything low.
     """
     scratch = Scratch(labelled.sparkSession)
-    rows = scratch.write(labelled.select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label")).repartition(SAMPLE // 1000))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"text": [folded(t) for t in batch.text], "label": batch.label})
+
+    given = labelled.select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
+    rows = scratch.write(given.repartition(SAMPLE // 1000).mapInPandas(fold, "text string, label int"))
 
     def of_toxic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen = Counter(e for text in batch.text for e in entries(folded(text)))
+            seen = Counter(e for text in batch.text for e in entries(text))
             yield pd.DataFrame({"entry": list(seen), "n": list(seen.values())})
 
     def of_clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = held.value
         for batch in batches:
-            seen = Counter(e for text in batch.text for e in entries(folded(text)) if e in wanted)
+            seen = Counter(e for text in batch.text for e in entries(text) if e in wanted)
             yield pd.DataFrame({"entry": list(seen), "n": list(seen.values())})
 
     def summed(label: int, counter) -> DataFrame:
@@ -140,7 +148,7 @@ def learn(labelled: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
 
     def caught(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"label": batch.label, "found": [sorted(e for e in entries(folded(t)) if e in odds_of) for t in batch.text]})
+            yield pd.DataFrame({"label": batch.label, "found": [sorted(e for e in entries(t) if e in odds_of) for t in batch.text]})
 
     toxic_docs = rows.where("label = 1").mapInPandas(caught, "label int, found array<string>").toPandas()
     having: dict[str, set[int]] = {}
@@ -173,13 +181,12 @@ def learn(labelled: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
 
 
 def _learned_exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
-    """Phrases of a matched word and a neighbour that three clean documents or more and no toxic one hold."""
+    """Phrases of a matched word and a neighbour, in folded rows, that three clean documents or more and no toxic one hold."""
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = lexicon.matcher()
         for batch in batches:
             out = set()
             for k, (text, label) in enumerate(zip(batch.text, batch.label, strict=True)):
-                text = folded(text)
                 for end, (size, _) in machine.iter(text) if len(machine) else ():
                     a, b = end - size + 1, text.find(" ", max(end, 1))
                     b = len(text) - 1 if b < 0 else b
@@ -192,11 +199,11 @@ def _learned_exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
 
 
 def _calibrated(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
-    """Bias and slope by Newton steps on the sample's sums, both classes weighing the same."""
+    """Bias and slope by Newton steps on the sums of the folded sample, both classes weighing the same."""
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = lexicon.matcher()
         for batch in batches:
-            yield pd.DataFrame({"x": [lexicon.total(machine, folded(t)) for t in batch.text], "y": batch.label})
+            yield pd.DataFrame({"x": [lexicon.total(machine, t) for t in batch.text], "y": batch.label})
 
     got = rows.mapInPandas(sums, "x double, y int").toPandas()
     x, y = got.x.to_numpy(), got.y.to_numpy(float)
