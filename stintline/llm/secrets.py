@@ -3,10 +3,14 @@
 A finding's features are its length, its character kinds and the transitions between them, how much of it dictionary words
 cover, the kind of path it stands in, and the words around it. The forest is Spark's; its trees are read back as arrays of
 bounded size, so a scan is one pass over the documents without a join, and a document's findings stay with its row.
+
+Candidates are long runs of key characters, such runs joined by dots, and whatever is assigned to a name of a secret, of any
+length and characters. What is assigned is judged whole; runs within it are candidates too where it has spaces or is an address.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import re
@@ -30,8 +34,18 @@ LEAST = 16  # characters of a candidate
 AROUND = 48  # characters of context on either side
 MASK = "[SECRET]"
 
-_candidate = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}(?![A-Za-z0-9+/_=-])")
-_assigned = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"']?\s*(?:=|:|:=|=>)\s*[\"'`]?$")
+_candidate = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}(?![A-Za-z0-9+/_=-])")
+_dotted = re.compile(r"(?<![A-Za-z0-9+/_.@-])[A-Za-z0-9_-]{2,}(?:\.[A-Za-z0-9_-]{2,})+={0,2}(?![A-Za-z0-9+/_=-])")
+_dotted_part = re.compile(r"[A-Za-z0-9_.-]")
+_scheme = r"(?:(?:bearer|basic|token)\s+)?"
+_assigned = re.compile(rf"([A-Za-z][A-Za-z0-9_.-]*)[\"']?\s*(?:=|:|:=|=>)\s*[\"'`]?{_scheme}$", re.I)
+_equals = re.compile(r":=|=>|[=:]")
+_named = re.compile(r"[A-Za-z][A-Za-z0-9_.-]*(?=[\"'`]?\s*$)")
+_given = re.compile(rf"\s{{0,64}}(?:\"{_scheme}((?:[^\"\\\r\n]|\\.)+)\"|'{_scheme}((?:[^'\\\r\n]|\\.)+)'|`{_scheme}([^`\r\n]+)`|[\"'`]?{_scheme}([^\s\"'`]\S*))", re.I)
+_next_name = re.compile(r"[,;&][\"']?[A-Za-z_][\w.-]*[\"']?[=:]")
+_no_secret_name = re.compile(r"author(?!i[sz])|tokeni[sz]|secretar", re.I)
+_reference = re.compile(r"\$[A-Z_]+$|\$[{(]|\{\{|<[^>]*>$|%[sd(]|\*+$|[A-Za-z_]+(?:\.[A-Za-z_]+)*[(\[]|[a-z_]+(?:\.[a-z_]+)+$|"
+                        r"(?:true|false|null|none|nil|undefined|str|string|bytes|int|bool|required|optional|yes|no|on|off)$", re.I)
 _word = re.compile(r"[A-Za-z]+")
 _secret_word = re.compile(r"token|secret|passw|pwd|api.?key|apikey|auth|credential|private|access.?key|bearer|signing", re.I)
 _digest_word = re.compile(r"\b(sha\d*|md5|crc|checksum|digest|commit|revision|hash|etag|integrity|uuid|guid|build)\b", re.I)
@@ -88,12 +102,16 @@ def weak_label(value: str, before: str, after: str) -> int | None:
     """The label that a finding's evidence settles, or none: how labelled findings are made where nobody has labelled any.
 
     1: assigned to a name of a secret and neither a placeholder nor made of words. 0: a number, a digest by its neighbours, a
-    placeholder, a part of an address or path, or letters of one case, where no name of a secret is near.
+    placeholder, a part of an address or path, or letters of one case, where no name of a secret is near; also a reference to
+    a variable or a type, and a plain word in a sentence, where one is.
     """
     name = _assigned.search(before)
-    random = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    if name and _secret_word.search(name[1]) and random and not _placeholder.search(value):
-        return 1
+    random = any(c.isalpha() for c in value) and any(c.isdigit() or c in "!@#$%^&*?~+" for c in value)
+    if name and _secret_word.search(name[1]):
+        if _reference.match(value) or (value.isalpha() and before[-1:] == " " and re.match(r" +[a-z]", after)):
+            return 0
+        if random and not _placeholder.search(value):
+            return 1
     if _secret_word.search(before[-AROUND:]):
         return 0 if _placeholder.search(value) else None
     if value.isdigit() or value.isalpha() or _placeholder.search(value) or _digest_word.search(before[-AROUND:]) or before[-1:] in ("/", "@"):
@@ -102,9 +120,71 @@ def weak_label(value: str, before: str, after: str) -> int | None:
 
 
 def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
-    """(start, value, before, after) of every candidate of a text."""
-    for m in _candidate.finditer(text):
-        yield m.start(), m[0], text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
+    """(start, value, before, after) of every candidate of a text. Two overlap only where one of them is assigned and has runs in it."""
+    spans = set(_assignments(text))
+    whole = sorted((a, b) for a, b in spans if not re.search(r"\s|://", text[a:b]))
+    runs = [m.span() for m in _candidate.finditer(text)]
+    whole = sorted(whole + [x for x in _dotted_tokens(text, runs) if not _within(x, whole)])
+    if whole:
+        runs = [x for x in runs if not _within(x, whole)]
+    for a, b in sorted(spans.union(whole, runs)):
+        yield a, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND]
+
+
+def _within(span: tuple[int, int], spans: list[tuple[int, int]]) -> bool:
+    """Whether a span overlaps one of the sorted ones, of which no two overlap."""
+    k = bisect.bisect_left(spans, (span[1], 0))
+    return k > 0 and spans[k - 1][1] > span[0]
+
+
+def _dotted_tokens(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Tokens whose parts are joined by dots: one part at least is a run and mixed, and the last is no plain word."""
+    past = 0
+    for a, b in runs:
+        if a < past or (text[b : b + 1] != "." and text[a - 1 : a] != "."):
+            continue
+        while a > past and _dotted_part.match(text, a - 1):
+            a -= 1
+        while text[a] in ".":
+            a += 1
+        m = _dotted.match(text, a)
+        if not m:
+            continue
+        past = m.end()
+        parts = m[0].rstrip("=").split(".")
+        mixed = any(len(p) >= LEAST and any(c.isdigit() for c in p) and any(c.isalpha() for c in p) for p in parts)
+        if mixed and not (len(parts[-1]) < LEAST and parts[-1].isalpha()):
+            yield m.span()
+
+
+def _assignments(text: str) -> Iterator[tuple[int, int]]:
+    """Where values stand that are assigned to a name of a secret: quoted ones whole, others up to a space or the next name."""
+    past = 0
+    for m in _equals.finditer(text):
+        at, end = m.span()
+        if at < past or text[end : end + 1] in ("=", ":") or text[at - 1 : at] in ("=", "!", "<", ">", ":") or text[end : end + 2] == "//":
+            continue
+        before = text[max(0, at - 2 * AROUND) : at]
+        if not _secret_word.search(before):
+            continue
+        name = _named.search(before)
+        if not name or not _secret_word.search(_no_secret_name.sub("", name[0])):
+            continue
+        value = _given.match(text, end)
+        if not value:
+            continue
+        kind = value.lastindex
+        a, b = value.span(kind)
+        if kind == 4:
+            cut = _next_name.search(text, a, b)
+            b = cut.start() if cut else b
+            if before[: name.start()][-1:] in ("?", "&"):
+                b = next((k for k in range(a, b) if text[k] in "&#"), b)
+            while b > a and (text[b - 1] in ",;.\"'`" or (text[b - 1] in ")]}>" and text.count(text[b - 1], a, b) > text.count("([{<"[")]}>".index(text[b - 1])], a, b))):
+                b -= 1
+        if b > a:
+            yield a, b
+            past = b
 
 
 @dataclass
@@ -147,7 +227,9 @@ def labelled_findings(docs: DataFrame, text_col: str = "text", path_col: str | N
 def train(findings: DataFrame, words: str | None = None, most: int = SAMPLE) -> Forest:
     """A forest from labelled findings (value, before, after, path, label): of each label up to half of `most`, by a hash.
 
-    Equal findings count once. With one label only, or none, the forest is empty and every candidate has chance 0.
+    Equal findings count once. With one label only, or none, the forest is empty and every candidate has chance 0. Short values are
+    rarer than long ones, so what is assigned is learned once more in three made forms: cut short, with a sign in half of them, with
+    a word of its neighbours and a number in its place, and with such a word alone, label 0.
     """
     keyed = findings.where("value is not null and label in (0, 1)").select(
         "value", *(F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after", "path")), F.col("label").cast("double").alias("label")).distinct()
@@ -159,10 +241,19 @@ def train(findings: DataFrame, words: str | None = None, most: int = SAMPLE) ->
         return pd.Series([finding_features(*x, known) for x in zip(value, before, after, path, strict=True)])
 
     scratch = Scratch(findings.sparkSession)
-    rows = scratch.write(parts[0].unionByName(parts[1]).repartition(8).select("label", featured("value", "before", "after", "path").alias("x")))
-    if rows.select("label").distinct().count() < 2:
-        scratch.drop(rows)
+    mark = F.xxhash64("value", "after")
+    cut = F.expr("substring(value, 1, 5 + pmod(xxhash64(value), 11))")
+    signed = F.when(mark % 2 == 0, F.concat(F.substring(cut, 1, 3), F.element_at(F.array(*map(F.lit, "!@#$%&*?")), (F.pmod(mark, F.lit(8)) + 1).cast("int")), F.expr("substring(value, 4, 2 + pmod(xxhash64(value), 11))"))).otherwise(cut)
+    word = F.regexp_extract(F.concat_ws(" ", "after", "before"), r"\b([A-Za-z]{2,})\b", 1)
+    known = scratch.write(parts[0].unionByName(parts[1]))
+    assigned = known.where("label = 1").where(F.col("before").rlike(r"[=:>]\s*[\"'`]?$"))
+    made = (assigned.withColumn("value", signed).where(r"value rlike '[0-9]' and value rlike '[A-Za-z]'")
+            .unionByName(assigned.withColumn("value", F.concat(word, F.when(mark % 3 == 0, F.lit("!")).otherwise(F.lit("")), F.pmod(mark, F.lit(997)).cast("string"))).where(word != ""))
+            .unionByName(assigned.withColumn("value", word).where("value <> ''").withColumn("label", F.lit(0.0))))
+    if known.select("label").distinct().count() < 2:
+        scratch.drop(known)
         return Forest([])
+    rows = scratch.write(known.unionByName(made).repartition(8).select("label", featured("value", "before", "after", "path").alias("x")))
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="v").fit(rows.select("label", array_to_vector("x").alias("v")))
     path = f"{scratch.root}/forest"
     model.write().overwrite().save(path)
@@ -174,7 +265,7 @@ def train(findings: DataFrame, words: str | None = None, most: int = SAMPLE) ->
         split = tree.split
         trees.append((np.array([s["featureIndex"] for s in split]), np.array([(s["leftCategoriesOrThreshold"] or [0.0])[0] if s["featureIndex"] >= 0 else 0.0 for s in split]),
                       tree.leftChild.to_numpy(), tree.rightChild.to_numpy(), stats[:, 1] / stats.sum(1)))
-    scratch.drop(rows)
+    scratch.drop(known, rows)
     return Forest(trees)
 
 
@@ -214,8 +305,14 @@ def redacted(text: Column, forest: Forest, spark: SparkSession, words: str | Non
         out = []
         for text in texts:
             found = [x for x in _judged(text, "", held.value, known) if x[2] >= least] if text else []
-            for s, v, _ in reversed(found):
-                text = text[:s] + mask + text[s + len(v) :]
+            spans: list[list[int]] = []
+            for s, v, _ in found:
+                if spans and s < spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], s + len(v))
+                else:
+                    spans.append([s, s + len(v)])
+            for a, b in reversed(spans):
+                text = text[:a] + mask + text[b:]
             out.append(text)
         give_back()
         return pd.Series(out, dtype=object)

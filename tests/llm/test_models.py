@@ -173,3 +173,36 @@ def test_secrets(spark):
     assert secrets.scanned(docs.limit(0), forest).collect() == []
     one_label = secrets.train(findings.where("label = 1"))
     assert one_label.trees == [] and {r.chance for r in secrets.scanned(docs, one_label).collect()} == {0.0}
+
+
+def values_of(text):
+    return [v for _, v, _, _ in secrets.candidates(text)]
+
+
+def test_what_is_assigned_to_a_secret_name_is_a_candidate():
+    assert values_of("API_KEY=abcd1234EFGH5678ijkl") == ["abcd1234EFGH5678ijkl"]
+    assert values_of("aws_secret_access_key=wJalrXUtnFEMI/K7MDENG+bPxRfiCY12== x") == ["wJalrXUtnFEMI/K7MDENG+bPxRfiCY12=="]
+    assert values_of("see https://h.net/a?token=ab12cd34&page=2") == ["ab12cd34"]
+    assert values_of("id=abcd1234EFGH5678ijkl") == ["abcd1234EFGH5678ijkl"]  # also under another name, by its length
+    assert values_of('password: hunter2, "db_passwd":"p@ss w0rd!","user":"bob"') == ["hunter2", "p@ss w0rd!"]
+    assert values_of("pwd=x9;Server=db") == ["x9"] and values_of("f(secret='a1')") == ["a1"] and values_of("f(secret=a1)") == ["a1"]
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkw.dBjftJeZ4CVPmB92K27uhbUJU1p1r"
+    assert values_of(f"Authorization: Bearer {jwt}") == [jwt] and values_of(f"got {jwt}, then") == [jwt] and values_of(f"jwt_token={jwt}.") == [jwt]
+    assert values_of("the author: Smith") == values_of("if token == other") == values_of("see docs.python.org") == []
+
+
+def test_assigned_secrets_of_all_forms_are_masked(spark):
+    draw = random.Random(9)
+    rows = []
+    for k in range(400):
+        h = "".join(draw.choices("0123456789abcdef", k=40))
+        rows.append((k, f'use token = "{h}" here' if k % 2 else draw.choice((f"commit {h} fixed it", f"number {k:020d} end", "averyveryverylongword " * 2))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    forest = secrets.train(secrets.labelled_findings(docs), tokenizer_path())
+    dotted = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkw.dBjftJeZ4CVPmB92K27uhbUJU1p1r"
+    want = {"API_KEY=abcd9876EFGH5678ijkl": "API_KEY=[SECRET]", "http://h/?token=x81kd93jf02ksl&a=1": "http://h/?token=[SECRET]&a=1",
+            "password = hunter2": "password = [SECRET]", "db_pwd: Summer2024! ok": "db_pwd: [SECRET] ok", "password='q7!x#2'": "password='[SECRET]'", f"auth_token={dotted}": "auth_token=[SECRET]",
+            "the password: must be long": "the password: must be long"}
+    texts = spark.createDataFrame([(t,) for t in want], "text string")
+    got = {r.text: r.masked for r in texts.select("text", secrets.redacted(F.col("text"), forest, spark, tokenizer_path()).alias("masked")).collect()}
+    assert got == want
