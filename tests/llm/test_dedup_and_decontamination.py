@@ -168,3 +168,27 @@ def test_contamination_of_empty_tables_and_near_matches(spark):
 def test_postings(spark):
     docs = spark.createDataFrame([(1, "b a B c"), (2, None)], "doc_id long, text string")
     assert sorted((r.term, r.positions) for r in postings(docs, ["b", "c", "q"]).collect()) == [("b", [0, 2]), ("c", [3])]
+
+
+def matches_of(found):
+    return sorted(((r.doc_id, r.n_words, [tuple(m) for m in r.matches]) for r in found.collect()), key=repr)
+
+
+def test_contamination_does_not_depend_on_the_chunks(spark):
+    draw = random.Random(12)
+    words = [f"v{k}" for k in range(40)]
+    items = [(str(k % 20), " ".join(draw.choices(words, k=draw.choice((4, 13, 30, 60))))) for k in range(30)]
+    items += [(None, "n1 n2 n3"), (None, "n3 n4 n5 n6"), ("long", " ".join(f"z{k}" for k in range(400)))]
+    docs = []
+    for doc in range(40):
+        w = draw.choices(words, k=30)
+        for _ in range(2):
+            w += draw.choice(items)[1].split()
+        docs.append((draw.choice((None, 7, doc)), " ".join(w)))
+    docs += [(None, "see n1 n2 n3 n4 n5 n6"), (99, "a " + items[-1][1])]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for near in (0, 10):
+        want = matches_of(contamination(docs, items, near_terms=near))
+        assert len(want) == 42 and any(m[0] is None for _, _, found in want for m in found)
+        assert (99, 401, ("long", 1, 400, "phrase")) in [(d, n, m) for d, n, found in want for m in found]
+        assert matches_of(contamination(docs, items, near_terms=near, most=300)) == want
