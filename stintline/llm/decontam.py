@@ -21,6 +21,7 @@ from stintline.llm.wordhash import ALNUM, word_runs, words
 
 WINDOW = 13
 CHUNK_CHARS = 1_000_000  # benchmark characters that are searched at once, about
+NEAR_TERMS = 10  # of a window's distinct words, those that a near match needs
 NEAR_SLAB = 1 << 20  # places of rare terms tried at once, about
 MATCH = "array<struct<item_id:string,start:long,length:long,kind:string>>"
 

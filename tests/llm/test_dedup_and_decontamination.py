@@ -8,10 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stintline.llm import jaccard
+from stintline.llm import jaccard, wordhash
 from stintline.llm.decontam import contamination, postings
 from stintline.llm.jaccard import _overlaps, jaccard_classes, light_boundary
-from stintline.llm.queries import contamination_digest
+from stintline.llm.queries import contamination_digest, op5_decontamination
 
 
 def brute_classes(rows, n_words, percent):
@@ -192,3 +192,60 @@ def test_contamination_does_not_depend_on_the_chunks(spark):
         assert len(want) == 42 and any(m[0] is None for _, _, found in want for m in found)
         assert (99, 401, ("long", 1, 400, "phrase")) in [(d, n, m) for d, n, found in want for m in found]
         assert matches_of(contamination(docs, items, near_terms=near, most=300)) == want
+
+
+def brute_near(docs, items, least, slack, width=13):
+    """(document row, item, position) by the definition."""
+    split = [text.split() for text in docs]
+    counts = {}
+    for w in split:
+        for x in w:
+            counts[x] = counts.get(x, 0) + 1
+    code = {x: int(h) for x in counts for h in wordhash.words(np.frombuffer(x.encode(), np.uint8), wordhash.ALNUM)[2]}
+    out = set()
+    for item, text in items:
+        w = text.split()
+        size = min(width, len(w))
+        for k in range(len(w) - size + 1):
+            terms = sorted(set(w[k : k + size]), key=lambda x: (counts.get(x, 0), code.get(x, 0)))
+            for d, words in enumerate(split):
+                for p, x in enumerate(words):
+                    if x in terms[: max(0, len(terms) - least + 1)] and len(set(words[max(0, p - slack) : p + slack + 1]) & set(terms)) >= least:
+                        out.add((d, item, p))
+    return out
+
+
+def test_near_places_match_brute_force_whatever_the_batches(spark):
+    draw = random.Random(13)
+    common = [f"c{k}" for k in range(12)]
+    items = [(str(k), " ".join(draw.choices(common, k=4) + [f"i{k}w{j}" for j in range(12)] + draw.choices(common, k=4))) for k in range(6)]
+    docs = []
+    for k in range(40):
+        w = items[k % 6][1].split()
+        for _ in range(k % 5):
+            w[draw.randrange(len(w))] = f"other{k}"  # words that stand nowhere else
+        docs.append(" ".join(draw.choices(common, k=draw.choice((0, 9))) + w + draw.choices(common, k=5)))
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    want = brute_near(docs, items, 10, 8)
+    assert want
+
+    def places():
+        got = contamination(rows, benchmark, near_terms=10, slack=8).collect()
+        return {(r.doc_id, m.item_id, p) for r in got for m in r.matches if m.kind == "near" for p in range(m.start, m.start + m.length)}
+
+    assert places() == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert places() == want  # a document alone in its run
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_op5_gives_near_places_of_a_copy_with_a_replaced_word(spark, tmp_path):
+    w = [f"q{k}" for k in range(13)]
+    spark.createDataFrame([(1, " ".join(w))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    copy = " ".join(w[:6] + ["nowhere"] + w[7:])
+    spark.createDataFrame([(1, copy), (2, "plain text"), (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op5_decontamination(spark, str(tmp_path)).collect()}
+    assert got[1].near and got[1].n_hit == 0 and not got[1].contaminated and got[2].near == [] and got[None].near == []
