@@ -23,21 +23,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each class of near-duplicates the document of smallest id, and of rows that repeat an id one. Null ids stay."""
+    """Keep of each class of near-duplicates the document of smallest id, and of rows that repeat an id one.
+
+    Rows without an id are compared with each other by a key of their own, and one of each class stays, also beside a named one.
+    """
     classes = jaccard.jaccard_classes(docs, n_words=5, percent=80)
     kept = classes.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     one = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
     return (named.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
-            .unionByName(docs.where("doc_id is null").select(*COLUMNS)))
+            .unionByName(_unnamed(spark, docs.where("doc_id is null").select(*COLUMNS))))
+
+
+def _unnamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Of rows without an id, one of each class of near-duplicates."""
+    if rows.isEmpty():
+        return rows
+    keyed = Scratch(spark).write(rows.withColumn("key", F.monotonically_increasing_id()))
+    classes = jaccard.jaccard_classes(keyed.select(F.col("key").alias("doc_id"), "text"), n_words=5, percent=80)
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("key"))
+    return keyed.join(kept, "key", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which benchmark windows cover a twentieth of the words or more."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = Scratch(spark).write(contamination_digest(found).where("contaminated and doc_id is not null").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Drop rows of whose words benchmark windows cover a twentieth or more, each by its own verdict, with an id or without."""
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
+    return contamination_digest(found, keep=COLUMNS[1:]).where("not contaminated").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

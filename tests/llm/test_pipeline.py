@@ -55,3 +55,16 @@ def test_quality_stage_and_run(spark, tmp_path):
     out = cp.run(spark, str(tmp_path)).toPandas()
     assert set(out.doc_id) == kept - {1}
     assert (out.groupby("doc_id").length.sum() == out.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_rows_without_an_id_are_judged_themselves(spark, tmp_path):
+    item = " ".join(f"q{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, [(None, "see " + item), (None, "a clean text"), (None, None), (5, "another clean text"), (5, item)])
+    got = cp.decontamination_stage(spark, docs, str(tmp_path))
+    assert got.columns == list(cp.COLUMNS) and got.schema == docs.schema
+    assert sorted((tuple(r)[:2] for r in got.collect()), key=repr) == sorted([(None, "a clean text"), (None, None), (5, "another clean text")], key=repr)
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, base), (None, base + " more"), (None, base), (None, "something else"), (None, "something else"), (3, "a b")]
+    got = cp.near_duplicate_stage(spark, frame(spark, rows), "").collect()
+    assert len(got) == 3 and sum((r.text or "").startswith("w0") for r in got) == 1 and {r.doc_id for r in got} == {None, 3}
