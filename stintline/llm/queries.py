@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm import chat, decontam, hamming, jaccard, langid, packing, quality, rollup, secrets, toxicity
+from stintline.llm import chat, decontam, hamming, jaccard, langid, packing, quality, rollup, secrets, spelling, toxicity
 from stintline.llm.scratch import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -127,8 +127,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_totals.totals(list(batches))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.vocabulary(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_secrets, op3_hamming, op4_jaccard, op5_decontamination, op6_chat, op7_toxicity, op8_quality,
-                                   op9_language, op10_token_counts)}
+                                   op9_language, op10_token_counts, op11_spelling)}
 
 _TURNS = f"""
   WITH turns AS (
@@ -159,4 +163,29 @@ ORACLE_SQL = {
   SELECT source, lang, tokenizer, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens
   FROM (SELECT source, lang, 'words' AS tokenizer, words AS tokens FROM counted UNION ALL SELECT source, lang, 'bytes', bytes FROM counted)
   GROUP BY source, lang, tokenizer""",
+    "op11_spelling": r"""
+  WITH RECURSIVE runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents),
+  long_runs AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+  spelled AS (
+    SELECT *, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, length(hex(encode(doc_id || ':' || run))) // 2),
+        lambda k: list_prepend(('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * k + 1, 2))::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END) AS state FROM long_runs),
+  summed AS (SELECT *, xor(state, 4294967295::BIGINT) AS h FROM spelled),
+  cut AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM summed),
+  words AS (SELECT word, sum(times)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+  shorter AS (SELECT word, n, k, left(word, k::INT - 1) || substr(word, k::INT + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)),
+  near AS (
+    SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+    UNION SELECT DISTINCT a.word, a.n, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+    UNION SELECT DISTINCT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word),
+  best AS (
+    SELECT word, count(*) AS n_near, arg_min(struct_pack(w := other, n := other_n), struct_pack(x := -other_n, w := encode(other))) AS b FROM near GROUP BY word),
+  told AS (
+    SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN b.n >= 10 * w.n THEN b.w END AS form, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n
+    FROM words w LEFT JOIN best USING (word)),
+  up AS (SELECT word, word AS root, form AS onward FROM told
+    UNION ALL SELECT u.word, t.word, t.form FROM up u JOIN told t ON t.word = u.onward)
+  SELECT t.word, t.form, u.root, t.n, t.n_near, t.form_n FROM told t JOIN up u ON u.word = t.word AND u.onward IS NULL""",
 }
