@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm import chat, decontam, hamming, jaccard, langid, packing, quality, rollup, secrets, spelling, toxicity
+from stintline.llm import chat, chosenpath, decontam, hamming, jaccard, langid, packing, quality, rollup, secrets, spelling, toxicity
 from stintline.llm.scratch import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -131,8 +131,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(spelling.vocabulary(_table(spark, sf_dir, "documents")))
 
 
+def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_classes(_table(spark, sf_dir, "documents"), n_words=2, percent=80)
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_secrets, op3_hamming, op4_jaccard, op5_decontamination, op6_chat, op7_toxicity, op8_quality,
-                                   op9_language, op10_token_counts, op11_spelling)}
+                                   op9_language, op10_token_counts, op11_spelling, op12_chosen_path)}
 
 _TURNS = f"""
   WITH turns AS (
