@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm import chat, chosenpath, decontam, hamming, jaccard, langid, packing, quality, rollup, secrets, spelling, toxicity
+from stintline.llm import chat, chosenpath, decontam, hamming, jaccard, langid, packing, quality, rollup, secrets, spelling, toxicity, turntrie
 from stintline.llm.scratch import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -135,8 +135,12 @@ def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.near_classes(_table(spark, sf_dir, "documents"), n_words=2, percent=80)
 
 
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_secrets, op3_hamming, op4_jaccard, op5_decontamination, op6_chat, op7_toxicity, op8_quality,
-                                   op9_language, op10_token_counts, op11_spelling, op12_chosen_path)}
+                                   op9_language, op10_token_counts, op11_spelling, op12_chosen_path, op13_turn_trie)}
 
 _TURNS = f"""
   WITH turns AS (
@@ -192,4 +196,33 @@ ORACLE_SQL = {
   up AS (SELECT word, word AS root, form AS onward FROM told
     UNION ALL SELECT u.word, t.word, t.form FROM up u JOIN told t ON t.word = u.onward)
   SELECT t.word, t.form, u.root, t.n, t.n_near, t.form_n FROM told t JOIN up u ON u.word = t.word AND u.onward IS NULL""",
+    "op13_turn_trie": r"""
+  WITH RECURSIVE placed AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+      PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+  ids AS (SELECT DISTINCT conv_id, conv_id - ((conv_id % 100) + 100) % 100 AS base FROM placed),
+  summed AS (
+    SELECT *, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, length(conv_id::VARCHAR)),
+        lambda k: list_prepend(ascii(substr(conv_id::VARCHAR, k + 1, 1))::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END) AS state FROM ids),
+  branch AS (SELECT conv_id, base, xor(state, 4294967295::BIGINT) % 6 AS h FROM summed),
+  rebuilt AS (
+    SELECT b.conv_id, 0 AS part, p.place, p.role, p.text FROM branch b JOIN placed p ON p.conv_id = b.base AND p.place <= b.h
+    UNION ALL SELECT b.conv_id, 1, p.place, p.role, p.text FROM branch b JOIN placed p ON p.conv_id = b.conv_id AND p.place > b.h),
+  prefixes AS (
+    SELECT conv_id, row_number() OVER w AS depth, length(text) AS size, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS path
+    FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, place ROWS UNBOUNDED PRECEDING)
+    UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+  nodes AS (
+    SELECT path, min(conv_id) AS conv_id, depth, max(size) AS size, count(*) AS n_convs FROM prefixes GROUP BY path, depth),
+  kids AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+  told AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * size AS saved FROM nodes n LEFT JOIN kids USING (path)),
+  sums AS (
+    SELECT p.path, sum((t.n_children = 0)::INT) AS n_leaves, sum(t.saved) AS saved_tokens
+    FROM told t JOIN prefixes p ON p.conv_id = t.conv_id AND p.depth <= t.depth GROUP BY p.path),
+  full_paths AS (SELECT conv_id, arg_max(path, depth) AS path FROM prefixes GROUP BY conv_id),
+  finished AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM full_paths GROUP BY path)
+  SELECT t.conv_id, t.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, t.n_convs::BIGINT AS n_convs, t.n_children::BIGINT AS n_children,
+    n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(f.ids, '')) AS ends_sha256
+  FROM told t JOIN sums USING (path) LEFT JOIN finished f USING (path) LEFT JOIN told up ON t.depth > 0 AND up.path = left(t.path, length(t.path) - 64)""",
 }
