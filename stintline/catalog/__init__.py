@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("strategy", "season", "record", "weekend", "telemetry", "geometry", "model")
+MODULES = ("strategy", "season", "record", "weekend", "telemetry", "geometry", "model", "feeds")
 
 
 def load():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stintline.sources.views import Views, with_views
+from stintline.sources.views import Views, spelled, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
 
 
 def oracle_statements() -> dict[str, str]:
-    return {name: with_views(sql, SHARED, "AS MATERIALIZED") for name, sql in ORACLES.items()}
+    return {name: spelled(with_views(sql, SHARED, "AS MATERIALIZED"), False) for name, sql in ORACLES.items()}
 
 
 def r6(expr: str, digits: int = 6) -> str:

@@ -122,6 +122,12 @@ VIEWS: dict[str, str] = {
 TABLES = ("lineitem", "events")
 
 
+def spelled(text: str, spark: bool) -> str:
+    """``@{x}@`` is x of a group, in order and joined by commas; each engine has its own name for it."""
+    opened, closed = ("array_join(array_sort(collect_list(", ")), ',')") if spark else ("array_to_string(list_sort(list(", ")), ',')")
+    return text.replace("@{", opened).replace("}@", closed)
+
+
 def _ordered(names: list[str], texts: dict[str, str]) -> list[str]:
     done: list[str] = []
 
@@ -156,8 +162,9 @@ class Views:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, body: str) -> DataFrame:
-        text = with_views(body)
+        text = spelled(with_views(body), True)
         used = {t: self.table(t) for t in TABLES if re.search(rf"\b{t}\b", text)}
+        text = text.replace("{", "{{").replace("}", "}}")  # the only fields of the format are the tables
         for t in used:
             text = re.sub(rf"\b{t}\b", f"{{{t}}}", text)
         return self.spark.sql(text, **used)
