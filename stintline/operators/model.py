@@ -23,9 +23,9 @@ KNOWN_COMPOUNDS = ["SOFT", "MEDIUM", "HARD", "INTERMEDIATE", "WET"]
 MIN_PIT_LOSS_DRIVERS = 5
 MAX_SPREAD_RATIO = 0.25
 
-# Smallest eigenvalue of the column-normalised Gram matrix, relative to the
-# largest, below which tyre life and fuel load count as inseparable.
-RANK_TOLERANCE = 1e-10
+# Share of a column's spread that must be left when the columns before it are
+# taken out; below it tyre life and fuel load count as inseparable.
+RANK_TOLERANCE = 1e-9
 
 
 def neutralised_by_pace(laps: DataFrame, factor: float = NEUTRALISED_FACTOR, min_field: int = MIN_FIELD) -> DataFrame:
@@ -109,49 +109,42 @@ def normal_equations(rows: DataFrame) -> DataFrame:
         "session_id", "i", "j", (F.coalesce("s", F.lit(0.0)) - F.coalesce("m", F.lit(0.0))).alias("value"))
 
 
-_FIT_SCHEMA = "session_id int, term string, value double, std_err double, rms_s double, green_laps long, drivers long"
-
-
-def _solve(cells):
-    """One session's k x k system. The lap rows themselves never reach Python."""
-    import numpy as np
-    import pandas as pd
-
-    names = sorted(set(cells["i"]) | set(cells["j"]))
-    at = {name: k for k, name in enumerate(names)}
-    gram = np.zeros((len(names), len(names)))
-    rows, cols = cells["i"].map(at).to_numpy(), cells["j"].map(at).to_numpy()
-    gram[rows, cols] = cells["value"].to_numpy()
-    gram[cols, rows] = cells["value"].to_numpy()
-    y = at["y"]
-    keep = [k for k in range(len(names)) if k != y]
-    normal, target = gram[np.ix_(keep, keep)], gram[keep, y]
-    empty = pd.DataFrame(columns=["session_id", "term", "value", "std_err", "rms_s", "green_laps", "drivers"])
-    spread = np.sqrt(np.clip(np.diag(normal), 0.0, None))
-    if (spread <= 0).any():
-        return empty
-    scaled = normal / np.outer(spread, spread)
-    values = np.linalg.eigvalsh(scaled)
-    if values[0] < RANK_TOLERANCE * values[-1]:
-        return empty
-    inverse = np.linalg.inv(scaled) / np.outer(spread, spread)
-    beta = inverse @ target
-    n, drivers = int(cells["n"].iloc[0]), int(cells["d"].iloc[0])
-    residual = max(0.0, float(gram[y, y] - beta @ target))
-    sigma2 = residual / max(1, n - drivers - len(keep))
-    return pd.DataFrame({
-        "session_id": int(cells["session_id"].iloc[0]), "term": [names[k] for k in keep], "value": beta,
-        "std_err": np.sqrt(np.clip(np.diag(inverse) * sigma2, 0.0, None)), "rms_s": sigma2 ** 0.5, "green_laps": n, "drivers": drivers})
-
-
-def race_fit(rows: DataFrame) -> DataFrame:
+# One column p taken out of the flattened symmetric matrix g of m columns (a sweep of its pivot). When all columns but the last
+# are out, the last column holds the solution, its corner the residual, and the rest the negative inverse.
+_SWEEP = """
+    aggregate(sequence(0, m - 2), named_struct('g', g, 'ok', true), (acc, p) -> named_struct(
+        'g', if(acc.ok AND acc.g[p * (m + 1)] > {tolerance}D, transform(acc.g, (x, q) ->
+            if(q div m = p, if(q % m = p, -1D / x, x / acc.g[p * (m + 1)]), if(q % m = p, x / acc.g[p * (m + 1)],
+               x - acc.g[cast(q div m as int) * m + p] * acc.g[p * m + q % m] / acc.g[p * (m + 1)]))), acc.g),
+        'ok', acc.ok AND acc.g[p * (m + 1)] > {tolerance}D))"""
+
+
+def race_fit(rows: DataFrame, tolerance: float = RANK_TOLERANCE) -> DataFrame:
     """Field-wide least squares, one row per term; a rank-deficient session has none.
 
     Terms are ``life:<compound>``, ``offset:<compound>`` (none for the reference,
-    the first compound) and ``fuel``.
+    the first compound) and ``fuel``. A session's matrix has a column per term,
+    whatever its laps, and is solved by array expressions.
     """
-    sizes = rows.groupBy("session_id").agg(F.count("*").alias("n"), F.count_distinct("driver_id").alias("d"))
-    return normal_equations(rows).join(sizes, "session_id").groupBy("session_id").applyInPandas(_solve, _FIT_SCHEMA)
+    cells = normal_equations(rows)
+    mirrored = cells.unionByName(cells.where("i <> j").select("session_id", F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    last = F.col("i") == "y"
+    spread = F.when(last, 1.0).otherwise(F.sqrt(F.greatest("value", F.lit(0.0))))
+    names = cells.where("i = j").groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct(last.alias("last"), F.col("i").alias("c"), spread.alias("s")))).alias("names")).where("forall(names, e -> e.s > 0)")
+    grid = names.select("session_id", "names", F.posexplode("names").alias("a", "x")).select("session_id", "a", "x", F.posexplode("names").alias("b", "y")).select(
+        "session_id", "a", "b", F.col("x.c").alias("i"), F.col("y.c").alias("j"), (F.col("x.s") * F.col("y.s")).alias("scale"))
+    flat = grid.join(mirrored, ["session_id", "i", "j"], "left").groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct("a", "b", (F.coalesce("value", F.lit(0.0)) / F.col("scale")).alias("v")))).alias("g"))
+    sizes = rows.groupBy("session_id").agg(F.count("*").alias("green_laps"), F.count_distinct("driver_id").alias("drivers"))
+    swept = flat.join(names, "session_id").select("session_id", "names", F.col("g.v").alias("g"), F.size("names").alias("m")).withColumn(
+        "w", F.expr(_SWEEP.format(tolerance=tolerance))).where("w.ok").select("session_id", "names", "m", F.col("w.g").alias("g"))
+    sigma2 = F.greatest(F.lit(0.0), F.expr("g[m * m - 1]")) / F.greatest(F.lit(1), F.col("green_laps") - F.col("drivers") - F.col("m") + 1)
+    out = swept.join(sizes, "session_id").withColumn("sigma2", sigma2).select("*", F.posexplode("names").alias("p", "t")).where("NOT t.last")
+    return out.select(
+        "session_id", F.col("t.c").alias("term"), (F.expr("g[p * m + m - 1]") / F.col("t.s")).alias("value"),
+        (F.sqrt(F.greatest(F.lit(0.0), -F.expr("g[p * (m + 1)]") * F.col("sigma2"))) / F.col("t.s")).alias("std_err"),
+        F.sqrt("sigma2").alias("rms_s"), "green_laps", "drivers")
 
 
 def base_pace(rows: DataFrame, fit: DataFrame) -> DataFrame:
@@ -233,8 +226,8 @@ def race_params(laps: DataFrame, stints: DataFrame, min_field: int = MIN_FIELD)
     predicted = materialised(predict_laps(raced, index, compounds, pace))
     params = driver_params(predicted, stop_losses(predicted, neutralised), neutralised, index, compounds, pace)
     unfit = raced.select("session_id").distinct().join(fit.select("session_id").distinct(), "session_id", "left_anti")
-    skipped = suspended.select("session_id", F.lit("the race was suspended").alias("reason")).unionByName(
-        unfit.withColumn("reason", F.lit("fit_rank_deficient")))
+    skipped = suspended.select("session_id", F.lit("suspended").alias("reason"), F.col("longest_s").alias("figure")).unionByName(
+        unfit.select("session_id", F.lit("fit_rank_deficient").alias("reason"), F.lit(None).cast("double").alias("figure")))
     order = Window.partitionBy(*CAR).orderBy("start_lap")
     key = F.coalesce("compound", F.concat_ws("-", F.lit("UNKNOWN"), "driver_id", "stint"))
     strategies = stints.select(*CAR, (F.row_number().over(order) - 1).alias("stint_ix"), key.alias("compound"), "laps")
