@@ -180,14 +180,18 @@ def _(v):
     return _r(turns.select("lap_key", "number", "sustained_curvature"), ["sustained_curvature"], 8)
 
 
+# Onsets laid twice, one lap apart; the last one at or before a turn's start.
+SHARED["onset_o"] = """
+    SELECT lap_key, idx + shift * n AS pos FROM (
+      SELECT lap_key, idx, n, brake > 0 AND coalesce(lag(brake) OVER w, first_value(brake) OVER (PARTITION BY lap_key ORDER BY idx DESC)) = 0 AS went_on
+      FROM laplen_o WINDOW w AS (PARTITION BY lap_key ORDER BY idx)) s CROSS JOIN (SELECT unnest([-1, 0]) AS shift) z WHERE went_on"""
+
+
 @query("turn_details", """
     SELECT t.lap_key, t.number, t.apex_index * 2e0 AS apex_distance_m, l.gear AS gear_at_apex,
            (t.start_index - back + t.n) % t.n AS braking_index, back * 2e0 AS braking_distance_m
-    FROM (SELECT t.lap_key, t.number, any_value(t.apex_index) AS apex_index, any_value(t.start_index) AS start_index,
-                 any_value(t.n) AS n, min((t.start_index - o.idx + t.n) % t.n) FILTER (WHERE (t.start_index - o.idx + t.n) % t.n < 4) AS back
-          FROM turns_o t LEFT JOIN (SELECT c.lap_key, c.idx FROM laplen_o c JOIN line_v p ON p.lap_key = c.lap_key
-              AND p.idx = (c.idx - 1 + c.n) % c.n WHERE c.brake > 0 AND p.brake = 0) o ON o.lap_key = t.lap_key
-          GROUP BY t.lap_key, t.number) t
+    FROM (SELECT t.*, CASE WHEN t.start_index - o.pos < 4 THEN t.start_index - o.pos END AS back
+          FROM turns_o t ASOF LEFT JOIN onset_o o ON o.lap_key = t.lap_key AND t.start_index >= o.pos) t
     JOIN line_v l ON l.lap_key = t.lap_key AND l.idx = t.apex_index""")
 def _(v):
     trace = _trace(v)
@@ -399,16 +403,16 @@ def _(v):
 
 
 SHARED["drag_o"] = """
-    SELECT lap_key, coalesce(n, 0) AS samples, CASE WHEN reason IS NULL THEN k END AS k, CASE WHEN reason IS NULL THEN c END AS constant_decel,
-           CASE WHEN reason IS NULL THEN r2 END AS r2,
+    SELECT lap_key, coalesce(n, 0) AS samples, lo AS low_kph, hi AS high_kph, CASE WHEN reason IS NULL THEN k END AS k, CASE WHEN reason IS NULL THEN c END AS constant_decel,
+           CASE WHEN reason IS NULL OR reason = 'r_squared_low' THEN r2 END AS r2,
            CASE WHEN reason IS NULL THEN CASE WHEN c > 0 THEN sqrt(c / k) * 3.6 ELSE 0 END END AS crossover_kph, reason
-    FROM (SELECT *, CASE WHEN coalesce(n, 0) < 3 THEN 'too few coasting samples' WHEN hi - lo < 4 THEN 'too little spread of speed'
-                    WHEN k IS NULL THEN 'the samples carry no spread to fit' WHEN k <= 0 THEN 'drag_not_positive'
-                    WHEN r2 < 0.3 THEN 'the fit explains too little' END AS reason
+    FROM (SELECT *, CASE WHEN coalesce(n, 0) < 3 THEN 'samples_low' WHEN hi - lo < 4 THEN 'speed_span_low'
+                    WHEN k IS NULL THEN 'fit_missing' WHEN k <= 0 THEN 'drag_not_positive'
+                    WHEN r2 < 0.3 THEN 'r_squared_low' END AS reason
           FROM (SELECT DISTINCT lap_key FROM trace_o) l LEFT JOIN (
             SELECT lap_key, count(*) AS n, min(speed) AS lo, max(speed) AS hi, regr_slope(y, x) AS k, regr_intercept(y, x) AS c, regr_r2(y, x) AS r2
             FROM (SELECT lap_key, speed, power(speed / 3.6, 2) AS x, -longitudinal_g * 9.80665 AS y FROM coast_o) s GROUP BY lap_key) f USING (lap_key)) d"""
-_DR = ["k", "constant_decel", "r2", "crossover_kph"]
+_DR = ["k", "constant_decel", "r2", "crossover_kph", "low_kph", "high_kph"]
 
 
 @query("apparent_drag", f"SELECT * {_rep(_DR, 5)} FROM drag_o")

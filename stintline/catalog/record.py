@@ -33,7 +33,7 @@ SHARED["neutral_o"] = """
         SELECT session_id, arg_max({'kind': kind, 'lap': lap}, {'ts': ts, 'seq': seq}) AS m FROM rcstate_o
         WHERE kind IN ('open', 'close') GROUP BY session_id) l WHERE m.kind = 'open') s"""
 SHARED["trackflags_o"] = """
-    SELECT session_id, lap, seq, upper(flag) AS flag, trim(message) AS message FROM race_control_v
+    SELECT session_id, lap, seq, upper(flag) AS flag, sector, trim(message) AS message FROM race_control_v
     WHERE lap <> 0 AND flag IS NOT NULL AND coalesce(driver_id, 0) = 0
       AND flag NOT IN ('BLUE', 'BLACK AND WHITE', 'BLACK', 'BLACK AND ORANGE', 'GREEN', 'CLEAR', 'CHEQUERED')"""
 SHARED["incidents_o"] = """

@@ -265,7 +265,7 @@ _CORNERS = ("SELECT lap_key, idx + 1 AS number, 300 * cos(2 * pi() * idx / 5 + 0
           FROM ({_CORNERS}) c JOIN line_v s ON s.lap_key = c.lap_key GROUP BY c.lap_key, c.number) m
     JOIN line_v s ON s.lap_key = m.lap_key AND s.idx >= greatest(0, apex_idx - 20) AND s.idx < apex_idx + 20 GROUP BY ALL""")
 def _(v):
-    return tl.nearest_sample_corners(v.sql(_CORNERS), v.line.withColumn("distance_m", F.col("idx") * F.lit(2.0)))
+    return tl.nearest_sample_corners(v.sql(_CORNERS), v.line.withColumn("distance_m", F.col("idx") * F.lit(2.0)), cell_m=2.0)
 
 
 def _quant(c, k):

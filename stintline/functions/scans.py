@@ -10,6 +10,8 @@ small shuffle of block rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,6 +46,26 @@ def running_total(
     return cut.join(carry, [*keys, "_block"]).withColumn(out, total).drop("_block", "_v", "_carry")
 
 
+def stepped_total(
+    df: DataFrame, keys: list[str], order: str, value: str, step: Callable[[Column, Column], Column], out: str, block: Column,
+) -> DataFrame:
+    """Running sum of ``step(value before, value here)``; a key's first row adds nothing.
+
+    The carry of a block holds its last value as well as its sum, so the step over
+    a block's edge is taken between block rows and the rows are laid out once.
+    """
+    cut = df.withColumn("_block", block)
+    rows = Window.partitionBy(*keys, "_block").orderBy(order)
+    here = cut.withColumn("_p", F.lag(value).over(rows)).withColumn("_s", F.coalesce(step(F.col("_p"), F.col(value)), F.lit(0.0)))
+    inside = here.withColumn("_in", F.sum("_s").over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    per_block = here.groupBy(*keys, "_block").agg(F.sum("_s").alias("_t"), F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+    blocks = Window.partitionBy(*keys).orderBy("_block")
+    edge = F.coalesce(step(F.lag("_last").over(blocks), F.col("_first")), F.lit(0.0))
+    linked = per_block.withColumn("_edge", edge).select(*keys, "_block", (F.sum(F.col("_edge") + F.col("_t")).over(
+        blocks.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_t")).alias("_carry"))
+    return inside.join(linked, [*keys, "_block"]).withColumn(out, F.col("_in") + F.col("_carry")).drop("_block", "_p", "_s", "_in", "_carry")
+
+
 def known_around(
     df: DataFrame, keys: list[str], order: list[str], block: Column,
     back: dict[str, Column] | None = None, ahead: dict[str, Column] | None = None, inclusive: bool = True,

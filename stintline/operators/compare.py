@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stintline.functions.scans import int_block, running_total
+from stintline.functions.scans import int_block, stepped_total
 
 SPACING_M = 2.0
 SECTORS = 24
@@ -14,16 +14,9 @@ COST_SECTORS = 12
 
 
 def lap_clock(line: DataFrame, ds: float = SPACING_M) -> DataFrame:
-    """Time to reach each grid point, by trapezoid speed with a floor of 1 km/h.
-
-    The speed of the sample before comes from an equi-join on the grid index.
-    """
+    """Time to reach each grid point, by trapezoid speed with a floor of 1 km/h."""
     speed = line.select("lap_key", "idx", F.greatest("speed", F.lit(1.0)).alias("v"))
-    before = speed.select("lap_key", (F.col("idx") + 1).alias("idx"), F.col("v").alias("p"))
-    step = F.lit(ds) / ((F.col("p") + F.col("v")) / 2 / 3.6)
-    legs = speed.join(before, ["lap_key", "idx"], "left").withColumn("dt", F.coalesce(step, F.lit(0.0)))
-    return running_total(legs.select("lap_key", "idx", "dt"), ["lap_key"], ["idx"], "dt", "t", int_block("idx")).select(
-        "lap_key", "idx", "t")
+    return stepped_total(speed, ["lap_key"], "idx", "v", lambda p, v: F.lit(ds) / ((p + v) / 2 / 3.6), "t", int_block("idx")).select("lap_key", "idx", "t")
 
 
 def delta_trace(clock: DataFrame, pairs: DataFrame) -> DataFrame:

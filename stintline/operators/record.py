@@ -71,7 +71,7 @@ def track_flags(messages: DataFrame) -> DataFrame:
     about_track = F.coalesce(F.col("driver_id"), F.lit(0)) == 0
     return messages.where(
         (F.coalesce(F.col("lap"), F.lit(0)) != 0) & (flag != "") & about_track & ~flag.isin(DRIVER_FLAGS + CLEAR_FLAGS)
-    ).select("session_id", "lap", "seq", "flag", F.trim("message").alias("message"))
+    ).select("session_id", "lap", "seq", "flag", "sector", F.trim("message").alias("message"))
 
 
 def track_flags_on_laps(laps: DataFrame, messages: DataFrame) -> DataFrame:

@@ -231,16 +231,32 @@ def elevation_verdict(line: DataFrame, min_range_m: float = MIN_ELEVATION_RANGE_
         F.when(F.col("reason").isNull(), F.round("hi", 2)).alias("max_m"), "reason")
 
 
-def nearest_sample_corners(corners: DataFrame, samples: DataFrame, reach: int = 20) -> DataFrame:
+CELL_M = 25.0
+COARSER = 8
+
+
+def nearest_sample_corners(corners: DataFrame, samples: DataFrame, reach: int = 20, cell_m: float = CELL_M) -> DataFrame:
     """Published corners on the lap: apex, entry and minimum speed, gear, first braking.
 
-    ``corners`` is a circuit's fixed list (a couple of dozen rows per lap), so
-    each sample is weighed against those only and reduced map-side.
+    A corner meets the samples of its own grid cell and the eight around it; its nearest sample is found if it is no farther
+    than one cell. What is left tries cells ``COARSER`` times as wide, and only a corner off those too meets its whole lap.
     """
     apart = F.hypot(F.col("x") - F.col("corner_x"), F.col("y") - F.col("corner_y"))
-    nearest = samples.join(corners, "lap_key").groupBy("lap_key", "number").agg(
-        F.min(F.struct(F.round(apart, 6).alias("d"), "idx")).alias("m")).select(
-        "lap_key", "number", F.col("m.idx").alias("apex_idx"))
+    places, wanted, found = samples.select("lap_key", "idx", "x", "y"), corners.select("lap_key", "number", "corner_x", "corner_y"), None
+    for size in (cell_m, cell_m * COARSER, None):
+        if size:
+            cells = [F.floor(F.col("x") / size).alias("_cx"), F.floor(F.col("y") / size).alias("_cy")]
+            around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as i, j as j))))"))
+            asked = wanted.withColumn("_o", around).select("*", (F.floor(F.col("corner_x") / size) + F.col("_o.i")).alias("_cx"), (F.floor(F.col("corner_y") / size) + F.col("_o.j")).alias("_cy"))
+            met = places.select("*", *cells).join(asked, ["lap_key", "_cx", "_cy"])
+        else:
+            met = places.join(wanted, "lap_key")
+        best = met.groupBy("lap_key", "number").agg(F.min(F.struct(F.round(apart, 6).alias("d"), "idx")).alias("m"))
+        sure = best.where(F.col("m.d") < size) if size else best
+        sure = sure.select("lap_key", "number", F.col("m.idx").alias("apex_idx"))
+        found = sure if found is None else found.unionByName(sure)
+        wanted = wanted.join(sure, ["lap_key", "number"], "left_anti")
+    nearest = found
     around = nearest.withColumn("idx", F.explode(F.sequence(F.greatest(F.lit(0), F.col("apex_idx") - reach),
                                                             F.col("apex_idx") + reach - 1)))
     braking = F.when(F.col("brake") > 0, F.struct("idx", "distance_m"))

@@ -85,7 +85,8 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_id % 10 <> 0 THEN 'RISK OF RAIN' WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'VSC ENDING'
                     ELSE 'VSC DEPLOYED' END
                     WHEN event_id % 101 = 0 THEN 'SAFETY CAR LIGHTS ON' ELSE event_type END AS message,
-               CASE WHEN event_id % 4 = 0 THEN CAST(user_id % 20 AS INT) END AS driver_id
+               CASE WHEN event_id % 4 = 0 THEN CAST(user_id % 20 AS INT) END AS driver_id,
+               CASE WHEN event_id % 3 = 0 THEN CAST(1 + event_id % 20 AS INT) END AS sector
         FROM events""",
     "changes_v": f"""
         SELECT ts, {SESSION} AS session_id, CAST(user_id % 20 AS INT) AS gained_by,
