@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stintline.catalog.registry import SHARED, query, r6
 from stintline.catalog.season import AS_OF
 from stintline.catalog.strategy import _compounds
-from stintline.catalog.telemetry import _ELEV
+from stintline.catalog.telemetry import _ATTEMPTS, _ELEV
 from stintline.functions.figures import rounded
 from stintline.functions.lineage import materialised
 from stintline.operators import model as md
@@ -497,7 +497,7 @@ SHARED["pitstats_o"] = f"""
     SELECT circuit_id, n AS drivers, why IS NULL AS published, why AS withheld_reason,
            CASE WHEN n >= 5 THEN m END AS median_s, CASE WHEN n >= 5 THEN q1 END AS q1_s, CASE WHEN n >= 5 THEN q3 END AS q3_s,
            CASE WHEN n >= 5 THEN lo END AS min_s, CASE WHEN n >= 5 THEN hi END AS max_s, CASE WHEN n >= 5 THEN (q3 - q1) / m END AS spread_ratio
-    FROM (SELECT *, CASE WHEN n < 5 THEN 'too few drivers had a measurable racing stop' WHEN (q3 - q1) / m > 0.25 THEN 'the drivers disagree' END AS why FROM (
+    FROM (SELECT *, CASE WHEN n < 5 THEN 'drivers_low' WHEN (q3 - q1) / m > 0.25 THEN 'spread_high' END AS why FROM (
       SELECT circuit_id, count(v) AS n, median(v) AS m, min(v) AS lo, max(v) AS hi,
              list_sort(list(v) FILTER (WHERE v IS NOT NULL))[CAST(least(count(v) - 1, floor(0.25 * count(v))) AS INT) + 1] AS q1,
              list_sort(list(v) FILTER (WHERE v IS NOT NULL))[CAST(least(count(v) - 1, floor(0.75 * count(v))) AS INT) + 1] AS q3
@@ -532,53 +532,69 @@ def _season(c):
     return f"CAST(floor({c}) AS INT) AS season"
 
 
+# The rule of each module as a code, and what is told of a refusal.
+RULES = {"Tyre compounds": "overlap_at_least_0.6", "Degradation fits": "samples_at_least_6_and_r_squared_at_least_0.3", "Conditions": "sources_agree",
+         "Pit loss": "drivers_at_least_5_and_spread_at_most_0.25", "Elevation": "range_at_least_3_m", "Upcoming brief": "past_edition_on_record",
+         "What-If Engine": "replay_within_1_percent", "Racing Lines": "position_feed_carries_a_lap"}
+_RULE = "CASE module " + " ".join(f"WHEN '{m}' THEN '{r}'" for m, r in RULES.items()) + " END AS rule"
 SHARED["figures_o"] = f"""
-    SELECT 'Tyre compounds' AS module, {_season('session_id / 1000')}, compound IS NOT NULL AS published, compound_source AS reason FROM compounds_o
-    UNION ALL SELECT 'Degradation fits', {_season('session_id / 1000')}, sample_count >= 6 AND r_squared >= 0.3,
-      CASE WHEN sample_count < 6 THEN 'samples_low' ELSE 'r_squared_low' END FROM trend_o
-    UNION ALL SELECT 'Conditions', {_season('session_id / 1000')}, published, withheld_reason FROM conditions_o
-    UNION ALL SELECT 'Pit loss', {_season('circuit_id / 1000')}, published, withheld_reason FROM pitstats_o
-    UNION ALL SELECT 'Elevation', {_season('lap_key / 100000')}, lap_key % 4 = 3 AND max(z) - min(z) >= 3,
-      CASE lap_key % 4 WHEN 0 THEN 'no elevation published' WHEN 1 THEN 'the elevation channel is empty' ELSE 'the elevation channel does not vary enough' END
-      FROM line_v GROUP BY lap_key
-    UNION ALL SELECT 'Upcoming brief', season, reason IS NULL AND EXISTS (SELECT 1 FROM wanted_o w JOIN editions_v e USING (circuit_id, year)
+    SELECT 'Tyre compounds' AS module, {_season('session_id / 1000')}, session_id || '/' || driver_id || '/' || stint AS scope, compound IS NOT NULL AS published, compound_source AS reason, NULL::DOUBLE AS figure FROM compounds_o
+    UNION ALL SELECT 'Degradation fits', {_season('session_id / 1000')}, session_id || '/' || driver_id || '/' || stint, sample_count >= 6 AND r_squared >= 0.3,
+      CASE WHEN sample_count < 6 THEN 'samples_low' ELSE 'r_squared_low' END, CASE WHEN sample_count < 6 THEN sample_count ELSE r_squared END FROM trend_o
+    UNION ALL SELECT 'Conditions', {_season('session_id / 1000')}, session_id::VARCHAR, published, withheld_reason, NULL FROM conditions_o
+    UNION ALL SELECT 'Pit loss', {_season('circuit_id / 1000')}, circuit_id::VARCHAR, published, withheld_reason, CASE WHEN withheld_reason = 'drivers_low' THEN drivers ELSE spread_ratio END FROM pitstats_o
+    UNION ALL SELECT 'Elevation', {_season('lap_key / 100000')}, lap_key::VARCHAR, lap_key % 4 = 3 AND max(z) - min(z) >= 3,
+      CASE lap_key % 4 WHEN 0 THEN 'no elevation published' WHEN 1 THEN 'the elevation channel is empty' ELSE 'the elevation channel does not vary enough' END,
+      CASE WHEN lap_key % 4 IN (2, 3) THEN round(CASE lap_key % 4 WHEN 2 THEN max(z / 10) - min(z / 10) ELSE max(z) - min(z) END, 2) END FROM line_v GROUP BY lap_key
+    UNION ALL SELECT 'Upcoming brief', season, season::VARCHAR, reason IS NULL AND EXISTS (SELECT 1 FROM wanted_o w JOIN editions_v e USING (circuit_id, year)
         WHERE w.season = nextround_o.season),
-      coalesce(reason, 'no past edition of this circuit is on record') FROM nextround_o
-    UNION ALL SELECT 'What-If Engine', {_season('scenario_id / 100000')}, validated, 'the replay missed the race time' FROM gate_o"""
+      coalesce(reason, 'no past edition of this circuit is on record'), NULL FROM nextround_o
+    UNION ALL SELECT 'What-If Engine', {_season('scenario_id / 100000')}, scenario_id::VARCHAR, validated, 'replay_missed', error_pct FROM gate_o
+    UNION ALL SELECT 'What-If Engine', {_season('session_id / 1000')}, session_id::VARCHAR, false, 'suspended', longest_s FROM suspended_o
+    UNION ALL SELECT 'Racing Lines', {_season('session_id / 1000')}, session_id || '/' || driver_id, session_id % 4 <> 1, reason, NULL FROM ({_ATTEMPTS}) a"""
+SHARED["toldfigures_o"] = f"""
+    SELECT module, {_RULE}, season, published, CASE WHEN NOT published THEN scope END AS scope, CASE WHEN NOT published THEN reason END AS reason,
+           CASE WHEN NOT published THEN {r6('figure', 4)} END AS figure FROM figures_o"""
 
 
 @query("refusal_ledger", """
-    SELECT t.module, t.season, t.published, t.refused, r.reason, coalesce(r.n, 0) AS entries
-    FROM (SELECT module, season, count(*) FILTER (WHERE published) AS published, count(*) FILTER (WHERE NOT published) AS refused
-          FROM figures_o GROUP BY ALL) t
-    LEFT JOIN (SELECT module, season, reason, count(*) AS n FROM figures_o WHERE NOT published GROUP BY ALL) r USING (module, season)""")
+    SELECT 'module' AS level, module, rule, season, NULL AS reason, NULL AS scope, NULL AS figure, count(*) FILTER (WHERE published) AS published, count(*) FILTER (WHERE NOT published) AS refused
+    FROM toldfigures_o GROUP BY ALL
+    UNION ALL SELECT 'reason', module, rule, season, reason, NULL, NULL, 0, count(*) FROM toldfigures_o WHERE NOT published GROUP BY ALL
+    UNION ALL SELECT 'entry', module, rule, season, reason, scope, figure, 0, count(*) FROM toldfigures_o WHERE NOT published GROUP BY ALL""")
 def _(v):
     return _ledger(v)
 
 
 def _ledger(v):
-    def by(column: str, divisor: int):
-        return F.floor(F.col(column) / divisor).cast("int").alias("season")
+    c = F.col
 
-    stints = materialised(_compounds(v))
+    def figures(df, season: tuple[str, int], published, reason, figure=None, scope: tuple[str, ...] = ()):
+        return df.select(F.floor(c(season[0]) / season[1]).cast("int").alias("season"), F.concat_ws("/", *(scope or season[:1])).alias("scope"),
+                         published.alias("published"), reason.alias("reason"), rounded(F.lit(None).cast("double") if figure is None else figure.cast("double"), 4).alias("figure"))
+
+    car = ("session_id", "driver_id")
+    stints = _compounds(v)
     fits = st.fit_reliability(st.stint_trend(v.laps, stints))
     hours = rec.hours_within(v.sql(_windows()), v.archive)
     totals, params = _totals(v)
     brief = sn.upcoming_brief(v.calendar, v.editions, v.edition_stops, AS_OF)
-    return quality.refusal_ledger({
-        "Tyre compounds": stints.select(by("session_id", 1000), F.col("compound").isNotNull().alias("published"),
-                                        F.col("compound_source").alias("reason")),
-        "Degradation fits": fits.select(by("session_id", 1000), F.col("reliable").alias("published"),
-                                        F.col("withheld_reason").alias("reason")),
-        "Conditions": rec.session_conditions(v.trackside, hours, 285, 2.15).select(
-            by("session_id", 1000), "published", F.col("withheld_reason").alias("reason")),
-        "Pit loss": md.circuit_pit_loss(_losses(v)).select(
-            by("circuit_id", 1000), "published", F.col("withheld_reason").alias("reason")),
-        "Elevation": tl.elevation_verdict(v.sql(_ELEV)).select(by("lap_key", 100000), F.col("usable").alias("published"), "reason"),
-        "Upcoming brief": brief.select("season", F.col("reason").isNull().alias("published"), "reason"),
-        "What-If Engine": oc.replay_gate(totals, params).select(
-            by("scenario_id", 100000), F.col("validated").alias("published"), F.lit("the replay missed the race time").alias("reason")),
-    })
+    attempts = v.sql(_ATTEMPTS)
+    unavailable = tl.unavailable_lines(attempts, attempts.where("session_id % 4 <> 1")).withColumn("_none", F.lit(True))
+    tables = {
+        "Tyre compounds": figures(stints, ("session_id", 1000), c("compound").isNotNull(), c("compound_source"), scope=(*car, "stint")),
+        "Degradation fits": figures(fits, ("session_id", 1000), c("reliable"), c("withheld_reason"),
+                                    F.when(c("withheld_reason") == "samples_low", c("sample_count")).otherwise(c("r_squared")), (*car, "stint")),
+        "Conditions": figures(rec.session_conditions(v.trackside, hours, 285, 2.15), ("session_id", 1000), c("published"), c("withheld_reason")),
+        "Pit loss": figures(md.circuit_pit_loss(_losses(v)), ("circuit_id", 1000), c("published"), c("withheld_reason"),
+                            F.when(c("withheld_reason") == "drivers_low", c("drivers")).otherwise(c("spread_ratio"))),
+        "Elevation": figures(tl.elevation_verdict(v.sql(_ELEV)), ("lap_key", 100000), c("usable"), c("reason"), c("range_m")),
+        "Upcoming brief": figures(brief, ("season", 1), c("reason").isNull(), c("reason")),
+        "What-If Engine": figures(oc.replay_gate(totals, params), ("scenario_id", 100000), c("validated"), F.lit("replay_missed"), c("error_pct")).unionByName(
+            figures(md.suspended_sessions(v.sql(_STOPPED)), ("session_id", 1000), F.lit(False), F.lit("suspended"), c("longest_s"))),
+        "Racing Lines": figures(attempts.join(unavailable.select(*car, "_none"), [*car], "left"), ("session_id", 1000), c("_none").isNull(), c("reason"), scope=car),
+    }
+    return quality.refusal_ledger({name: (RULES[name], table) for name, table in tables.items()})
 
 
 def _windows():
@@ -603,9 +619,10 @@ def _(v):
 
     index = v.laps.groupBy("session_id").agg(F.count_distinct("driver_id").alias("n_drivers")).select(
         by("session_id"), F.col("session_id").alias("round"), "n_drivers")
+    nothing = [F.lit(None).cast("string").alias("scope"), F.lit(None).cast("double").alias("figure")]
     ledger = quality.refusal_ledger({
-        "What-If Engine": md.circuit_pit_loss(_losses(v)).select(by("circuit_id"), "published", F.col("withheld_reason").alias("reason")),
-        "Tyre compounds": _compounds(v).select(by("session_id"), F.col("compound").isNotNull().alias("published"),
-                                               F.col("compound_source").alias("reason")),
-    }).select("module", "season", "published", "refused").distinct()
+        "What-If Engine": ("", md.circuit_pit_loss(_losses(v)).select(by("circuit_id"), "published", F.col("withheld_reason").alias("reason"), *nothing)),
+        "Tyre compounds": ("", _compounds(v).select(by("session_id"), F.col("compound").isNotNull().alias("published"),
+                                                    F.col("compound_source").alias("reason"), *nothing)),
+    }).where("level = 'module'").select("module", "season", "published", "refused")
     return sn.site_counts(index, v.results, ledger)

@@ -248,8 +248,8 @@ def circuit_pit_loss(losses: DataFrame, min_drivers: int = MIN_PIT_LOSS_DRIVERS,
             ("q1_s", nearest_rank("CASE WHEN pit_loss_s > 0 THEN pit_loss_s END", 0.25)),
             ("q3_s", nearest_rank("CASE WHEN pit_loss_s > 0 THEN pit_loss_s END", 0.75)),
             ("min_s", F.min(F.when(c("pit_loss_s") > 0, c("pit_loss_s")))), ("max_s", F.max(F.when(c("pit_loss_s") > 0, c("pit_loss_s")))))])
-    reason = F.when(c("drivers") < min_drivers, "too few drivers had a measurable racing stop").when(
-        c("spread_ratio") > max_spread, "the drivers disagree")
+    reason = F.when(c("drivers") < min_drivers, "drivers_low").when(
+        c("spread_ratio") > max_spread, "spread_high")
     enough = c("drivers") >= min_drivers
     return stats.withColumn("spread_ratio", (c("q3_s") - c("q1_s")) / c("median_s")).withColumn("withheld_reason", reason).select(
         "circuit_id", "drivers", c("withheld_reason").isNull().alias("published"), "withheld_reason",

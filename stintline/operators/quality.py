@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintline.functions.figures import same_number
-from stintline.functions.lineage import materialised
 from stintline.operators import model as mdl
 from stintline.operators import outcomes as out
 from stintline.operators import record as rec
@@ -183,24 +182,23 @@ def check_pit_loss(published: DataFrame, losses: DataFrame, **limits) -> DataFra
     })
 
 
-def refusal_ledger(groups: dict[str, DataFrame]) -> DataFrame:
+def refusal_ledger(groups: dict[str, tuple[str, DataFrame]]) -> DataFrame:
     """Every withheld figure of every module, counted beside what was published.
 
-    Each group is (season, published, reason): a row per figure, a reason where
-    it was withheld. A module is reduced to its counts before they are brought
-    together, so the ledger stays small however many figures there are.
+    Each group is its rule and a table (season, scope, published, reason, figure): a row per figure, where it was withheld with
+    the code of the reason and the number that decided it. Rows of three levels come from one grouping: ``module`` with the counts
+    of a module and season, ``reason`` with those of a reason, and ``entry`` for each withheld figure. Published figures are
+    counted map-side and never listed.
     """
-    def counted(name: str, df: DataFrame) -> DataFrame:
-        reason = F.when(~F.col("published"), F.col("reason")).alias("reason")
-        return materialised(df.groupBy("season", "published", reason).agg(F.count("*").alias("n"))).withColumn("module", F.lit(name))
-
-    tables = [counted(name, df) for name, df in groups.items()]
+    c = F.col
+    tables = [df.select(F.lit(name).alias("module"), F.lit(rule).alias("rule"), "season", "published", *[
+        F.when(~c("published"), c(k).cast(kind)).alias(k) for k, kind in (("scope", "string"), ("reason", "string"), ("figure", "double"))])
+        for name, (rule, df) in groups.items()]
     merged = tables[0]
     for more in tables[1:]:
         merged = merged.unionByName(more)
-    totals = merged.groupBy("module", "season").agg(
-        F.coalesce(F.sum(F.when(F.col("published"), F.col("n"))), F.lit(0)).alias("published"),
-        F.coalesce(F.sum(F.when(~F.col("published"), F.col("n"))), F.lit(0)).alias("refused"))
-    withheld = merged.where("NOT published").select("module", "season", "reason", F.col("n").alias("entries"))
-    return totals.join(withheld, ["module", "season"], "left").fillna(0, ["entries"]).select(
-        "module", "season", "published", "refused", "reason", "entries")
+    by = [c("module"), c("rule"), c("season")]
+    sets = merged.groupingSets([by, [*by, c("reason")], [*by, c("reason"), c("scope"), c("figure")]], *by, c("reason"), c("scope"), c("figure"))
+    level = F.when(F.grouping("reason") == 1, "module").when(F.grouping("scope") == 1, "reason").otherwise("entry")
+    told = sets.agg(level.alias("level"), F.count_if("published").alias("published"), F.count_if(~c("published")).alias("refused"))
+    return told.where("level = 'module' or refused > 0").select("level", "module", "rule", "season", "reason", "scope", "figure", "published", "refused")
