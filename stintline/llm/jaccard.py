@@ -12,9 +12,11 @@ A document's set holds its distinct word n-grams; two documents link when 100 *
   of fixed size; a collision in it changes the order, never the result.
 * The boundary is the largest size at which the subsets still cost less than scanning the lists, by the mean list length
   that was counted. Light sets that can link to a heavy one are in the lists too.
-* Within a list, members are first compared with one leader each, another in every list and round. What is linked by then
-  needs no further comparison; what is left over between different classes is compared exactly: blocks of members meet, and a
-  pair becomes a row only if an upper bound of its overlap reaches what a link needs.
+* Within a list, members are compared in the task by an upper bound of their overlap; only a spanning forest of the pairs that it
+  leaves possible becomes rows. Every member's likeliest partner is confirmed on the full sets first, and what links is one class.
+* Lists that still hold several classes are gone through again. What is possible between different classes ties their members to
+  clusters, each member in one; a cluster's full sets are then compared exactly, blocks against blocks, and only a spanning forest of
+  the classes that link leaves the task. So the rows of pairs are no more than the members, however large a family of near copies.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stintline.llm.blocks import block_runs, dealt_blocks, forest, links_between, pair_batch
 from stintline.llm.components import components
 from stintline.llm.memory import give_back, lean
 from stintline.llm.scratch import Scratch
@@ -38,10 +41,9 @@ SHARE = 0.25  # of the n-grams, by hash, are counted for the order
 BITMAP_BITS = 26  # the bitmap of n-grams of several sets: 2 ** 26 bits, whatever the corpus
 MAX_LIGHT = 26  # beyond this size the subsets never pay
 VERIFY_COST = 8.0  # of one compared candidate, in index rows
-LEADER_ROUNDS = 4
-SMALL_LIST = 4  # members of a list that is compared whole at once
+LEADER_ROUNDS = 1  # in which each member is tested against its likeliest partner in another class
 BOUND_CELLS = 256  # of the histogram that bounds an overlap from above
-BLOCK = 2048  # members of a list that one task holds of each of two blocks
+BLOCK = 512  # members of a list or cluster that one task holds of each of two blocks; one of no more is compared whole
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -214,104 +216,113 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "u", "left_semi"))
     scratch.drop(known, shared)
 
-    tested = None
+    lists = scratch.write(lists.join(sets.select("node", "cells").distinct(), "node").select(
+        F.col("key").alias("leaf"), "node", "n", "c", F.col("cells").alias("sketch")))
     classes = components(edges, scratch)
-    large = scratch.write(lists.where(f"c > {SMALL_LIST}").select("key", "node", "n"))
-    # Short lists whole, then long ones by leaders, then (None) everything that is left in them, exactly.
-    rounds = ["short", *(range(LEADER_ROUNDS) if not large.isEmpty() else ()), *([None] if not large.isEmpty() else [])]
-    while rounds:
-        step = rounds.pop(0)
-        if step == "short":
-            placed, pairs = None, _within(lists.where(f"c <= {SMALL_LIST}"))
-        else:
-            placed = large.join(classes, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("class"))
-            mixed = placed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
-            placed = scratch.write(placed.join(mixed, "key"))
-            pairs = _with_leader(placed, step) if step is not None else None
-        if pairs is None:
-            near = scratch.write(_left_over(placed, sets.select("node", "size", "cells").distinct(), percent).join(tested, ["u", "v"], "left_anti"))
-        else:
-            pairs = pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            pairs = scratch.write(pairs.join(tested, ["u", "v"], "left_anti") if tested is not None else pairs)
-            tested = tested.unionByName(pairs) if tested is not None else pairs
-            near = scratch.write(_possible(pairs, sets, percent))
-        few = scratch.write(near.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        found = scratch.write(_verified(near, sets.select("node", "grams").join(few, "node", "left_semi"), percent))
-        if placed is not None:
-            scratch.drop(placed)
-        scratch.drop(near, few)
-        if found.isEmpty():
-            scratch.drop(found)
-            if step not in ("short", None):
-                rounds = rounds[-1:]  # another leader would hardly do better
-            continue
+    for _ in range(LEADER_ROUNDS):
+        pairs = scratch.write(_likeliest(_mixed(lists, classes), percent))
+        few = scratch.write(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        found = scratch.write(_verified(pairs, sets.select("node", "grams").join(few, "node", "left_semi"), percent))
+        scratch.drop(pairs, few)
         edges = edges.unionByName(found)
         classes = components(edges, scratch)
-    scratch.drop(large)
-    scratch.drop(nodes, lists, sets)
+
+    possible = scratch.write(_possible(_mixed(lists, classes), percent))
+    scratch.drop(nodes, lists)
+    if not possible.isEmpty():
+        clusters = scratch.write(components(possible, scratch).withColumnRenamed("component", "leaf"))
+        placed = clusters.join(classes, "node", "left").select("leaf", "node", F.coalesce("component", "node").alias("class"))
+        placed = placed.join(sets.select("node", F.col("size").alias("n"), "grams", F.col("cells").alias("sketch")).distinct(), "node")
+        between = scratch.write(links_between(placed, percent, BLOCK, BLOCK, _ListRun))
+        scratch.drop(clusters)
+        classes = _contracted(classes, between, scratch)
     return member.join(classes, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
 
 
-def _with_leader(placed: DataFrame, round_no: int) -> DataFrame:
-    """Each list member with its list's leader, where their classes differ. Leaders are drawn by a hash of list and round."""
-    drawn = F.struct(F.xxhash64("node", "key", F.lit(round_no)).alias("h"), "node", "n", "class")
-    leader = placed.groupBy("key").agg(F.min(drawn).alias("l")).select("key", F.col("l.node").alias("v"), F.col("l.n").alias("m"), F.col("l.class").alias("of"))
-    return placed.join(leader, "key").where("class <> of").select(F.col("node").alias("u"), "n", "v", "m")
-
-
-def _left_over(placed: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of a list in different classes that the histograms leave possible, without a row for any other pair.
-
-    The members outside the list's largest class, and those in it, are dealt by hash into blocks of about BLOCK members. Each
-    block of the former meets every block of both kinds in a task of its own; blocks of the largest class never meet.
-    """
-    counts = placed.groupBy("key", "class").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("key").agg(F.max(F.struct("c", "class")).alias("l"), F.sum("c").alias("all")).select(
-        "key", F.col("l.class").alias("main"), F.ceil((F.col("all") - F.col("l.c")) / BLOCK).alias("few"), F.ceil(F.col("l.c") / BLOCK).alias("many"))
-    member = placed.join(sizes, "key").join(cells, "node")
-    own = F.when(F.expr("class <> main"), F.expr("pmod(xxhash64(node), few)")).otherwise(F.expr("few + pmod(xxhash64(node), many)"))
-    met = F.expr("if(at < few, sequence(0L, few + many - 1), sequence(0L, few - 1))")
-    dealt = member.withColumn("at", own).withColumn("other", F.explode(met)).select(
-        "key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "size", "class", "cells")
-    order = ["key", "i", "j"]
-    return (dealt.repartition(*order).sortWithinPartitions(*order, "at")
-            .mapInArrow(lean(lambda batches: _block_pairs(batches, percent)), "u long, v long").distinct())
-
-
-def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The possible pairs of each run of rows with the same (key, i, j), which may go on over several batches."""
-    carry = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
-        marks = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-        bounds = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist()]
-        for start, end in zip(bounds, bounds[1:], strict=False):
-            yield _met(table.slice(start, end - start), percent)
-        carry = table.slice(bounds[-1]) if table.num_rows else None
-    if carry is not None:
-        yield _met(carry, percent)
-
-
-def _met(run: pa.Table, percent: int) -> pa.RecordBatch:
-    """The possible pairs between the two blocks of a run, or within its one block."""
-    i, j, at, node, n, of = (run.column(c).to_numpy() for c in ("i", "j", "at", "node", "size", "class"))
-    cells = np.frombuffer(b"".join(run.column("cells").to_pylist()), np.uint8).reshape(-1, BOUND_CELLS)
-    left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for start in range(0, len(left), 512):
-        part = left[start : start + 512]
-        sizes = n[part, None], n[None, right]
-        fit = (of[part, None] != of[None, right]) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
-        if i[0] == j[0]:
-            fit &= node[part, None] < node[None, right]
-        if fit.any():
-            most, full = _cells_in_common(cells[part], cells[right])
-            a, b = np.nonzero(fit & (full | ((100 + percent) * most >= percent * (sizes[0] + sizes[1]))))
-            u.append(node[part[a]])
-            v.append(node[right[b]])
-    u, v = np.concatenate(u), np.concatenate(v)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+def _mixed(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of the lists that hold several classes, each with its class."""
+    placed = lists.join(classes, "node", "left").select("leaf", "node", "n", "c", "sketch", F.coalesce("component", "node").alias("class"))
+    mixed = placed.groupBy("leaf").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("leaf")
+    return placed.join(mixed, "leaf")
+
+
+def _contracted(classes: DataFrame, between: DataFrame, scratch: Scratch) -> DataFrame:
+    """The classes after the links (u, v) between classes; only these links are gone through."""
+    top = components(between, scratch).toDF("component", "top")
+    alone = between.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return classes.unionByName(alone).join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
+class _ListRun:
+    """The members of one (leaf, i, j), and which of its pairs an upper bound of the overlap leaves possible."""
+
+    def __init__(self, run: pa.Table, percent: int):
+        self.run, self.percent = run, percent
+        self.node, self.n, at, self.of = (run.column(c).to_numpy() for c in ("node", "n", "at", "class"))
+        self.cells = np.frombuffer(b"".join(run.column("sketch").to_pylist()), np.uint8).reshape(-1, BOUND_CELLS)
+        i, j = run.column("i")[0].as_py(), run.column("j")[0].as_py()
+        self.left, self.right, self.same = np.flatnonzero(at == i), np.flatnonzero(at == j), i == j
+
+    def likely(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, share of the bound in both sizes) of the pairs of rows, a stretch of the left side at a time."""
+        percent, parts = self.percent, []
+        right = self.right
+        for start in range(0, len(self.left), 128):
+            part = self.left[start : start + 128]
+            n, m = self.n[part, None], self.n[None, right]
+            fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (self.of[part, None] != self.of[None, right])
+            if self.same:
+                fit &= self.node[part, None] < self.node[None, right]
+            a, b = np.nonzero(fit)
+            if not len(a):
+                continue
+            if 8 * len(a) > fit.size > 4096:
+                most, full = (x[a, b] for x in _cells_in_common(self.cells[part], self.cells[right]))
+            else:
+                x, y = self.cells[part[a]], self.cells[right[b]]
+                most, full = np.minimum(x, y).sum(1, dtype=np.int64), ((x == 255) & (y == 255)).any(1)
+            both = self.n[part[a]] + self.n[right[b]]
+            keep = full | ((100 + percent) * most >= percent * both)
+            parts.append((part[a[keep]], right[b[keep]], most[keep] / both[keep]))
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _likeliest(placed: DataFrame, percent: int) -> DataFrame:
+    """(u, v): each member with its likeliest partner of another class, in its lists or, in long ones, in its block of them."""
+    def best(batches):
+        for table in block_runs(batches):
+            run = _ListRun(table, percent)
+            a, b, share = run.likely()
+            order = np.argsort(-share, kind="stable")
+            a, b, share = a[order], b[order], share[order]
+            kept = forest(run.node[a], run.node[b])
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(run.node[a[kept]]), pa.array(run.node[b[kept]]), pa.array(share[kept])], ["u", "v", "share"])
+
+    order = ["leaf", "i", "j"]
+    dealt = dealt_blocks(placed, BLOCK, BLOCK, "sketch", "class", diagonal=True)
+    found = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(best), "u long, v long, share double")
+    either = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "share"))
+    mine = either.groupBy("u").agg(F.max_by("v", F.struct("share", -F.col("v"))).alias("v"))
+    return mine.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _possible(placed: DataFrame, percent: int) -> DataFrame:
+    """(u, v): of each list, or two blocks of it, a spanning forest of the pairs in different classes that may link."""
+    def tied(batches):
+        for table in block_runs(batches):
+            run = _ListRun(table, percent)
+            a, b, _ = run.likely()
+            a, b = run.node[a], run.node[b]
+            kept = forest(a, b)
+            if kept.any():
+                yield pair_batch(a[kept], b[kept])
+
+    order = ["leaf", "i", "j"]
+    return dealt_blocks(placed, BLOCK, BLOCK, "sketch", "class").repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(tied), "u long, v long").distinct()
 
 
 def _cells_in_common(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,12 +338,6 @@ def _cells_in_common(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, n
     return most.astype(np.int64), level > 0
 
 
-def _within(lists: DataFrame) -> DataFrame:
-    """The pairs of lists of at most SMALL_LIST members."""
-    other = lists.select("key", F.col("node").alias("v"), F.col("n").alias("m"))
-    return lists.select("key", F.col("node").alias("u"), "n").join(other, "key").where("u < v")
-
-
 def _stored_sets(rows: DataFrame, n_words: int, wanted, bits: int) -> DataFrame:
     """(node, grams, cells) of the wanted rows: the sorted hashes, and how many of them fall in each cell, 255 meaning any more."""
     def store(batches):
@@ -348,23 +353,6 @@ def _stored_sets(rows: DataFrame, n_words: int, wanted, bits: int) -> DataFrame:
     return rows.mapInArrow(lean(store), "node long, size long, grams binary, cells binary")
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose overlap can reach what a link needs: no more than the cells have in common, whatever the n-grams."""
-    @F.pandas_udf("boolean")
-    def possible(left: pd.Series, right: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, BOUND_CELLS) for c in (left, right))
-        full = ((x == 255) & (y == 255)).any(1)
-        most = np.minimum(x, y).sum(1, dtype=np.int64)
-        out = pd.Series(full | ((100 + percent) * most >= percent * (a + b).to_numpy()))
-        del x, y
-        give_back()
-        return out
-
-    cells = sets.select("node", "size", "cells")
-    return (pairs.join(cells.toDF("u", "a", "left"), "u").join(cells.toDF("v", "b", "right"), "v")
-            .where(possible("left", "right", "a", "b")).select("u", "v").distinct())
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets link, by merging both sorted sets."""
 
