@@ -63,6 +63,15 @@ def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(carry)
 
 
+def whole_runs(rest: list[pa.RecordBatch], end: bool) -> list[pa.Table]:
+    """The runs that the batches hold in full, taken off them: all but the last one, and at the end that one too."""
+    runs = list(block_runs(iter(rest)))
+    rest.clear()
+    if runs and not end:
+        rest.extend(runs.pop().to_batches())
+    return runs
+
+
 def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Which of the edges, taken in order, tie together what no earlier one did."""
     up: dict[int, int] = {}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintline.llm.blocks import block_runs, dealt_blocks, forest, links_between, pair_batch
+from stintline.llm.blocks import dealt_blocks, forest, links_between, pair_batch, whole_runs
 from stintline.llm.components import components
 from stintline.llm.memory import give_back, lean
 from stintline.llm.scratch import Scratch
@@ -43,6 +43,7 @@ MAX_LIGHT = 26  # beyond this size the subsets never pay
 VERIFY_COST = 8.0  # of one compared candidate, in index rows
 LEADER_ROUNDS = 1  # in which each member is tested against its likeliest partner in another class
 BOUND_CELLS = 256  # of the histogram that bounds an overlap from above
+SHORT = 4  # members of a list whose pairs are taken at once with those of other such lists
 BLOCK = 512  # members of a list or cluster that one task holds of each of two blocks; one of no more is compared whole
 
 
@@ -290,10 +291,52 @@ class _ListRun:
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _short_runs(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]:
+    """(u, v, share) of the possible pairs of all runs of up to SHORT rows inside the batch at once, and the rows of all others.
+
+    The first and the last run may go on in other batches and count as others.
+    """
+    none = np.zeros(0, np.int64)
+    if batch.num_rows < 3:
+        return none, none, np.zeros(0), batch
+    marks = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("leaf", "i", "j")], 1)
+    starts = np.concatenate([[0], np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1])
+    sizes = np.diff(np.append(starts, len(marks)))
+    short = (sizes <= SHORT) & (starts > 0) & (starts + sizes < len(marks)) & (marks[starts, 1] == marks[starts, 2])
+    left = batch.filter(pa.array(~np.repeat(short, sizes)))
+    node, n, of = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("node", "n", "class"))
+    cells = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sketch")).to_pylist()), np.uint8).reshape(-1, BOUND_CELLS)
+    parts = []
+    for size in range(2, SHORT + 1):
+        at, (i, j) = starts[short & (sizes == size)], np.triu_indices(size, 1)
+        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        fit = (of[a] != of[b]) & (node[a] != node[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b = a[fit], b[fit]
+        for k in range(0, len(a), 4096):
+            x, y = cells[a[k : k + 4096]], cells[b[k : k + 4096]]
+            most, full = np.minimum(x, y).sum(1, dtype=np.int64), ((x == 255) & (y == 255)).any(1)
+            both = n[a[k : k + 4096]] + n[b[k : k + 4096]]
+            keep = full | ((100 + percent) * most >= percent * both)
+            parts.append((node[a[k : k + 4096][keep]], node[b[k : k + 4096][keep]], most[keep] / both[keep]))
+    if not parts:
+        return none, none, np.zeros(0), left
+    return *(np.concatenate(x) for x in zip(*parts, strict=True)), left
+
+
 def _likeliest(placed: DataFrame, percent: int) -> DataFrame:
     """(u, v): each member with its likeliest partner of another class, in its lists or, in long ones, in its block of them."""
     def best(batches):
-        for table in block_runs(batches):
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            u, v, share, left = _short_runs(batch, percent)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(share)], ["u", "v", "share"])
+            rest.append(left)
+            yield from long_ones(rest, False)
+        yield from long_ones(rest, True)
+
+    def long_ones(rest: list[pa.RecordBatch], end: bool):
+        for table in whole_runs(rest, end):
             run = _ListRun(table, percent)
             a, b, share = run.likely()
             order = np.argsort(-share, kind="stable")
@@ -305,15 +348,25 @@ def _likeliest(placed: DataFrame, percent: int) -> DataFrame:
     order = ["leaf", "i", "j"]
     dealt = dealt_blocks(placed, BLOCK, BLOCK, "sketch", "class", diagonal=True)
     found = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(best), "u long, v long, share double")
-    either = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "share"))
-    mine = either.groupBy("u").agg(F.max_by("v", F.struct("share", -F.col("v"))).alias("v"))
+    either = F.explode(F.array(F.struct("u", "v", "share"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "share")))
+    mine = found.select(either.alias("e")).select("e.*").groupBy("u").agg(F.max_by("v", F.struct("share", -F.col("v"))).alias("v"))
     return mine.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _possible(placed: DataFrame, percent: int) -> DataFrame:
     """(u, v): of each list, or two blocks of it, a spanning forest of the pairs in different classes that may link."""
     def tied(batches):
-        for table in block_runs(batches):
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            u, v, _, left = _short_runs(batch, percent)
+            if len(u):
+                yield pair_batch(u, v)
+            rest.append(left)
+            yield from long_ones(rest, False)
+        yield from long_ones(rest, True)
+
+    def long_ones(rest: list[pa.RecordBatch], end: bool):
+        for table in whole_runs(rest, end):
             run = _ListRun(table, percent)
             a, b, _ = run.likely()
             a, b = run.node[a], run.node[b]
