@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintline.llm import chat, chosenpath, decontam, hamming, jaccard, langid, packing, quality, rollup, secrets, spelling, toxicity, turntrie
+from stintline.llm import chat, chosenpath, decontam, hamming, jaccard, langid, packing, quality, rollup, secrets, spelling, tokencount, toxicity, turntrie
 from stintline.llm.scratch import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -97,34 +97,67 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches of inserts, a revision of the word counts (words with a digit no longer count), deletes of repeated texts.
+# The tokenizer versions of operator 10: documents are counted by the first and then moved to the second.
+VERSIONS = ("byte_bpe_50k", "word_bpe_49k")
+
+
+def _rollup(docs: DataFrame, versions: tuple[str, ...]) -> tuple[rollup.TokenRollup, list[str]]:
+    """Batches of changes over all documents, and the rollup that holds them. Every batch is committed twice, as a stream that repeats itself would.
 
-    Every batch is committed twice, as a stream that repeats itself would.
+    Four batches of inserts; a revision of the word counts (words with a digit no longer count); a move of every document from one version
+    of the tokenizer to the next; deletes of repeated texts: of each text the row of smallest id (null last), source and language stays.
     """
-    docs = _table(spark, sf_dir, "documents")
+    spark = docs.sparkSession
     scratch = Scratch(spark)
-    text = F.coalesce("text", F.lit(""))
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    digits = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*")).cast("long")
-    counted = scratch.write(docs.select("doc_id", "source", "lang", F.sha2(text, 256).alias("mark"), words.alias("words"), digits.alias("digits"),
-                                        F.octet_length(text).cast("long").alias("bytes")))
-    first = counted.groupBy("mark").agg(F.min("doc_id").alias("first"))
-    repeated = scratch.write(counted.join(first, "mark").where("doc_id > first").select("source", "lang", "words", "digits", "bytes"))
-
-    def changes(rows: DataFrame, op: str, **counts: Column) -> DataFrame:
+    paths = dict(zip(VERSIONS, tokenizer_paths(), strict=True))
+    rows = scratch.write(tokencount.counted(docs, {v: paths[v] for v in versions}))
+    counts = ("words", "digit_words", "bytes", *versions)
+    # Copies of a text from one source and language are one row from here on, summed before the shuffle: a hot text is no hot key.
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    copies = scratch.write(rows.groupBy("mark", "source", "lang").agg(F.count("*").alias("n"), F.min(order).alias("first"), *(F.first(c).alias(c) for c in counts)))
+    stays = F.struct("first", F.col("source").isNull().alias("no_source"), "source", F.col("lang").isNull().alias("no_lang"), "lang")
+    kept = copies.groupBy(F.col("mark").alias("kept_mark")).agg(F.min(stays).alias("kept"))
+    repeated = copies.join(kept, F.col("mark") == F.col("kept_mark")).withColumn("times", F.col("n") - (stays == F.col("kept")).cast("long"))
+
+    def changes(rows: DataFrame, op: str, *more: str, prior: Column | None = None, prior_tokenizer: str | None = None, **counts: Column) -> DataFrame:
         each = F.explode(F.array(*(F.struct(F.lit(k).alias("tokenizer"), c.alias("tokens")) for k, c in counts.items())))
-        return rows.select("source", "lang", F.lit(op).alias("op"), F.col("words").alias("prior_tokens"), each.alias("t")).select("*", "t.*")
+        return rows.select("source", "lang", *more, F.lit(op).alias("op"), (F.lit(None) if prior is None else prior).cast("long").alias("prior_tokens"),
+                           F.lit(prior_tokenizer).cast("string").alias("prior_tokenizer"), each.alias("t")).select("*", "t.*")
+
+    plain = F.col("words") - F.col("digit_words")
+    old, new = {v: F.col(v) for v in versions[:1]}, {v: F.col(v) for v in versions[-1:]}
+    part = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(4))
+    batches = {f"insert-{k}": (changes(rows.where(part == k), "insert", words=F.col("words"), bytes=F.col("bytes"), **old), None) for k in range(4)}
+    batches["revise"] = changes(rows, "revise", prior=F.col("words"), words=plain), None
+    if versions:
+        batches["move"] = changes(rows, "revise", prior=F.col(versions[0]), prior_tokenizer=versions[0], **new), None
+    batches["delete"] = changes(repeated, "delete", "times", words=plain, bytes=F.col("bytes"), **new), "times"
+    held = rollup.TokenRollup(spark, f"{scratch.root}/rollup")
+    for batch_id, (frame, times) in [*batches.items(), *batches.items()]:
+        held.commit(batch_id, frame, times)
+        if batch_id == "revise":
+            held.compact(list(batches)[:5])
+    scratch.drop(rows, copies)
+    return held, list(batches)
+
+
+def tokenizer_paths() -> list[tuple[str, str | None]]:
+    """Path and pattern of each of VERSIONS."""
+    import public_tokenizers
+
+    return [(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), (tokenizer_path(), None)]
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of documents, their tokenizer's ids, words and bytes, kept by deltas alone through inserts, revisions, a new tokenizer and deletes."""
+    held, batches = _rollup(_table(spark, sf_dir, "documents"), VERSIONS)
+    return held.totals(batches)
+
 
-    kept = F.col("words") - F.col("digits")
-    batches = {f"insert-{k}": changes(counted.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k), "insert", words=F.col("words"), bytes=F.col("bytes")) for k in range(4)}
-    batches["revise"] = changes(counted, "revise", words=kept)
-    batches["delete"] = changes(repeated, "delete", words=kept, bytes=F.col("bytes"))
-    kept_totals = rollup.TokenRollup(spark, f"{scratch.root}/rollup")
-    for batch_id, rows in [*batches.items(), *batches.items()]:
-        kept_totals.commit(batch_id, rows)
-    scratch.drop(counted, repeated)
-    return kept_totals.totals(list(batches))
+def word_byte_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches without the tokenizers, which SQL can follow."""
+    held, batches = _rollup(_table(spark, sf_dir, "documents"), ())
+    return held.totals(batches)
 
 
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +173,7 @@ def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_secrets, op3_hamming, op4_jaccard, op5_decontamination, op6_chat, op7_toxicity, op8_quality,
-                                   op9_language, op10_token_counts, op11_spelling, op12_chosen_path, op13_turn_trie)}
+                                   op9_language, op10_token_counts, word_byte_rollup, op11_spelling, op12_chosen_path, op13_turn_trie)}
 
 _TURNS = f"""
   WITH turns AS (
@@ -161,10 +194,10 @@ ORACLE_SQL = {
     sum(length(safe) + CASE WHEN prior_role IS DISTINCT FROM role THEN length('<|im_start|>') + length(head) + 1 ELSE length('<|im_next|>') END
         + CASE WHEN next_role IS DISTINCT FROM role THEN length('<|im_end|>') + 1 ELSE 0 END)::BIGINT AS formatted_chars
   FROM spelled GROUP BY conv_id""",
-    "op10_token_counts": r"""
+    "word_byte_rollup": r"""
   WITH kept AS (
     SELECT source, lang, coalesce(text, '') AS text FROM documents
-    QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1),
+    QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id NULLS LAST, source NULLS LAST, lang NULLS LAST) = 1),
   counted AS (
     SELECT source, lang, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) - len(regexp_extract_all(text, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*')) AS words,
       strlen(text) AS bytes FROM kept)
