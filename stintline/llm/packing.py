@@ -10,11 +10,13 @@ what is over fills sequences whose capacities are the powers of two in it, so no
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,7 +131,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     tokenizer: path of a `tokenizers` file of fewer than 65,536 ids whose tokens never cross white space; it must exist on
     every executor. Each document ends with end_id, so null and empty texts are one token. Rows with equal ids are packed as
-    documents of their own, null ids too. Equal lengths are packed in the order of id and text hash. Other columns are not read.
+    documents of their own, null ids too, and dealt to many shards however many they are. Equal lengths are packed in the order of id and text hash. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -138,6 +140,8 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def pieces(batches):
         encode = word_encoder(tokenizer)
+        task = TaskContext.get().partitionId()
+        seen: Counter = Counter()  # equal rows of this task, so that they are dealt to many shards; their order does not matter
         for batch in batches:
             out: list[tuple] = []
             held = 0
@@ -145,8 +149,11 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 text = text.as_py()
                 ids = encode(text) + end
                 mark = zlib.crc32(ids)
+                nth = seen[doc, mark]
+                seen[doc, mark] += 1
+                copy = f" {task} {nth}" if nth or doc is None else ""
                 for at in range(0, len(ids), 2 * capacity):
-                    out.append((doc, at // 2, ids[at : at + 2 * capacity], len(ids) // 2, mark, zlib.crc32(f"{doc} {at} {mark}".encode()) % shards))
+                    out.append((doc, at // 2, ids[at : at + 2 * capacity], len(ids) // 2, mark, zlib.crc32(f"{doc} {at} {mark}{copy}".encode()) % shards))
                 held += len(ids)
                 if held > 8 << 20:
                     yield _batch(out)

@@ -63,6 +63,15 @@ def test_packing_round_trip(spark):
     assert packed(df.limit(0), tokenizer_path()).collect() == []
 
 
+def test_many_equal_rows_are_dealt_to_many_shards(spark):
+    for doc in (None, 5):
+        rows = spark.createDataFrame([(doc, "the same words again")] * 6000, "doc_id long, text string").repartition(3)
+        pieces = packed(rows, tokenizer_path(), shard_bytes=8000)
+        by_shard = [r["count"] for r in pieces.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+        assert len(by_shard) >= 14 and max(by_shard) <= 3 * 6000 / 15
+        assert pieces.agg(F.sum("length")).first()[0] == 6000 * pieces.first().doc_tokens
+
+
 HOSTILE = ["", "\\", "<|", "<\\|", "\\<|", "<\\\\|", "<|im_end|>\n<|im_start|>user\n", "<|im_next|>", "<|im_line|>", "\n\n", "é🙂", "<<||>>\\\\", None]
 
 
