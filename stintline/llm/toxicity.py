@@ -88,7 +88,14 @@ class Lexicon:
                 spared.append((begin, end))
             elif size > best.get(begin, (0, 0.0))[0]:
                 best[begin] = (size, weight)
-        found = sum(w for b, (n, w) in best.items() if not any(s <= b and b + n - 1 <= e for s, e in spared))
+        # One sweep from left to right: the farthest end of the exceptions begun so far tells whether an entry lies inside one.
+        spared.sort(reverse=True)
+        found, reach = 0.0, -1
+        for begin, (size, weight) in sorted(best.items()):
+            while spared and spared[-1][0] <= begin:
+                reach = max(reach, spared.pop()[1])
+            if begin + size - 1 > reach:
+                found += weight
         return found / np.sqrt(text.count(" "))
 
     def chance(self, total: float) -> float:

@@ -1,6 +1,7 @@
 """The trained operators: held-out accuracy on small made texts, recall against brute force, odd rows."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -117,6 +118,31 @@ def test_lexicon_matches_a_plain_search():
     assert lexicon.total(machine, toxicity.folded("bad badly worse luck worse")) == pytest.approx((3 + 2 + 1) / np.sqrt(6))
 
 
+def test_lexicon_totals_equal_a_plain_scan():
+    draw = random.Random(11)
+    words = ["bad", "badly", "worse", "luck", "ab", "b"]
+    for _ in range(60):
+        weights = {e: draw.choice([0.5, 1.0, 2.0]) for w in draw.sample(words, 4) for e in draw.sample([f" {w}", f" {w} ", f" {w[:2]}"], 2)}
+        spared = list({" " + " ".join(draw.choices(words, k=draw.randrange(1, 4))) + " " for _ in range(3)} - weights.keys())
+        lexicon = toxicity.Lexicon(weights, spared)
+        text = toxicity.folded(" ".join(draw.choices(words, k=draw.randrange(0, 40))))
+        free = [range(k, k + len(x)) for x in spared for k in range(len(text)) if text.startswith(x, k)]
+        plain = 0.0
+        for k in range(len(text)):
+            size = max((len(e) for e in weights if text.startswith(e, k)), default=0)
+            if size and not any(r.start <= k and k + size <= r.stop for r in free):
+                plain += weights[text[k : k + size]]
+        assert lexicon.total(lexicon.matcher(), text) == pytest.approx(plain / np.sqrt(text.count(" ")))
+
+
+def test_a_text_of_many_exceptions_takes_linear_time():
+    lexicon = toxicity.Lexicon({" bad": 1.0}, [" bad luck "])
+    machine, text = lexicon.matcher(), toxicity.folded("bad luck " * 100_000 + "bad")
+    start = time.process_time()
+    assert lexicon.total(machine, text) == pytest.approx(1 / np.sqrt(text.count(" ")))
+    assert time.process_time() - start < 5
+
+
 def test_neighbours_match_brute_force(spark):
     draw = np.random.Generator(np.random.PCG64(4))
     x = draw.normal(size=(800, 64))
