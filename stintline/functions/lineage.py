@@ -26,8 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
 def materialised(df: DataFrame) -> DataFrame:
     """Write once, read back as Parquet: prunable, and safe when executors are lost.
 
-    Used where several branches would otherwise recompute the same wide plan.
+    Used where several branches would otherwise recompute the same wide plan. The file goes when the application ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/stintline/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stintline/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
