@@ -80,8 +80,8 @@ def _(v):
 
 @query("curvature", f"SELECT lap_key, idx, {r6('curvature', 8)} AS curvature FROM trace_o")
 def _(v):
-    # A frame of 8 samples sends every faster sample down the wide path.
-    return _r(gm.acceleration_trace(_line(v), frame=8).select("lap_key", "idx", "curvature"), ["curvature"], 8)
+    # Cells shorter than a window: the sums must not depend on where a lap is cut.
+    return _r(gm.acceleration_trace(_line(v), cell=8).select("lap_key", "idx", "curvature"), ["curvature"], 8)
 
 
 SHARED["resolution_o"] = f"""

@@ -113,8 +113,8 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], values: dict[st
     return known_around(df, keys, order, block, back=values, inclusive=inclusive)
 
 
-def closed_ring(df: DataFrame, key: str, halo: int, block: int = BLOCK) -> tuple[DataFrame, object]:
-    """Lay a closed lap out so that frames of up to ``halo`` rows wrap and split.
+def closed_ring(df: DataFrame, key: str, halo: int | Column, block: int = BLOCK) -> tuple[DataFrame, object]:
+    """Lay a closed lap out so that frames of up to ``halo`` rows wrap and split; it may be a column, one value a lap.
 
     ``df`` has a dense ``idx`` from 0 and its length ``n``. Samples near the line
     are repeated on the other side of it, and samples near a block edge in the

@@ -1,6 +1,8 @@
 import datetime
 import math
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stintline.functions import scans
@@ -128,11 +130,40 @@ def circle(spark, radius=100.0, kph=180.0):
 
 def test_circle_gives_its_own_lateral_g(spark):
     expected = (180 / 3.6) ** 2 / 100 / gm.G
-    for frame in (gm.FRAME, 5):
-        worst = gm.acceleration_trace(circle(spark), frame=frame).agg(F.max(F.abs(F.col("lateral_g") - expected)), F.count("*")).first()
+    for cell in (gm.CELL, 5):
+        worst = gm.acceleration_trace(circle(spark), cell=cell).agg(F.max(F.abs(F.col("lateral_g") - expected)), F.count("*")).first()
         assert worst[0] < 0.02 * expected and worst[1] == 314
 
 
+def test_curvature_equals_a_fit_of_each_window(spark):
+    """Windows from 17 samples to half a lap, far from the origin of the map, against a plain least-squares fit."""
+    n, rng = 240, random.Random(5)
+    at = [2 * math.pi * i / n for i in range(n)]
+    xs = [4000 + 90 * math.cos(t) + 12 * math.cos(3 * t) + rng.uniform(-0.2, 0.2) for t in at]
+    ys = [-2500 + 60 * math.sin(t) + 9 * math.sin(2 * t) + rng.uniform(-0.2, 0.2) for t in at]
+    kph = [rng.choice((0.0, 80.0, 210.0, 330.0, 900.0, 5000.0)) for _ in at]
+    rows = [(1, i, xs[i], ys[i], kph[i]) for i in range(n)] + [(2, i, 0.0, float(i), 50.0) for i in range(18)]
+    lap = spark.createDataFrame(rows, "lap_key int, idx int, x double, y double, speed double")
+
+    def fitted(i):
+        half = min((n - 1) // 2, max(8, math.floor(1.5 * kph[i] / 3.6 / 3.7 / 2 + 0.5)))
+        dx, dy = (np.array([p[(i + k) % n] - p[i] for k in range(-half, half + 1)]) for p in (xs, ys))
+        chord = np.array([dx[-1] - dx[0], dy[-1] - dy[0]])
+        tx, ty = chord / np.hypot(*chord)
+        bend, slope, _ = np.polyfit(dx * tx + dy * ty, dy * tx - dx * ty, 2)
+        return 2 * bend / (1 + slope * slope) ** 1.5
+
+    for cell in (gm.CELL, 7):
+        got = {(r.lap_key, r.idx): r for r in gm.acceleration_trace(lap, cell=cell).collect()}
+        assert set(got) == {(1, i) for i in range(n)}, "a lap shorter than a window gives nothing"
+        for i in range(n):
+            r = got[1, i]
+            assert abs(r.curvature - fitted(i)) < 1e-9 * max(1, abs(fitted(i))), (i, kph[i])
+            assert abs(r.longitudinal_g - kph[i] / 3.6 * (kph[(i + 4) % n] - kph[i - 4]) / 3.6 / 16 / gm.G) < 1e-9
+            assert abs(r.speed_step_g - abs((kph[(i + 1) % n] / 3.6) ** 2 - (kph[i] / 3.6) ** 2) / 4 / gm.G) < 1e-6
+    assert gm.acceleration_trace(lap.where("false")).isEmpty()
+
+
 def test_all_over_lap_has_no_turn(spark):
     assert gm.detect_turns(gm.acceleration_trace(circle(spark))).count() == 0
 
