@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon: folded text, one Aho-Corasick pass, exception phrases, a score normalised by length.
 
 Folding: compatibility forms and accents are removed, look-alike letters of other scripts become Latin, digits and signs that
-stand for letters are read as such where a letter follows, everything else between words is one space. A lexicon entry is a
-word beginning or a whole word with its space(s), and a weight. Exception phrases are longer: an entry found inside one of
+stand for letters are read as such where a letter follows, everything else between words is one space. A word that ends in such
+digits or signs (``hell0``) has a second reading in which they are letters too, and the longer match of the two counts; a final
+``!`` is a mark in both. A lexicon entry is a word beginning or a whole word with its space(s), and a weight. Exception phrases are longer: an entry found inside one of
 them does not count.
 """
 
@@ -44,20 +45,34 @@ DIGIT_LETTERS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8"
 _alike = str.maketrans(LOOK_ALIKE)
 _digits = str.maketrans(DIGIT_LETTERS)
 _stands_for = re.compile(r"[013457 8@$!€]".replace(" ", "") + r"+(?=[^\W\d_])")
+_stands_last = re.compile(r"(?<=[^\W\d_])[0134578@$€]++(?!\w)")
 _between = re.compile(r"[\W\d_]+")
 _invisible = re.compile("[­​-‏⁠﻿]")
 
 
-def folded(text: str | None) -> str:
-    """The text as folded words between single spaces, with one before and one after; two spaces where there are none."""
+def readings(text: str | None) -> tuple[str, str]:
+    """The text as folded words between single spaces, with one before and one after; two spaces where there are none.
+
+    The second reading has as many words, and differs where one ends in digits or signs; it is empty where none does.
+    """
     text = (text or "").lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKD", _invisible.sub("", text)).translate(_alike)
         text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
     text = _stands_for.sub(lambda m: m[0].translate(_digits), text)
+    ended = _stands_last.sub(lambda m: m[0].translate(_digits), text)
+    return _spaced(text), _spaced(ended) if ended != text else ""
+
+
+def _spaced(text: str) -> str:
     return f" {_between.sub(' ', text).strip()} "
 
 
+def folded(text: str | None) -> str:
+    """The first reading alone."""
+    return readings(text)[0]
+
+
 @dataclass
 class Lexicon:
     """Weights by entry, exception phrases, and the two numbers that turn a normalised sum into a chance."""
@@ -76,10 +91,25 @@ class Lexicon:
         machine.make_automaton()
         return machine
 
-    def total(self, machine: ahocorasick.Automaton, text: str) -> float:
-        """The normalised sum of a folded text: of the entries at a place the longest counts, none inside an exception."""
+    def total(self, machine: ahocorasick.Automaton, text: str, second: str = "") -> float:
+        """The normalised sum of a folded text: of the entries at a place the longest counts, none inside an exception.
+
+        Where the second reading has another word, the longer entry of the two counts.
+        """
         if not len(machine):
             return 0.0
+        found = self._counted(machine, text)
+        if second:
+            other, here, there = self._counted(machine, second), 0, 0
+            for word, again in zip(text.split(), second.split(), strict=True):
+                if word != again and there in other and other[there][0] > found.get(here, (0, 0.0))[0]:
+                    found[here] = other[there]
+                here, there = here + len(word) + 1, there + len(again) + 1
+        return sum(weight for _, weight in found.values()) / np.sqrt(text.count(" "))
+
+    @staticmethod
+    def _counted(machine: ahocorasick.Automaton, text: str) -> dict[int, tuple[int, float]]:
+        """(size, weight) of the longest entry by its place, without those inside an exception."""
         best: dict[int, tuple[int, float]] = {}
         spared: list[tuple[int, int]] = []
         for end, (size, weight) in machine.iter(text):
@@ -90,13 +120,13 @@ class Lexicon:
                 best[begin] = (size, weight)
         # One sweep from left to right: the farthest end of the exceptions begun so far tells whether an entry lies inside one.
         spared.sort(reverse=True)
-        found, reach = 0.0, -1
+        found, reach = {}, -1
         for begin, (size, weight) in sorted(best.items()):
             while spared and spared[-1][0] <= begin:
                 reach = max(reach, spared.pop()[1])
             if begin + size - 1 > reach:
-                found += weight
-        return found / np.sqrt(text.count(" "))
+                found[begin] = (size, weight)
+        return found
 
     def chance(self, total: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.slope * total, -35, 35))))
@@ -124,10 +154,10 @@ def learn(labelled: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"text": [folded(t) for t in batch.text], "label": batch.label})
+            yield pd.DataFrame([readings(t) for t in batch.text], columns=["text", "second"]).assign(label=batch.label.to_numpy())
 
     given = labelled.select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
-    rows = scratch.write(given.repartition(SAMPLE // 1000).mapInPandas(fold, "text string, label int"))
+    rows = scratch.write(given.repartition(SAMPLE // 1000).mapInPandas(fold, "text string, second string, label int"))
 
     def of_toxic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -210,7 +240,7 @@ def _calibrated(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = lexicon.matcher()
         for batch in batches:
-            yield pd.DataFrame({"x": [lexicon.total(machine, t) for t in batch.text], "y": batch.label})
+            yield pd.DataFrame({"x": [lexicon.total(machine, t, s) for t, s in zip(batch.text, batch.second, strict=True)], "y": batch.label})
 
     got = rows.mapInPandas(sums, "x double, y int").toPandas()
     x, y = got.x.to_numpy(), got.y.to_numpy(float)
@@ -233,7 +263,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col:
         lex = held.value
         machine = lex.matcher()
         for batch in batches:
-            sums = np.array([lex.total(machine, folded(t.as_py())) for t in batch.column(1)], float)
+            sums = np.array([lex.total(machine, *readings(t.as_py())) for t in batch.column(1)], float)
             chance = [lex.chance(x) for x in sums]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chance, pa.float64()), pa.array(sums, pa.float64())], ["doc_id", "score", "weighted_hits"])
 

@@ -135,6 +135,34 @@ def test_lexicon_totals_equal_a_plain_scan():
         assert lexicon.total(lexicon.matcher(), text) == pytest.approx(plain / np.sqrt(text.count(" ")))
 
 
+def test_words_that_end_in_digits_or_signs_have_a_second_reading():
+    assert toxicity.readings("hell0 a55, a$$ 1d1075 wow! v29 x_5 5 plain") == (" hell a a id wow v x plain ", " hello ass ass idiots wow v x plain ")
+    assert toxicity.readings(None) == toxicity.readings("12 %") == ("  ", "") and toxicity.readings("no marks, 12 b4d!")[1] == ""
+    lexicon = toxicity.Lexicon({" ass ": 3.0, " idiot": 2.0, " a ": 0.5, " hell ": 1.0}, [" hell of ", " pain in ass "])
+    machine = lexicon.matcher()
+
+    def total(text):
+        return lexicon.total(machine, *toxicity.readings(text)) * np.sqrt(toxicity.folded(text).count(" "))
+
+    for text, want in (("a55", 3.0), ("A$$ 1d1075", 5.0), ("a", 0.5), ("hell0", 1.0), ("hell of a55", 3.0), ("pain in a55", 0.5), ("idiot5 and idiots", 4.0),
+                       ("a-5", 0.5), ("", 0.0)):
+        assert total(text) == pytest.approx(want), text
+    draw = random.Random(2)
+    for _ in range(300):
+        text = "".join(draw.choice(["a", "s", "d", "5", "$", "!", "9", " ", "é", "_", "İ", "ª"]) for _ in range(draw.randrange(30)))
+        first, second = toxicity.readings(text)
+        assert not second or len(first.split()) == len(second.split())
+
+
+def test_disguise_at_the_end_of_a_word_is_scored(spark):
+    rows = [(k, f"some calm words {k % 7} " + ("you ass fool" if k % 2 else "you nice folk"), k % 2) for k in range(200)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(known.select("text", F.col("toxic").alias("label")))
+    docs = spark.createDataFrame([(1, "calm words a55 here"), (2, "calm words ass here"), (3, "calm words a here"), (4, None)], "doc_id long, text string")
+    by = scores(toxicity.scored(docs, lexicon))
+    assert by[1] == by[2] >= 0.5 > by[3] and by[4] < 0.5
+
+
 def test_a_text_of_many_exceptions_takes_linear_time():
     lexicon = toxicity.Lexicon({" bad": 1.0}, [" bad luck "])
     machine, text = lexicon.matcher(), toxicity.folded("bad luck " * 100_000 + "bad")
