@@ -73,9 +73,9 @@ def _index(v):
     return materialised(md.lap_stint_index(_compounds(v)))
 
 
-def _fit_rows(v):
+def _fit_rows(v, index=None):
     laps = v.sql(_PACED)
-    return md.fit_rows(laps, _index(v), md.neutralised_by_pace(laps, min_field=MIN_FIELD))
+    return md.fit_rows(laps, _index(v) if index is None else index, md.neutralised_by_pace(laps, min_field=MIN_FIELD))
 
 
 @query("lap_stint_index", "SELECT * FROM stintindex_o")
@@ -174,15 +174,16 @@ def _(v):
         "session_id", F.col("i").alias("term"), (F.abs(F.col("l") - F.col("r")) < 1e-5 * (1 + F.abs("r"))).alias("solved"))
 
 
-def _fitted(v):
-    rows = materialised(_fit_rows(v))
+def _fitted(v, index=None):
+    rows = materialised(_fit_rows(v, index))
     fit = materialised(md.race_fit(rows))
     return md.compound_terms(rows, fit), md.base_pace(rows, fit)
 
 
 def _predicted(v):
-    compounds, pace = _fitted(v)
-    return md.predict_laps(v.sql(_PACED), _index(v), compounds, pace)
+    index = _index(v)
+    compounds, pace = _fitted(v, index)
+    return md.predict_laps(v.sql(_PACED), index, compounds, pace)
 
 
 _CT = ["offset_s", "rate_s", "rate_ci_s"]

@@ -81,34 +81,47 @@ def fit_rows(laps: DataFrame, index: DataFrame, neutralised: DataFrame, min_per_
         *CAR, "lap", "compound", "life", (F.col("total_laps") - F.col("lap")).alias("remaining"), "time_s", "sample_laps")
 
 
-def normal_equations(rows: DataFrame) -> DataFrame:
-    """Gram matrix of the fit with the driver terms projected out, one row per cell.
+def _driver_sums(rows: DataFrame) -> DataFrame:
+    """Sums and products of a driver's laps on a compound, one row each: all the fit needs, with a map-side combine."""
+    life, fuel, y = F.col("life").cast("double"), F.col("remaining").cast("double"), F.col("time_s")
+    columns = {"l": life, "f": fuel, "y": y, "ll": life * life, "lf": life * fuel, "ly": life * y, "ff": fuel * fuel, "fy": fuel * y, "yy": y * y}
+    return rows.groupBy(*CAR, "compound").agg(F.count("*").cast("double").alias("n"), *[F.sum(e).alias(k) for k, e in columns.items()])
 
-    A lap touches at most four columns (life and offset of its compound, fuel,
-    and the lap time), so it adds at most ten products; per driver the products
-    of the column sums are taken off. Both are plain sums with a map-side
-    combine: a session of any size reduces to a few dozen cells.
-    """
-    reference = rows.groupBy("session_id").agg(F.min("compound").alias("_ref"))
-    offset = F.when(F.col("compound") != F.col("_ref"), F.struct(
-        F.concat(F.lit("offset:"), "compound").alias("c"), F.lit(1.0).alias("v")))
-    cells = F.array_compact(F.array(
-        F.struct(F.concat(F.lit("life:"), "compound").alias("c"), F.col("life").cast("double").alias("v")), offset,
-        F.struct(F.lit("fuel").alias("c"), F.col("remaining").cast("double").alias("v")),
-        F.struct(F.lit("y").alias("c"), F.col("time_s").alias("v"))))
-    wide = rows.join(reference, "session_id").select(*CAR, cells.alias("cells"))
-    squares = wide.withColumn("a", F.explode("cells")).withColumn("b", F.explode("cells")).where("a.c <= b.c").groupBy(
-        "session_id", F.col("a.c").alias("i"), F.col("b.c").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("s"))
-    per_driver = wide.withColumn("a", F.explode("cells")).groupBy(*CAR, F.col("a.c").alias("c")).agg(F.sum("a.v").alias("s"))
-    sizes = wide.groupBy(*CAR).agg(F.count("*").alias("n"))
+
+def _gram(sums: DataFrame) -> DataFrame:
+    """The cells of ``normal_equations`` from the sums of each driver and compound."""
+    c = F.col
+    reference = sums.groupBy("session_id").agg(F.min("compound").alias("_ref"))
+    known = sums.join(reference, "session_id").withColumns({
+        "_life": F.concat(F.lit("life:"), "compound"), "_off": F.when(c("compound") != c("_ref"), F.concat(F.lit("offset:"), "compound"))})
+    life, off, fuel, y = c("_life"), c("_off"), F.lit("fuel"), F.lit("y")
+    pairs = [(life, life, "ll"), (life, off, "l"), (fuel, life, "lf"), (life, y, "ly"), (off, off, "n"), (fuel, off, "f"), (off, y, "y"),
+             (fuel, fuel, "ff"), (fuel, y, "fy"), (y, y, "yy")]
+    cell = lambda i, j, v: F.struct(i.alias("i"), j.alias("j"), c(v).alias("v"))
+    squares = known.select("session_id", F.explode(F.array(*[cell(*p) for p in pairs])).alias("e")).where("e.i IS NOT NULL AND e.j IS NOT NULL").groupBy(
+        "session_id", c("e.i").alias("i"), c("e.j").alias("j")).agg(F.sum("e.v").alias("s"))
+    columns = F.array(*[F.struct(i.alias("c"), c(v).alias("v")) for i, v in ((life, "l"), (off, "n"), (fuel, "f"), (y, "y"))])
+    per_driver = known.select(*CAR, F.explode(columns).alias("e")).where("e.c IS NOT NULL").groupBy(*CAR, c("e.c").alias("c")).agg(F.sum("e.v").alias("s"))
+    sizes = known.groupBy(*CAR).agg(F.sum("n").alias("n"))
     # A driver has one row per column (twice the compounds plus two).
     left, right = per_driver.withColumnRenamed("c", "i"), per_driver.withColumnsRenamed({"c": "j", "s": "t"})
     means = left.join(right, CAR).where("i <= j").join(sizes, CAR).groupBy("session_id", "i", "j").agg(
-        F.sum(F.col("s") * F.col("t") / F.col("n")).alias("m"))
+        F.sum(c("s") * c("t") / c("n")).alias("m"))
     return squares.join(means, ["session_id", "i", "j"], "full_outer").select(
         "session_id", "i", "j", (F.coalesce("s", F.lit(0.0)) - F.coalesce("m", F.lit(0.0))).alias("value"))
 
 
+def normal_equations(rows: DataFrame) -> DataFrame:
+    """Gram matrix of the fit with the driver terms projected out, one row per cell.
+
+    A lap touches at most four columns (life and offset of its compound, fuel,
+    and the lap time), so it adds at most ten products, summed by driver and
+    compound first; per driver the products of the column sums are taken off. A
+    session of any size reduces to its cells.
+    """
+    return _gram(_driver_sums(rows))
+
+
 # One column p taken out of the flattened symmetric matrix g of m columns (a sweep of its pivot). When all columns but the last
 # are out, the last column holds the solution, its corner the residual, and the rest the negative inverse.
 _SWEEP = """
@@ -123,28 +136,79 @@ def race_fit(rows: DataFrame, tolerance: float = RANK_TOLERANCE) -> DataFrame:
     """Field-wide least squares, one row per term; a rank-deficient session has none.
 
     Terms are ``life:<compound>``, ``offset:<compound>`` (none for the reference,
-    the first compound) and ``fuel``. A session's matrix has a column per term,
-    whatever its laps, and is solved by array expressions.
+    the first compound) and ``fuel``. Unknown stints are compounds of their own,
+    so a session's terms grow with its laps; but the two terms of a compound that
+    one driver alone ran touch only that driver's laps on it, and are taken out
+    there. What is left is a matrix of the shared compounds, solved by array
+    expressions; the terms taken out follow from its solution.
     """
-    cells = normal_equations(rows)
-    mirrored = cells.unionByName(cells.where("i <> j").select("session_id", F.col("j").alias("i"), F.col("i").alias("j"), "value"))
-    last = F.col("i") == "y"
-    spread = F.when(last, 1.0).otherwise(F.sqrt(F.greatest("value", F.lit(0.0))))
+    c = F.col
+    sums = materialised(_driver_sums(rows))
+    used = sums.groupBy("session_id", "compound").agg(F.count("*").alias("_by"))
+    reference = sums.groupBy("session_id").agg(F.min("compound").alias("_ref"))
+    lone = used.join(reference, "session_id").where("_by = 1 AND compound <> _ref").select("session_id", "compound")
+    shared = sums.join(lone, ["session_id", "compound"], "left_anti")
+    # Of a lone compound the laps' spread about its own mean and slope is left, in fuel and in time.
+    spread = {k: c(k) - c(k[0]) * c(k[1]) / c("n") for k in ("ll", "lf", "ly", "ff", "fy", "yy")}
+    own = sums.join(lone, ["session_id", "compound"], "left_semi").select(
+        *CAR, "compound", "n", *[(c(k) / c("n")).alias(f"_m{k}") for k in "lfy"], c("ll").alias("_raw"), *[e.alias(f"_{k}") for k, e in spread.items()])
+    own = own.withColumn("_lost", c("_ll") <= tolerance * c("_raw"))
+    left_ff = c("_ff") - c("_lf") * c("_lf") / c("_ll")
+    moved = F.coalesce(left_ff > tolerance * c("_ff"), F.lit(False))
+    left = own.where("NOT _lost").withColumns({
+        "ff": F.when(moved, left_ff).otherwise(0.0), "fy": F.when(moved, c("_fy") - c("_lf") * c("_ly") / c("_ll")).otherwise(0.0),
+        "yy": F.greatest(F.lit(0.0), c("_yy") - c("_ly") * c("_ly") / c("_ll"))})
+    added = left.select("session_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), c(v).alias("value")) for i, j, v in (
+        ("fuel", "fuel", "ff"), ("fuel", "y", "fy"), ("y", "y", "yy"))])).alias("e")).select("session_id", "e.*")
+    cells = _gram(shared).unionByName(added).groupBy("session_id", "i", "j").agg(F.sum("value").alias("value"))
+    # No slope of its own, or a driver seen on lone compounds only: its terms cannot be told from the driver's pace.
+    ran = shared.groupBy(*CAR).agg(F.sum("n").alias("_nd"), (F.sum("y") / F.sum("n")).alias("_yd"))
+    lost = own.where("_lost").select("session_id").unionByName(own.join(ran, CAR, "left_anti").select("session_id")).distinct()
+
+    mirrored = cells.unionByName(cells.where("i <> j").select("session_id", c("j").alias("i"), c("i").alias("j"), "value"))
+    last = c("i") == "y"
+    scale = F.when(last, 1.0).otherwise(F.sqrt(F.greatest("value", F.lit(0.0))))
     names = cells.where("i = j").groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct(last.alias("last"), F.col("i").alias("c"), spread.alias("s")))).alias("names")).where("forall(names, e -> e.s > 0)")
+        F.array_sort(F.collect_list(F.struct(last.alias("last"), c("i").alias("c"), scale.alias("s")))).alias("names")).where(
+        "forall(names, e -> e.s > 0)").join(lost, "session_id", "left_anti")
     grid = names.select("session_id", "names", F.posexplode("names").alias("a", "x")).select("session_id", "a", "x", F.posexplode("names").alias("b", "y")).select(
-        "session_id", "a", "b", F.col("x.c").alias("i"), F.col("y.c").alias("j"), (F.col("x.s") * F.col("y.s")).alias("scale"))
+        "session_id", "a", "b", c("x.c").alias("i"), c("y.c").alias("j"), (c("x.s") * c("y.s")).alias("scale"))
     flat = grid.join(mirrored, ["session_id", "i", "j"], "left").groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct("a", "b", (F.coalesce("value", F.lit(0.0)) / F.col("scale")).alias("v")))).alias("g"))
-    sizes = rows.groupBy("session_id").agg(F.count("*").alias("green_laps"), F.count_distinct("driver_id").alias("drivers"))
-    swept = flat.join(names, "session_id").select("session_id", "names", F.col("g.v").alias("g"), F.size("names").alias("m")).withColumn(
-        "w", F.expr(_SWEEP.format(tolerance=tolerance))).where("w.ok").select("session_id", "names", "m", F.col("w.g").alias("g"))
-    sigma2 = F.greatest(F.lit(0.0), F.expr("g[m * m - 1]")) / F.greatest(F.lit(1), F.col("green_laps") - F.col("drivers") - F.col("m") + 1)
-    out = swept.join(sizes, "session_id").withColumn("sigma2", sigma2).select("*", F.posexplode("names").alias("p", "t")).where("NOT t.last")
-    return out.select(
-        "session_id", F.col("t.c").alias("term"), (F.expr("g[p * m + m - 1]") / F.col("t.s")).alias("value"),
-        (F.sqrt(F.greatest(F.lit(0.0), -F.expr("g[p * (m + 1)]") * F.col("sigma2"))) / F.col("t.s")).alias("std_err"),
-        F.sqrt("sigma2").alias("rms_s"), "green_laps", "drivers")
+        F.array_sort(F.collect_list(F.struct("a", "b", (F.coalesce("value", F.lit(0.0)) / c("scale")).alias("v")))).alias("g"))
+    sizes = sums.groupBy("session_id").agg(F.sum("n").cast("long").alias("green_laps"), F.count_distinct("driver_id").alias("drivers"))
+    alone = lone.groupBy("session_id").agg(F.count("*").alias("_lone"))
+    swept = flat.join(names, "session_id").select("session_id", "names", c("g.v").alias("g"), F.size("names").alias("m")).withColumn(
+        "w", F.expr(_SWEEP.format(tolerance=tolerance))).where("w.ok").select("session_id", "names", "m", c("w.g").alias("g"))
+    terms = c("m") + 2 * F.coalesce("_lone", F.lit(0))
+    sigma2 = F.greatest(F.lit(0.0), F.expr("g[m * m - 1]")) / F.greatest(F.lit(1), c("green_laps") - c("drivers") - terms + 1)
+    solved = materialised(swept.join(sizes, "session_id").join(alone, "session_id", "left").withColumn("sigma2", sigma2).drop("_lone"))
+    told = [F.sqrt("sigma2").alias("rms_s"), "green_laps", "drivers"]
+    found = solved.select("*", F.posexplode("names").alias("p", "t")).where("NOT t.last").select(
+        "session_id", c("t.c").alias("term"), (F.expr("g[p * m + m - 1]") / c("t.s")).alias("value"),
+        (F.sqrt(F.greatest(F.lit(0.0), -F.expr("g[p * (m + 1)]") * c("sigma2"))) / c("t.s")).alias("std_err"), *told)
+
+    # Back to the terms taken out. Fuel is the first column; z holds a driver's mean of each shared column, in its scale.
+    means = shared.select(*CAR, F.explode(F.array(
+        F.struct(F.concat(F.lit("life:"), "compound").alias("c"), c("l").alias("v")), F.struct(F.concat(F.lit("offset:"), "compound").alias("c"), c("n").alias("v")),
+        F.struct(F.lit("fuel").alias("c"), c("f").alias("v")))).alias("e")).groupBy(*CAR, c("e.c").alias("c")).agg(F.sum("e.v").alias("v"))
+    held = means.groupBy(*CAR).agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("_x")).join(ran, CAR).join(
+        own.select(*CAR).distinct(), CAR, "left_semi").join(solved, "session_id")
+    z = held.withColumn("z", F.expr("transform(slice(names, 1, m - 1), e -> coalesce(_x[e.c], 0D) / _nd / e.s)"))
+    total = "aggregate(sequence(0, m - 2), 0D, (s, {i}) -> s + {e})"
+    facts = z.select(
+        *CAR, "_nd", "_yd", "sigma2", "green_laps", "drivers", F.expr("g[m - 1] / names[0].s").alias("_fuel"), F.expr("-g[0] / names[0].s / names[0].s").alias("_vff"),
+        F.expr(total.format(i="q", e="z[q] * g[q * m + m - 1]")).alias("_xb"), F.expr(total.format(i="q", e="z[q] * -g[q]") + " / names[0].s").alias("_xf"),
+        F.expr(total.format(i="p", e="z[p] * " + total.format(i="q", e="z[q] * -g[p * m + q]"))).alias("_xx"))
+    slope, off = c("_lf") / c("_ll"), c("_mf") - c("_ml") * c("_lf") / c("_ll")
+    deviation = lambda share: F.sqrt(F.greatest(F.lit(0.0), share * c("sigma2")))
+    back = own.join(facts, CAR)
+    life = F.struct(F.concat(F.lit("life:"), "compound").alias("term"), (c("_ly") / c("_ll") - slope * c("_fuel")).alias("value"),
+                    deviation(1 / c("_ll") + slope * slope * c("_vff")).alias("std_err"))
+    offset = F.struct(F.concat(F.lit("offset:"), "compound").alias("term"),
+                      (c("_my") - c("_ml") * c("_ly") / c("_ll") - c("_yd") + c("_xb") - off * c("_fuel")).alias("value"),
+                      deviation(1 / c("n") + c("_ml") * c("_ml") / c("_ll") + 1 / c("_nd") + c("_xx") - 2 * off * c("_xf") + off * off * c("_vff")).alias("std_err"))
+    return found.unionByName(back.select("session_id", F.explode(F.array(life, offset)).alias("t"), *told).select(
+        "session_id", "t.term", "t.value", "t.std_err", "rms_s", "green_laps", "drivers"))
 
 
 def base_pace(rows: DataFrame, fit: DataFrame) -> DataFrame:

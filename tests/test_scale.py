@@ -1,11 +1,16 @@
 """Plans whose work, memory or disk must not grow faster than their tables."""
 
 import math
+import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stintline.functions import scans
 from stintline.operators import compare as cp
+from stintline.operators import geometry as gm
+from stintline.operators import model as md
 
 
 def plan_lines(df):
@@ -39,3 +44,46 @@ def test_scans_ahead_read_each_row_once(spark):
             at = r.i * 2 + r.j
             assert r.a == next((float(m) for m in marks if m > at or (inclusive and m == at)), None)
             assert r.b == next((float(m) for m in reversed(marks) if m < at or (inclusive and m == at)), None)
+
+
+def test_a_lap_is_laid_out_once_for_its_curvature(spark):
+    line = spark.createDataFrame([(1, i, 300 * math.cos(i / 10), 300 * math.sin(i / 10), 100.0 + i % 7) for i in range(63)],
+                                 "lap_key long, idx int, x double, y double, speed double")
+    lines = plan_lines(gm.acceleration_trace(line))
+    assert not any("Aggregate" in x and "collect_list" in x for x in lines)
+
+
+def test_terms_of_lone_compounds_are_solved_apart(spark):
+    rng, rows = random.Random(3), []
+    for session in (1, 2):
+        for driver in range(6):
+            lap = 2
+            for stint in range(9):
+                lone = stint % 3 == 2 or (session == 2 and driver == 0)
+                compound = f"UNKNOWN-{driver}-{stint}" if lone else ("HARD", "MEDIUM", "WET")[rng.randrange(3)]
+                for life in range(1, rng.randrange(8, 16)):
+                    rows.append((session, driver, lap, compound, life, 200 - lap, 90 + driver * 0.1 + life * 0.05 * (1 + stint % 2) + (200 - lap) * 0.03 + rng.gauss(0, 0.2)))
+                    lap += 1
+    fit = {(r.session_id, r.term): r for r in md.race_fit(spark.createDataFrame(
+        rows, "session_id int, driver_id int, lap int, compound string, life int, remaining int, time_s double")).collect()}
+    assert {s for s, _t in fit} == {1}  # a driver of the second session ran lone compounds only
+    held = [r for r in rows if r[0] == 1]
+    names = ["fuel"] + [f"{k}:{c}" for k in ("life", "offset") for c in sorted({r[3] for r in held}) if k == "life" or c != "HARD"]
+    design = np.array([[{"fuel": r[5], f"life:{r[3]}": r[4], f"offset:{r[3]}": 1}.get(n, 0) for n in names] + [float(r[1] == d) for d in range(6)] for r in held], float)
+    y = np.array([r[6] for r in held])
+    beta = np.linalg.lstsq(design, y, rcond=None)[0]
+    sigma2 = np.sum((y - design @ beta) ** 2) / (len(y) - design.shape[1])
+    error = np.sqrt(np.diag(np.linalg.inv(design.T @ design)) * sigma2)
+    assert {t for _s, t in fit} == set(names)
+    for i, name in enumerate(names):
+        got = fit[1, name]
+        assert abs(got.value - beta[i]) < 1e-7 and abs(got.std_err - error[i]) < 1e-7 and abs(got.rms_s - sigma2 ** 0.5) < 1e-9
+
+
+def test_the_matrix_of_a_fit_does_not_grow_with_lone_compounds(spark):
+    rows = [(1, d, 2 + 8 * s + i, "HARD" if s % 2 == 0 else f"UNKNOWN-{d}-{s}", i + 1, 700 - 8 * s - i, 90.0 + i * 0.1 + d + (i * 7 + s * 3 + d) % 5 * 0.01)
+            for d in range(20) for s in range(60) for i in range(8)]
+    fit = md.race_fit(spark.createDataFrame(rows, "session_id int, driver_id int, lap int, compound string, life int, remaining int, time_s double"))
+    begun = time.time()
+    assert fit.count() == 2 + 2 * 20 * 30  # 1,203 columns with the lap time; swept as one matrix, over a billion steps
+    assert time.time() - begun < 60
