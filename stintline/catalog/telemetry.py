@@ -10,6 +10,7 @@ from stintline.functions.lineage import materialised
 from stintline.operators import quality
 from stintline.operators import telemetry as tl
 from stintline.plans.lines import racing_lines
+from stintline.sources.views import VIEWS
 
 # The fixture laps have about 86 samples, so the capture limits are lowered to suit.
 MIN_SAMPLES = 80
@@ -103,13 +104,19 @@ SHARED["aligned_o"] = f"""
 _CH = ["x", "y", "z", "speed", "throttle", "brake", "gear"]
 
 
+def _feeds(v):
+    """Position and car samples, from one reading of the lines they are made of."""
+    line = materialised(v.line)
+    return [v.spark.sql(VIEWS[name].replace("line_v", "{line}"), line=line) for name in ("pos_v", "car_v")]
+
+
 def _aligned(v):
-    return materialised(tl.align_channels(v.pos, v.car))
+    return materialised(tl.align_channels(*_feeds(v)))
 
 
 @query("align_channels", f"SELECT * {_rep(_CH)} FROM aligned_o")
 def _(v):
-    return _r(tl.align_channels(v.pos, v.car), _CH)
+    return _r(tl.align_channels(*_feeds(v)), _CH)
 
 
 SHARED["steps_o"] = """
@@ -200,7 +207,7 @@ def _(v):
             JOIN (SELECT lap_key, max(z) AS hi, min(z) AS lo FROM lines_o GROUP BY lap_key) z USING (lap_key)
             GROUP BY session_id) e ON e.session_id = u.session_id) l""")
 def _(v):
-    lines, _refused = racing_lines(v.pos, v.car, _picked(v), MIN_SAMPLES, 20.5)
+    lines, _refused = racing_lines(*_feeds(v), _picked(v), MIN_SAMPLES, 20.5)
     return _r(lines, _CH, 4)
 
 
@@ -209,7 +216,7 @@ def _(v):
     LEFT JOIN (SELECT lap_key, reason FROM capture_o) c USING (lap_key)
     WHERE lap_key NOT IN (SELECT lap_key FROM lines_o)""")
 def _(v):
-    return racing_lines(v.pos, v.car, _picked(v), MIN_SAMPLES)[1]
+    return racing_lines(*_feeds(v), _picked(v), MIN_SAMPLES)[1]
 
 
 @query("rotate_xy", f"""
