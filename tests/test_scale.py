@@ -87,3 +87,122 @@ def test_the_matrix_of_a_fit_does_not_grow_with_lone_compounds(spark):
     begun = time.time()
     assert fit.count() == 2 + 2 * 20 * 30  # 1,203 columns with the lap time; swept as one matrix, over a billion steps
     assert time.time() - begun < 60
+
+
+def traces(spark):
+    """Laps of one sample, of less than a block and of several blocks, with turns over the line and over the edges of blocks."""
+    rng, laps = random.Random(7), {1: 19, 2: 86, 3: 5000, 4: 8192, 5: 40, 6: 300, 7: 9001}
+    rows = []
+    for k, n in laps.items():
+        at = {i for b in [0, 4096, 8192, *(rng.randrange(n) for _ in range(n // 60))] for i in range(b - rng.randrange(9, 30), b + rng.randrange(9, 30))}
+        turning = {i % n for i in at} if k != 5 else set(range(n))
+        for i in range(n):
+            g = rng.choice((-1, 1)) * rng.uniform(1.0, 2.0) if i in turning and rng.random() < 0.9 else rng.uniform(0, 0.9)
+            rows.append((k, i, n, None if i % 97 == 5 else rng.uniform(60, 360), rng.uniform(-0.02, 0.02), float("nan") if i % 89 == 7 else g,
+                         rng.uniform(10, 20) if rng.random() < 0.01 else 1.0, rng.choice((0.0, 50.0, 99.0, 100.0) if k != 6 else (0.0, 20.0)),
+                         float(rng.random() < 0.1), rng.randrange(3, 6)))
+    names = "lap_key long, idx int, n int, speed double, curvature double, lateral_g double, speed_step_g double, throttle double, brake double, gear int"
+    by = {k: [dict(zip([c.split()[0] for c in names.split(", ")], r)) for r in rows if r[0] == k] for k in laps}
+    return spark.createDataFrame(rows, names), by
+
+
+def half_window(speed):
+    return max(16.0, 1.5 * ((speed or 0.0) / 3.6 / 3.7))
+
+
+def stepped(lap):
+    reach = [max(1, math.floor(half_window(r["speed"]) / 2.0 + 0.5)) for r in lap]
+    steps, n = [r["idx"] for r in lap if r["speed_step_g"] > 10], len(lap)
+    return [any(min((s - i) % n, (i - s) % n) <= reach[i] for s in steps) for i in range(n)]
+
+
+def turns_of(lap, threshold=1.0, shortest=25.0, gap=40.0):
+    n, near = len(lap), stepped(lap)
+    g = [None if math.isnan(r["lateral_g"]) else abs(r["lateral_g"]) for r in lap]
+    load = []
+    for i in range(n):
+        held = [v for v in (g[(i + d) % n] for d in range(-5, 6)) if v is not None]
+        load.append(round(sum(held) / len(held), 9) if held else 0.0)
+    start = next((i for i in range(n) if load[i] < threshold), None)
+    runs = []
+    for q in range(n) if start is not None else ():
+        if load[(q + start) % n] >= threshold:
+            if runs and (q == runs[-1][1] + 1 or (q - runs[-1][1] - 1) * 2.0 <= gap):
+                runs[-1][1] = q
+            else:
+                runs.append([q, q])
+    out = []
+    for a, b in runs:
+        if (b - a + 1) * 2.0 >= shortest:
+            held = [(q + start) % n for q in range(a, b + 1)]
+            apex = max(range(a, b + 1), key=lambda q: (load[(q + start) % n], -q))
+            apex = (apex + start) % n
+            rank = min(len(held) - 1, math.floor(0.9 * len(held)))
+            k, speed = abs(lap[apex]["curvature"]), lap[apex]["speed"]
+            why = "speed_step_near" if near[apex] else "radius_below_window" if speed is None or 1 / k < half_window(speed) else None
+            out.append((len(out) + 1, held[0], held[-1], apex, (b - a + 1) * 2.0, sorted(load[i] for i in held)[rank], why,
+                        min((lap[i]["speed"] for i in held if lap[i]["speed"] is not None), default=None), lap[held[0]]["speed"], lap[held[-1]]["speed"],
+                        sorted(abs(lap[i]["curvature"]) for i in held)[rank]))
+    return out
+
+
+def test_turns_come_from_one_layout_of_the_samples(spark):
+    trace, laps = traces(spark)
+    for limits in ({}, {"g_threshold": 1.1, "min_length_m": 4.0, "merge_gap_m": 6.0}, {"merge_gap_m": -1.0, "min_length_m": 4.0}):
+        found = gm.detect_turns(trace, **limits)
+        lines = plan_lines(found)
+        assert sum("Join" in x for x in lines) == 1 and not any("Generate explode(sequence(a" in x for x in lines)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.lap_key, []).append((
+                r.number, r.start_index, r.end_index, r.apex_index, r.length_m, r.sustained_lateral_g if r.withheld_reason is None else r.unresolved_lateral_g,
+                r.withheld_reason, r.min_speed_kph, r.entry_speed_kph, r.exit_speed_kph, r.sustained_curvature))
+            assert r.n == len(laps[r.lap_key]) and (r.sustained_lateral_g is None) == (r.withheld_reason is not None)
+        args = {"g_threshold": "threshold", "min_length_m": "shortest", "merge_gap_m": "gap"}
+        want = {k: t for k, lap in laps.items() if (t := turns_of(lap, **{args[a]: v for a, v in limits.items()}))}
+        assert 5 not in got and {k: sorted(t) for k, t in got.items()} == want
+        assert any(t[1] > t[2] for ts in got.values() for t in ts) and any(t[1] < 4096 <= t[2] for t in got[7])
+
+
+def test_steps_near_are_found_with_one_layout(spark):
+    trace, laps = traces(spark)
+    out = gm.curvature_resolution(trace)
+    assert sum("Join" in x for x in plan_lines(out)) == 1
+    got = {(r.lap_key, r.idx): r.steps_near for r in out.collect()}
+    assert got == {(k, i): v for k, lap in laps.items() for i, v in enumerate(stepped(lap))}
+
+
+def test_turns_ask_for_few_samples(spark):
+    trace, laps = traces(spark)
+    turns = gm.detect_turns(trace, g_threshold=1.1, min_length_m=4.0, merge_gap_m=6.0).localCheckpoint()
+    spots = [(r.lap_key, r.number, r.start_index, r.apex_index, r.n) for r in turns.collect()]
+    details = {(r.lap_key, r.number): r for r in gm.turn_details(turns, trace, lookback_m=24.0).collect()}
+    assert len(details) == len(spots)
+    for k, number, start, apex, n in spots:
+        lap, r = laps[k], details[k, number]
+        back = next((d for d in range(12) if lap[(start - d) % n]["brake"] > 0 and lap[(start - d - 1) % n]["brake"] == 0), None)
+        assert (r.gear_at_apex, r.braking_index, r.braking_distance_m) == (
+            lap[apex]["gear"], None if back is None else (start - back) % n, None if back is None else back * 2.0)
+    for window in (24.0, 600.0):
+        for r in gm.driving_style(trace, turns, pickup_window_m=window).collect():
+            full = lambda i: laps[r.lap_key][i % len(laps[r.lap_key])]["throttle"] >= 98  # noqa: B023, E731
+            ahead = [next((d for d in range(min(n, round(window / 2))) if full(apex + d)), None) for k, _number, _start, apex, n in spots if k == r.lap_key]
+            met = [d * 2.0 for d in ahead if d is not None]
+            assert (r.turns, r.pickups) == (len(ahead), len(met)) and (not met or abs(r.mean_pickup_m - sum(met) / len(met)) < 1e-9)
+
+
+def test_deltas_are_read_once_for_the_turns(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        read.add(1)
+        return x
+
+    turns = spark.createDataFrame([(1, 1, 2, 5), (1, 2, 7, 1), (9, 1, 0, 3)], "lap_key long, number int, start_index int, end_index int")
+    laps = {2: [0.5 * i for i in range(10)], 3: [0.1 * i * i for i in range(8)], 4: [1.0] * 4}
+    rows = [(1, k, i, d) for k, ds in laps.items() for i, d in enumerate(ds)] + [(8, 5, 0, 1.0)]
+    delta = spark.createDataFrame(rows, "ref_key long, lap_key long, idx int, d double")
+    delta = delta.select("ref_key", "lap_key", "idx", F.udf(told, "double")("d").alias("delta_s"))
+    got = {(r.ref_key, r.number, r.lap_key): (r.delta_s, r.worst_s, r.shown_at) for r in gm.turn_deltas(turns, delta).collect()}
+    assert got == {(1, 1, 2): (1.5, 2.1, 1), (1, 1, 3): (2.1, 2.1, 1), (1, 2, 2): (1.5, 1.5, 2), (1, 2, 3): (0.1, 1.5, 2)}
+    assert read.value <= len(rows)
