@@ -191,6 +191,25 @@ def test_turns_ask_for_few_samples(spark):
             assert (r.turns, r.pickups) == (len(ahead), len(met)) and (not met or abs(r.mean_pickup_m - sum(met) / len(met)) < 1e-9)
 
 
+def test_looking_ahead_for_full_throttle_lays_no_sample_out(spark):
+    full = {1: [], 2: [0], 3: [31, 32, 63], 4: [5], 5: [99, 129], 6: list(range(300))}
+    n = {1: 70, 2: 64, 3: 65, 4: 33, 5: 130, 6: 300}
+    rows = [(k, i, n[k], 100.0 if i in full[k] else None if i % 3 else 97.9, 0.0, 4, 200.0) for k in n for i in range(n[k])]
+    trace = spark.createDataFrame(rows, "lap_key long, idx int, n int, throttle double, brake double, gear int, speed double")
+    spots = [(k, i) for k in n for i in range(n[k])]
+    turns = spark.createDataFrame([(k, i, 1.0 * i) for k, i in spots] + [(9, 0, 1.0)], "lap_key long, apex_index int, min_speed_kph double")
+    for window in (2.0, 70.0, 10_000.0):
+        out = gm.driving_style(trace, turns, pickup_window_m=window)
+        assert sum("Generate explode(sequence" in x for x in plan_lines(out)) == 1
+        got = {r.lap_key: r for r in out.collect()}
+        assert set(got) == set(n)
+        for k, r in got.items():
+            ahead = [min(((s - i) % n[k] for s in full[k]), default=None) for i in range(n[k])]
+            met = [a * 2.0 for a in ahead if a is not None and a < window / 2]
+            assert (r.turns, r.pickups) == (n[k], len(met)) and (r.mean_pickup_m is None) == (not met)
+            assert not met or abs(r.mean_pickup_m - sum(met) / len(met)) < 1e-9
+
+
 def test_deltas_are_read_once_for_the_turns(spark):
     read = spark.sparkContext.accumulator(0)
 
