@@ -191,6 +191,12 @@ def test_turns_ask_for_few_samples(spark):
             assert (r.turns, r.pickups) == (len(ahead), len(met)) and (not met or abs(r.mean_pickup_m - sum(met) / len(met)) < 1e-9)
 
 
+def test_turns_order_the_samples_once_each_way(spark):
+    trace, _laps = traces(spark)
+    backward = [x for x in plan_lines(gm.detect_turns(trace)) if "Window [" in x and "pos" in x and "DESC" in x]
+    assert len(backward) == 1
+
+
 def test_looking_ahead_for_full_throttle_lays_no_sample_out(spark):
     full = {1: [], 2: [0], 3: [31, 32, 63], 4: [5], 5: [99, 129], 6: list(range(300))}
     n = {1: 70, 2: 64, 3: 65, 4: 33, 5: 130, 6: 300}
