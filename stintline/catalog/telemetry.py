@@ -111,7 +111,7 @@ def _feeds(v):
 
 
 def _aligned(v):
-    return materialised(tl.align_channels(*_feeds(v)))
+    return materialised(tl.align_channels(*_feeds(v), steps=True))
 
 
 @query("align_channels", f"SELECT * {_rep(_CH)} FROM aligned_o")
@@ -207,6 +207,7 @@ def _(v):
             JOIN (SELECT lap_key, max(z) AS hi, min(z) AS lo FROM lines_o GROUP BY lap_key) z USING (lap_key)
             GROUP BY session_id) e ON e.session_id = u.session_id) l""")
 def _(v):
+    v = v.keeping("laps")
     lines, _refused = racing_lines(*_feeds(v), _picked(v), MIN_SAMPLES, 20.5)
     return _r(lines, _CH, 4)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stintline.functions.lineage import materialised
-from stintline.functions.scans import known_around, last_known, running_total
+from stintline.functions.scans import known_around, last_known
 
 CAR = ["session_id", "driver_id"]
 
@@ -81,26 +81,28 @@ def window_honoured(samples: DataFrame, laps: DataFrame, pad_s: float = WINDOW_P
         *CAR, "lap", F.col("span_s"), allowed.alias("allowed_s"), (F.col("span_s") <= allowed).alias("honoured"))
 
 
-def align_channels(pos: DataFrame, car: DataFrame) -> DataFrame:
+def align_channels(pos: DataFrame, car: DataFrame, steps: bool = False) -> DataFrame:
     """Car channels on the position clock.
 
     Speed and throttle are linear between their neighbours and held at the ends;
     gear and brake keep the previous car sample. Both clocks are merged into one
-    ordered scan, so no sample is compared with any but its neighbours.
+    ordered scan, so no sample is compared with any but its neighbours. With
+    ``steps`` the same scan also tells the raw distance and the time since the
+    position sample before.
     """
     c = F.col
+    ours = lambda e: F.when(c("_side") == 0, e)
     timed = lambda name: F.when((c("_side") == 0) & c(name).isNotNull(), F.struct("t", c(name).alias("v")))
     both = car.withColumn("_side", F.lit(0)).unionByName(
         pos.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     near = known_around(
         both, ["lap_key"], ["t", "_side"], _time_block(),
-        back={"_sp": timed("speed"), "_tp": timed("throttle"),
-              "_row": F.when(c("_side") == 0, F.struct("gear", "brake"))},
-        ahead={"_sn": timed("speed"), "_tn": timed("throttle")}).where("_side = 1")
-    car_facts = car.groupBy("lap_key").agg(
-        F.count("speed").alias("_ns"), F.count("throttle").alias("_nt"),
-        F.min(F.struct("t", "gear", "brake")).alias("_first"))
-    pos_facts = pos.groupBy("lap_key").agg((F.count("z") == F.count("*")).alias("_z"))
+        back={"_sp": timed("speed"), "_tp": timed("throttle"), "_row": ours(F.struct("gear", "brake"))},
+        ahead={"_sn": timed("speed"), "_tn": timed("throttle")},
+        before={"_before": F.when(c("_side") == 1, F.struct("t", "x", "y"))} if steps else None,
+        whole={"_ns": (F.count(ours(c("speed"))), F.sum), "_nt": (F.count(ours(c("throttle"))), F.sum),
+               "_first": (F.min(ours(F.struct("t", "gear", "brake"))), F.min),
+               "_flat": (F.count_if((c("_side") == 1) & c("z").isNull()), F.sum)}).where("_side = 1")
 
     def linear(before: str, after: str, count: str) -> Column:
         a, b = c(before), c(after)
@@ -111,18 +113,26 @@ def align_channels(pos: DataFrame, car: DataFrame) -> DataFrame:
 
     held = lambda name: F.when(c("_first").isNotNull(), F.coalesce(
         F.when(c("_row").isNotNull(), c("_row")[name]).otherwise(c("_first")[name]).cast("double"), F.lit(0.0)))
-    return near.join(car_facts, "lap_key", "left").join(pos_facts, "lap_key").select(
-        "lap_key", "t", "x", "y", F.when(c("_z"), c("z")).alias("z"),
+    return near.select(
+        "lap_key", "t", "x", "y", F.when(c("_flat") == 0, c("z")).alias("z"),
         linear("_sp", "_sn", "_ns").alias("speed"), linear("_tp", "_tn", "_nt").alias("throttle"),
-        F.when(held("brake") > 0, 1.0).when(held("brake").isNotNull(), 0.0).alias("brake"), held("gear").alias("gear"))
+        F.when(held("brake") > 0, 1.0).when(held("brake").isNotNull(), 0.0).alias("brake"), held("gear").alias("gear"),
+        *(_since() if steps else []))
+
+
+def _since() -> list[Column]:
+    """The raw distance and the time since the sample in ``_before``."""
+    c = F.col
+    return [F.hypot(c("x") - c("_before.x"), c("y") - c("_before.y")).alias("step"), (c("t") - c("_before.t")).alias("dt")]
 
 
 def _with_step(aligned: DataFrame) -> DataFrame:
-    """Each sample with the raw distance and the time since the one before."""
+    """Each sample with the raw distance and the time since the one before, unless it comes with them."""
+    if "step" in aligned.columns:
+        return aligned
     before = last_known(aligned, ["lap_key"], ["t"], {"_before": F.struct("t", "x", "y")}, _time_block(),
                         inclusive=False)
-    return before.withColumn("step", F.hypot(F.col("x") - F.col("_before.x"), F.col("y") - F.col("_before.y"))).withColumn(
-        "dt", F.col("t") - F.col("_before.t")).drop("_before")
+    return before.select(*aligned.columns, *_since())
 
 
 def position_scale(aligned: DataFrame, min_samples: int = MIN_LINE_SAMPLES, min_moving: int = MIN_MOVING_SAMPLES,
@@ -159,15 +169,38 @@ def capture_report(aligned: DataFrame, scales: DataFrame, min_samples: int = MIN
         "lap_key", "samples", "advancing", reason.alias("reason"))
 
 
-def driven_distance(aligned: DataFrame, scales: DataFrame, min_samples: int = MIN_LINE_SAMPLES) -> DataFrame:
-    """Samples that advanced, in metres, with the distance driven so far."""
-    unit = F.col("units_per_metre")
-    metric = aligned.join(scales.select("lap_key", "units_per_metre"), "lap_key").withColumns(
-        {c: F.col(c) / unit for c in ("x", "y", "z")}).drop("units_per_metre")
-    advanced = materialised(_with_step(metric).where("step IS NULL OR step > 0"))
-    enough = advanced.groupBy("lap_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_samples).select("lap_key")
-    kept = advanced.join(enough, "lap_key", "left_semi")
-    return running_total(kept, ["lap_key"], ["t"], "step", "distance_m", _time_block()).drop("step", "dt")
+def _advanced(aligned: DataFrame) -> DataFrame:
+    return _with_step(aligned).where("step IS NULL OR step > 0")
+
+
+def driven_laps(aligned: DataFrame, scales: DataFrame, min_samples: int = MIN_LINE_SAMPLES) -> DataFrame:
+    """The laps that ``driven_distance`` keeps: a unit, and samples enough that advanced."""
+    counted = _advanced(aligned).groupBy("lap_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_samples)
+    return counted.select("lap_key").join(scales.select("lap_key"), "lap_key", "left_semi")
+
+
+def driven_distance(aligned: DataFrame, scales: DataFrame, min_samples: int = MIN_LINE_SAMPLES, told: tuple[str, ...] = ()) -> DataFrame:
+    """Samples that advanced, in metres, with the distance driven so far.
+
+    The unit and what was driven before meet the samples as one row per lap and
+    block, so the samples are laid out once. ``told`` are further columns of
+    ``scales`` to keep; with any, the block of a sample stays too, for a scan
+    that goes on from this layout.
+    """
+    c, unit = F.col, F.col("units_per_metre")
+    stepped = aligned if "step" in aligned.columns else materialised(_with_step(aligned))
+    advanced = _advanced(stepped).withColumn("_block", _time_block())
+    blocks = Window.partitionBy("lap_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    facts = (
+        advanced.groupBy("lap_key", "_block").agg(F.count("*").alias("_n"), F.sum("step").alias("_t"))
+        .withColumn("_n", F.sum("_n").over(Window.partitionBy("lap_key")))
+        .withColumn("_carry", F.coalesce(F.sum("_t").over(blocks), F.lit(0.0))).where(c("_n") >= min_samples)
+        .join(scales.select("lap_key", "units_per_metre", *told), "lap_key").drop("_n", "_t")
+    )
+    inside = Window.partitionBy("lap_key", "_block").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    driven = (c("_carry") + F.coalesce(F.sum("step").over(inside), F.lit(0.0))) / unit
+    out = advanced.join(facts, ["lap_key", "_block"]).withColumn("distance_m", driven).withColumns({k: c(k) / unit for k in "xyz"})
+    return out.drop("step", "dt", "_carry", "units_per_metre", *([] if told else ["_block"]))
 
 
 def resample_by_distance(driven: DataFrame, spacing_m: float = SPACING_M) -> DataFrame:
@@ -177,8 +210,8 @@ def resample_by_distance(driven: DataFrame, spacing_m: float = SPACING_M) -> Dat
     interpolates them from the two; the first sample owns point 0. No join.
     """
     channels = [c for c in CHANNELS if c in driven.columns]
-    before = last_known(driven, ["lap_key"], ["distance_m"], {"_p": F.struct("distance_m", *channels)},
-                        F.floor(F.col("distance_m") / 8192), inclusive=False)
+    block = F.col("_block") if "_block" in driven.columns else F.floor(F.col("distance_m") / 8192)
+    before = last_known(driven, ["lap_key"], ["distance_m"], {"_p": F.struct("distance_m", *channels)}, block, inclusive=False)
     first = F.when(F.col("_p").isNull(), F.array(F.lit(0).cast("long")))
     low = F.floor(F.col("_p.distance_m") / spacing_m) + 1
     high = F.floor(F.col("distance_m") / spacing_m)

@@ -15,23 +15,26 @@ def racing_lines(pos: DataFrame, car: DataFrame, picked: DataFrame, min_samples:
 
     The unit is measured once per session, on the fastest lap that allows it; a
     lap tried before that one has no unit and gives no line. Elevation is kept
-    only where the session's fastest line carries a usable profile.
+    only where the session's fastest line carries a usable profile. The grid of
+    that line is made first, by itself; of the others it is made last, as it has
+    many more points than there are samples.
     """
+    picked = materialised(picked)
     chosen = picked.select("lap_key")
     aligned = materialised(tl.align_channels(
-        pos.join(chosen, "lap_key", "left_semi"), car.join(chosen, "lap_key", "left_semi")))
+        pos.join(chosen, "lap_key", "left_semi"), car.join(chosen, "lap_key", "left_semi"), steps=True))
     unit = tl.session_scale(tl.position_scale(aligned, min_samples), picked)
     usable = materialised(picked.join(unit, "session_id").where("pace_rank >= measured_on"))
-    driven = materialised(tl.driven_distance(aligned, usable, min_samples))
-    raw = materialised(tl.resample_by_distance(driven))
-    built = picked.join(raw.select("lap_key").distinct(), "lap_key")
+    built = materialised(picked.join(tl.driven_laps(aligned, usable, min_samples), "lap_key"))
     best = built.groupBy("session_id").agg(F.min(F.struct("pace_rank", "lap_key")).alias("b")).select(
         "session_id", F.col("b.lap_key").alias("best_key"))
-    verdict = tl.elevation_verdict(raw.join(best.select(F.col("best_key").alias("lap_key")), "lap_key", "left_semi"),
-                                   min_range_m)
+    fastest = best.select(F.col("best_key").alias("lap_key"))
+    profile = tl.resample_by_distance(tl.driven_distance(aligned.join(fastest, "lap_key", "left_semi"), usable, min_samples))
+    verdict = tl.elevation_verdict(profile, min_range_m)
     keep_z = built.join(best, "session_id").join(
         verdict.select(F.col("lap_key").alias("best_key"), "usable"), "best_key").select("lap_key", "usable")
-    lines = raw.join(keep_z, "lap_key").withColumn("z", F.when(F.col("usable"), F.col("z"))).drop("usable")
+    driven = tl.driven_distance(aligned, usable.join(keep_z, "lap_key"), min_samples, told=("usable",))
+    lines = tl.resample_by_distance(driven.withColumn("z", F.when(F.col("usable"), F.col("z"))))
     report = tl.capture_report(aligned, usable, min_samples).select("lap_key", "reason")
     refused = (
         picked.join(built.select("lap_key"), "lap_key", "left_anti").join(report, "lap_key", "left")

@@ -11,6 +11,8 @@ from stintline.functions import scans
 from stintline.operators import compare as cp
 from stintline.operators import geometry as gm
 from stintline.operators import model as md
+from stintline.operators import telemetry as tl
+from stintline.plans.lines import racing_lines
 
 
 def plan_lines(df):
@@ -231,3 +233,68 @@ def test_deltas_are_read_once_for_the_turns(spark):
     got = {(r.ref_key, r.number, r.lap_key): (r.delta_s, r.worst_s, r.shown_at) for r in gm.turn_deltas(turns, delta).collect()}
     assert got == {(1, 1, 2): (1.5, 2.1, 1), (1, 1, 3): (2.1, 2.1, 1), (1, 2, 2): (1.5, 1.5, 2), (1, 2, 3): (0.1, 1.5, 2)}
     assert read.value <= len(rows)
+
+
+def samples(spark):
+    """Three cars of a session of which one sends too few samples, one of a flat session, one that sends none. Laps run over several blocks of time."""
+    rng, pos, car, picked = random.Random(5), [], [], []
+    for session, driver, n in ((1, 0, 70), (1, 1, 90), (1, 2, 6), (2, 0, 80), (2, 1, 0)):
+        key, x = session * 100 + driver, 0.0
+        picked.append((session, driver, key, driver + 1))
+        for i in range(n):
+            x += 0.0 if i % 9 == 4 else rng.uniform(3000, 6000)
+            pos.append((key, i * 30.0, x, 7.0, 10.0 * i if session == 1 else 0.0))
+            car.append((key, i * 30.0, 54.0 + i % 5, 80.0 + i % 3, 0.0, 4))
+    return (spark.createDataFrame(pos, "lap_key long, t double, x double, y double, z double"),
+            spark.createDataFrame(car, "lap_key long, t double, speed double, throttle double, brake double, gear int"),
+            spark.createDataFrame(picked, "session_id int, driver_id int, lap_key long, pace_rank int"), pos, car)
+
+
+def test_lines_are_made_last_from_samples_laid_out_once(spark):
+    pos, car, picked, places, speeds = samples(spark)
+    lines, refused = racing_lines(pos, car, picked, min_samples=20)
+    shown = plan_lines(lines)
+    made = next(i for i, x in enumerate(shown) if "Generate explode" in x)
+    assert not any("Join" in x for x in shown[:made])  # nothing is joined to the points of the grid, which are many more than the samples
+    assert {(r.lap_key, r.reason) for r in refused.collect()} == {(102, "too few position samples"), (201, "no position samples")}
+    got = {}
+    for r in lines.collect():
+        got.setdefault(r.lap_key, {})[r.idx] = r
+    speed = {(k, t): v for k, t, v, *_ in speeds}
+    unit = {}
+    for key, ranked in ((100, 1), (200, 2)):
+        lap = [p for p in places if p[0] == key]
+        metres = sum(speed[key, b[1]] / 3.6 * 30.0 for b in lap[1:])
+        unit[ranked] = sum(b[2] - a[2] for a, b in zip(lap, lap[1:])) / metres
+    assert set(got) == {100, 101, 200}
+    for key, points in got.items():
+        u, lap = unit[key // 100], [p for p in places if p[0] == key]
+        kept = [lap[0]] + [b for a, b in zip(lap, lap[1:]) if b[2] > a[2]]
+        driven = [(p[2] - lap[0][2]) / u for p in kept]
+        assert set(points) == set(range(math.floor(driven[-1] / 2.0) + 1))
+        for i in (0, 1, 500, max(points)):
+            at = next(j for j, d in enumerate(driven) if d >= i * 2.0) if i else 0
+            share = (i * 2.0 - driven[at - 1]) / (driven[at] - driven[at - 1]) if i else 0.0
+            mixed = lambda v: v[0] if not i else v[at - 1] + (v[at] - v[at - 1]) * share  # noqa: B023, E731
+            assert abs(points[i].x - mixed([p[2] / u for p in kept])) < 1e-6 and abs(points[i].speed - mixed([speed[key, p[1]] for p in kept])) < 1e-6
+            assert (points[i].z is None) == (key == 200) and (key == 200 or abs(points[i].z - mixed([p[4] / u for p in kept])) < 1e-6)
+
+
+def test_alignment_joins_only_the_carries(spark):
+    pos, car, picked, places, _speeds = samples(spark)
+    aligned = tl.align_channels(pos, car, steps=True)
+    assert sum("Join" in x for x in plan_lines(aligned)) == 1
+    plain = {(r.lap_key, r.t): (r.step, r.dt) for r in tl._with_step(tl.align_channels(pos, car)).collect()}
+    stepped = {(r.lap_key, r.t): (r.step, r.dt) for r in aligned.collect()}
+    assert plain == stepped and len(stepped) == len(places)
+    scales = picked.select("lap_key", F.lit(3.0).alias("units_per_metre"), F.lit(True).alias("usable"))
+    driven = {tuple(r) for r in tl.driven_distance(aligned, scales, 20).collect()}
+    assert driven == {tuple(r) for r in tl.driven_distance(tl.align_channels(pos, car), scales, 20).collect()}
+    assert {r[0] for r in driven} == {100, 101, 200} == {r.lap_key for r in tl.driven_laps(aligned, scales, 20).collect()}
+    # The grid goes on from the layout of the distance: no sample is dealt out again.
+    laid = tl.driven_distance(aligned.localCheckpoint(), scales, 20, told=("usable",))
+    sent = lambda df: sum("Exchange" in x for x in df._jdf.queryExecution().executedPlan().toString().splitlines())
+    grid = tl.resample_by_distance(laid)
+    blocks = tl.driven_distance(aligned.localCheckpoint(), scales, 20)
+    assert sent(grid) < sent(tl.resample_by_distance(blocks))
+    assert sorted(map(tuple, grid.collect())) == sorted(map(tuple, tl.resample_by_distance(blocks).collect()))
