@@ -64,9 +64,10 @@ def fit_rows(laps: DataFrame, index: DataFrame, neutralised: DataFrame, min_per_
              min_rows: int = MIN_GREEN_LAPS) -> DataFrame:
     """Green racing laps the model may be fitted to, of compounds run often enough."""
     length = laps.groupBy("session_id").agg(F.max("lap").alias("total_laps"))
+    # Both sides have a row per lap: neither is broadcast, however small its files are.
     green = (
         laps.where("time_s > 0 AND lap <> 1").select(*CAR, "lap", "time_s")
-        .join(index.where("NOT is_in AND NOT is_out").select(*CAR, "lap", "compound", "life"), [*CAR, "lap"])
+        .join(index.where("NOT is_in AND NOT is_out").select(*CAR, "lap", "compound", "life").hint("merge"), [*CAR, "lap"])
         .join(neutralised.select("session_id", "lap"), ["session_id", "lap"], "left_anti")
         .join(length, "session_id")
     )
@@ -77,7 +78,7 @@ def fit_rows(laps: DataFrame, index: DataFrame, neutralised: DataFrame, min_per_
         F.sum(F.when(F.col("sample_laps") >= min_per_compound, F.col("sample_laps"))).alias("_kept")).where(
         (F.col("_all") >= min_rows) & (F.col("_kept") >= min_rows)).select("session_id")
     usable = counts.where(F.col("sample_laps") >= min_per_compound).join(sizes, "session_id", "left_semi")
-    return green.join(usable, ["session_id", "compound"]).select(
+    return green.join(usable.hint("merge"), ["session_id", "compound"]).select(
         *CAR, "lap", "compound", "life", (F.col("total_laps") - F.col("lap")).alias("remaining"), "time_s", "sample_laps")
 
 
@@ -216,7 +217,7 @@ def base_pace(rows: DataFrame, fit: DataFrame) -> DataFrame:
     compounds = compound_terms(rows, fit)
     fuel = fit.where("term = 'fuel'").select("session_id", F.col("value").alias("fuel_s"))
     explained = F.col("offset_s") + F.col("rate_s") * F.col("life") + F.col("fuel_s") * F.col("remaining")
-    return rows.join(compounds, ["session_id", "compound"]).join(fuel, "session_id").groupBy(*CAR).agg(
+    return rows.join(compounds.hint("merge"), ["session_id", "compound"]).join(fuel, "session_id").groupBy(*CAR).agg(
         F.avg(F.col("time_s") - explained).alias("base_s"), F.first("fuel_s").alias("fuel_s"))
 
 
@@ -236,8 +237,8 @@ def predict_laps(laps: DataFrame, index: DataFrame, compounds: DataFrame, pace:
     length = laps.groupBy("session_id").agg(F.max("lap").alias("total_laps"))
     return (
         laps.where("time_s > 0").select(*CAR, "lap", "time_s")
-        .join(index, [*CAR, "lap"]).join(compounds.select("session_id", "compound", "offset_s", "rate_s"), ["session_id", "compound"])
-        .join(pace, CAR).join(length, "session_id")
+        .join(index.hint("merge"), [*CAR, "lap"]).join(compounds.select("session_id", "compound", "offset_s", "rate_s"), ["session_id", "compound"])
+        .join(pace.join(length, "session_id"), CAR)
         .withColumn("predicted_s", F.col("base_s") + F.col("offset_s") + F.col("rate_s") * F.col("life")
                     + F.col("fuel_s") * (F.col("total_laps") - F.col("lap")))
         .select(*CAR, "lap", "stint", "compound", "is_in", "time_s", "predicted_s", "total_laps",
@@ -250,7 +251,7 @@ def stop_losses(predicted: DataFrame, neutralised: DataFrame, max_stop_s: float
     racing = predicted.join(neutralised.select("session_id", "lap"), ["session_id", "lap"], "left_anti")
     after = racing.select(*CAR, (F.col("lap") - 1).alias("lap"), F.col("excess_s").alias("_out"))
     loss = F.col("excess_s") + F.col("_out")
-    return racing.where("is_in").join(after, [*CAR, "lap"]).where((loss > 0) & (loss < max_stop_s)).select(
+    return racing.where("is_in").join(after.hint("merge"), [*CAR, "lap"]).where((loss > 0) & (loss < max_stop_s)).select(
         *CAR, "lap", loss.alias("loss_s"))
 
 

@@ -1,5 +1,6 @@
 """Plans whose work, memory or disk must not grow faster than their tables."""
 
+import datetime
 import math
 import random
 import time
@@ -7,12 +8,14 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from stintline.catalog import load
 from stintline.functions import scans
 from stintline.operators import compare as cp
 from stintline.operators import geometry as gm
 from stintline.operators import model as md
 from stintline.operators import telemetry as tl
 from stintline.plans.lines import racing_lines
+from stintline.sources.views import Views
 
 
 def plan_lines(df):
@@ -298,3 +301,33 @@ def test_alignment_joins_only_the_carries(spark):
     blocks = tl.driven_distance(aligned.localCheckpoint(), scales, 20)
     assert sent(grid) < sent(tl.resample_by_distance(blocks))
     assert sorted(map(tuple, grid.collect())) == sorted(map(tuple, tl.resample_by_distance(blocks).collect()))
+
+
+def test_laps_are_numbered_once_for_a_query(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(2000), rng.randrange(40), 1 + i % 7, float(rng.randrange(1, 50)), rng.uniform(1000, 9000), rng.randrange(11) / 100, 0.02,
+             "ANR"[i % 3], "F", datetime.datetime(1995, 1, 1) + datetime.timedelta(days=rng.randrange(700))) for i in range(3000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                          "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    read, table = [], Views.table
+    monkeypatch.setattr(Views, "table", lambda v, name: (read.append(name), table(v, name))[1])
+    for name in ("race_params", "driven_distance"):
+        read.clear()
+        assert load().QUERIES[name](spark, str(tmp_path)).columns
+        assert read == ["lineitem"], name
+    plain = Views(spark, str(tmp_path))
+    kept = plain.keeping("laps")
+    assert not any("Window" in x for x in plan_lines(kept.laps)) and kept.laps.count() == 3000
+    for name in ("laps", "stops", "timing_laps", "stint_feed"):
+        a, b = getattr(plain, name), getattr(kept, name)
+        assert a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_sides_with_a_row_per_lap_or_turn_are_not_broadcast(spark):
+    run = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    laps = spark.createDataFrame([(1, d, lap, 90.0 + lap) for d in range(3) for lap in range(1, 30)], "session_id int, driver_id int, lap int, time_s double")
+    index = md.lap_stint_index(spark.createDataFrame([(1, d, 1, 1, 29, "HARD") for d in range(3)], "session_id int, driver_id int, stint int, start_lap int, end_lap int, compound string"))
+    compounds = spark.createDataFrame([(1, "HARD", 0.0, 0.01)], "session_id int, compound string, offset_s double, rate_s double")
+    pace = spark.createDataFrame([(1, d, 90.0, 0.1) for d in range(3)], "session_id int, driver_id int, base_s double, fuel_s double")
+    by_lap = [x for x in run(md.predict_laps(laps, index, compounds, pace)).splitlines() if "Join" in x and "lap#" in x]
+    assert by_lap and all("SortMergeJoin" in x for x in by_lap)
