@@ -331,3 +331,6 @@ def test_sides_with_a_row_per_lap_or_turn_are_not_broadcast(spark):
     pace = spark.createDataFrame([(1, d, 90.0, 0.1) for d in range(3)], "session_id int, driver_id int, base_s double, fuel_s double")
     by_lap = [x for x in run(md.predict_laps(laps, index, compounds, pace)).splitlines() if "Join" in x and "lap#" in x]
     assert by_lap and all("SortMergeJoin" in x for x in by_lap)
+    trace, _laps = traces(spark)
+    turns = gm.detect_turns(trace, g_threshold=1.1, min_length_m=4.0, merge_gap_m=6.0).localCheckpoint()
+    assert "Broadcast" not in run(gm.turn_details(turns, trace))
