@@ -164,11 +164,12 @@ def _(v):
 @query("race_fit_residual", "SELECT session_id, term, true AS solved FROM fit_o")
 def _(v):
     """The fit put back into its own normal equations: Gram * beta equals the right-hand side."""
+    v = v.keeping("laps")
     rows = materialised(_fit_rows(v))
     cells = materialised(md.normal_equations(rows))
     full = cells.unionByName(cells.where("i <> j").select("session_id", F.col("j").alias("i"), F.col("i").alias("j"), "value"))
     beta = md.race_fit(rows).select("session_id", F.col("term").alias("j"), F.col("value").alias("b"))
-    left = full.join(beta, ["session_id", "j"]).groupBy("session_id", "i").agg(F.sum(F.col("value") * F.col("b")).alias("l"))
+    left = full.join(beta.hint("merge"), ["session_id", "j"]).groupBy("session_id", "i").agg(F.sum(F.col("value") * F.col("b")).alias("l"))
     right = full.where("j = 'y' AND i <> 'y'").select("session_id", "i", F.col("value").alias("r"))
     return left.join(right, ["session_id", "i"]).select(
         "session_id", F.col("i").alias("term"), (F.abs(F.col("l") - F.col("r")) < 1e-5 * (1 + F.abs("r"))).alias("solved"))
