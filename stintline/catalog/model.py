@@ -568,7 +568,7 @@ SHARED["toldfigures_o"] = f"""
     UNION ALL SELECT 'reason', module, rule, season, reason, NULL, NULL, 0, count(*) FROM toldfigures_o WHERE NOT published GROUP BY ALL
     UNION ALL SELECT 'entry', module, rule, season, reason, scope, figure, 0, count(*) FROM toldfigures_o WHERE NOT published GROUP BY ALL""")
 def _(v):
-    return _ledger(v)
+    return _ledger(v.keeping("laps"))
 
 
 def _ledger(v):
