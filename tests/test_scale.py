@@ -311,7 +311,7 @@ def test_laps_are_numbered_once_for_a_query(spark, tmp_path, monkeypatch):
                           "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
     read, table = [], Views.table
     monkeypatch.setattr(Views, "table", lambda v, name: (read.append(name), table(v, name))[1])
-    for name in ("race_params", "stop_losses", "race_document", "driven_distance"):
+    for name in ("fit_rows", "race_params", "stop_losses", "race_document", "driven_distance"):
         read.clear()
         assert load().QUERIES[name](spark, str(tmp_path)).columns
         assert read == ["lineitem"], name
