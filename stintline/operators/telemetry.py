@@ -93,6 +93,8 @@ def align_channels(pos: DataFrame, car: DataFrame, steps: bool = False) -> DataF
     c = F.col
     ours = lambda e: F.when(c("_side") == 0, e)
     timed = lambda name: F.when((c("_side") == 0) & c(name).isNotNull(), F.struct("t", c(name).alias("v")))
+    clock = ours(c("t"))
+    first = F.struct(F.min(clock).alias("t"), *[F.min_by(k, clock).alias(k) for k in ("gear", "brake")])
     both = car.withColumn("_side", F.lit(0)).unionByName(
         pos.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     near = known_around(
@@ -101,8 +103,8 @@ def align_channels(pos: DataFrame, car: DataFrame, steps: bool = False) -> DataF
         ahead={"_sn": timed("speed"), "_tn": timed("throttle")},
         before={"_before": F.when(c("_side") == 1, F.struct("t", "x", "y"))} if steps else None,
         whole={"_ns": (F.count(ours(c("speed"))), F.sum), "_nt": (F.count(ours(c("throttle"))), F.sum),
-               "_first": (F.min(ours(F.struct("t", "gear", "brake"))), F.min),
-               "_flat": (F.count_if((c("_side") == 1) & c("z").isNull()), F.sum)}).where("_side = 1")
+               "_first": (F.when(F.count(clock) > 0, first), F.min),
+               "_flat": (F.count_if((c("_side") == 1) & c("z").isNull()), F.sum)}, place="t").where("_side = 1")
 
     def linear(before: str, after: str, count: str) -> Column:
         a, b = c(before), c(after)
@@ -131,7 +133,7 @@ def _with_step(aligned: DataFrame) -> DataFrame:
     if "step" in aligned.columns:
         return aligned
     before = last_known(aligned, ["lap_key"], ["t"], {"_before": F.struct("t", "x", "y")}, _time_block(),
-                        inclusive=False)
+                        inclusive=False, place="t")
     return before.select(*aligned.columns, *_since())
 
 
@@ -211,7 +213,7 @@ def resample_by_distance(driven: DataFrame, spacing_m: float = SPACING_M) -> Dat
     """
     channels = [c for c in CHANNELS if c in driven.columns]
     block = F.col("_block") if "_block" in driven.columns else F.floor(F.col("distance_m") / 8192)
-    before = last_known(driven, ["lap_key"], ["distance_m"], {"_p": F.struct("distance_m", *channels)}, block, inclusive=False)
+    before = last_known(driven, ["lap_key"], ["distance_m"], {"_p": F.struct("distance_m", *channels)}, block, inclusive=False, place="distance_m")
     first = F.when(F.col("_p").isNull(), F.array(F.lit(0).cast("long")))
     low = F.floor(F.col("_p.distance_m") / spacing_m) + 1
     high = F.floor(F.col("distance_m") / spacing_m)
