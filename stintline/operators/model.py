@@ -281,9 +281,9 @@ def race_params(laps: DataFrame, stints: DataFrame, min_field: int = MIN_FIELD)
 
     One DAG over all sessions. The shared intermediate tables are written once.
     """
-    suspended = suspended_sessions(laps)
+    suspended = materialised(suspended_sessions(laps))
     raced = laps.join(suspended.select("session_id"), "session_id", "left_anti")
-    neutralised = neutralised_by_pace(raced, min_field=min_field)
+    neutralised = materialised(neutralised_by_pace(raced, min_field=min_field))
     index = lap_stint_index(stints)
     rows = materialised(fit_rows(raced, index, neutralised))
     fit = materialised(race_fit(rows))

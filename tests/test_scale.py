@@ -335,3 +335,11 @@ def test_sides_with_a_row_per_lap_or_turn_are_not_broadcast(spark):
     trace, _laps = traces(spark)
     turns = gm.detect_turns(trace, g_threshold=1.1, min_length_m=4.0, merge_gap_m=6.0).localCheckpoint()
     assert "Broadcast" not in run(gm.turn_details(turns, trace))
+
+
+def test_neutralised_laps_of_a_race_are_found_once(spark):
+    laps = spark.createDataFrame([(1, d, lap, 90.0 + lap % 3 + (40.0 if lap == 12 else 0.0)) for d in range(6) for lap in range(1, 30)], "session_id int, driver_id int, lap int, time_s double")
+    stints = spark.createDataFrame([(1, d, 1, 1, 29, 29, "HARD") for d in range(6)], "session_id int, driver_id int, stint int, start_lap int, end_lap int, laps int, compound string")
+    parts = md.race_params(laps, stints)
+    assert [(r.session_id, r.lap) for r in parts["neutralised"].collect()] == [(1, 12)]
+    assert not any("Aggregate" in x or "Join" in x for x in plan_lines(parts["neutralised"]))
